@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.jsonschema import schema_key
 from textloom.operators.prompts import chat_format
-from textloom.schemas import ALERT_TYPES, NON_ALERT_TYPES, SEVERITIES
+from textloom.schemas import ALERT_TYPES, SEVERITIES
 
 
 @dataclass(frozen=True)
@@ -138,10 +138,16 @@ def _filler(spec: dict, comment: str):
     }.get(spec.get("type"), None)
 
 
-def rule_response(text: Column | str, rules: Sequence[Rule], has_alerts: Column | None = None) -> Column:
+def rule_response(
+    text: Column | str,
+    rules: Sequence[Rule],
+    has_alerts: Column | None = None,
+    non_alert: Column | None = None,
+) -> Column:
     """The rule backend as a Spark expression: no Python workers at all.
 
-    ``has_alerts`` overrides the verdict, e.g. with a human label.
+    ``has_alerts`` overrides the verdict, e.g. with a human label, and
+    ``non_alert`` the class of comments without alerts.
     """
     source = F.col(text) if isinstance(text, str) else text
     lowered = F.lower(source)
@@ -162,7 +168,9 @@ def rule_response(text: Column | str, rules: Sequence[Rule], has_alerts: Column
     record = F.struct(
         verdict.alias("has_alerts"),
         alerts.alias("alerts"),
-        F.when(~verdict, F.lit(NON_ALERT_TYPES[8])).alias("non_alert_classification"),
+        F.when(~verdict, F.lit("neutral_comment") if non_alert is None else non_alert).alias(
+            "non_alert_classification"
+        ),
         F.when(~verdict, F.lit("no phrase matched")).alias("non_alert_reasoning"),
     )
     return F.to_json(record, {"ignoreNullFields": "false"})

@@ -146,9 +146,11 @@ def qa_rows(pairs: DataFrame) -> DataFrame:
 
 
 def explode_annotations(df: DataFrame, annotations: str = "annotations") -> DataFrame:
-    """One row per annotation; a row without any stays, with null."""
-    parsed = df.withColumn("parsed_annotations", parse_annotations(annotations))
-    return parsed.withColumn("parsed_annotations", F.explode_outer("parsed_annotations"))
+    """One row per annotation with its ``annotation_pos``; a row without any stays, with null."""
+    parsed = df.withColumn("_list", parse_annotations(annotations))
+    return parsed.select(
+        "*", F.posexplode_outer("_list").alias("annotation_pos", "parsed_annotations")
+    ).drop("_list")
 
 
 def annotation_paths(df: DataFrame, drop_empty: bool = True) -> DataFrame:

@@ -228,7 +228,8 @@ def mean_similarity(
     rows = queries.select(
         F.col(query_key).cast("bigint").alias("id"), unit(as_double(query_vector)).alias("u")
     )
-    return rows.select("id", dot(F.col("u"), center).alias("mean_similarity"))
+    with_center = rows.withColumn("c", center)
+    return with_center.select("id", dot(F.col("u"), F.col("c")).alias("mean_similarity"))
 
 
 def covered_counts(
