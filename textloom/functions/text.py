@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +21,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    A repeated column expression may be evaluated again at each use, above all
+    inside lambdas and after the optimizer merges projections.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column | str) -> Column:
     """Strip Unicode white space from both ends (``trim`` alone strips spaces only)."""
     return F.btrim(_col(c), F.lit(WHITESPACE))
@@ -55,11 +64,14 @@ def or_empty(c: Column | str) -> Column:
 
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
     """Case-insensitive: true when any of the words occurs in the text."""
-    lowered = F.lower(_col(c))
-    found = F.lit(False)
-    for word in words:
-        found = found | lowered.contains(word.lower())
-    return F.coalesce(found, F.lit(False))
+
+    def any_in(lowered: Column) -> Column:
+        found = F.lit(False)
+        for word in words:
+            found = found | lowered.contains(word.lower())
+        return found
+
+    return F.coalesce(let(F.lower(_col(c)), any_in), F.lit(False))
 
 
 def strip_fences(c: Column | str) -> Column:

@@ -20,6 +20,7 @@ from pyspark.resource import TaskResourceRequests
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.jsonschema import schema_key
+from textloom.functions.text import let
 from textloom.operators.prompts import chat_format
 from textloom.schemas import ALERT_TYPES, SEVERITIES
 
@@ -150,30 +151,29 @@ def rule_response(
     ``non_alert`` the class of comments without alerts.
     """
     source = F.col(text) if isinstance(text, str) else text
-    lowered = F.lower(source)
-    table = F.array(
-        *[F.struct(F.lit(r.phrase).alias("phrase"), F.lit(r.label).alias("label"),
-                   F.lit(r.severity).alias("severity")) for r in rules]
-    )
-    alerts = F.transform(
-        F.filter(table, lambda r: lowered.contains(r["phrase"])),
-        lambda r: F.struct(
-            F.substr(lowered, F.instr(lowered, r["phrase"]), F.length(r["phrase"])).alias("excerpt"),
-            F.concat(F.lit("matched "), r["phrase"]).alias("reasoning"),
-            r["label"].alias("alert_type"),
-            r["severity"].alias("severity"),
-        ),
-    )
-    verdict = F.size(alerts) > 0 if has_alerts is None else has_alerts
-    record = F.struct(
-        verdict.alias("has_alerts"),
-        alerts.alias("alerts"),
-        F.when(~verdict, F.lit("neutral_comment") if non_alert is None else non_alert).alias(
-            "non_alert_classification"
-        ),
-        F.when(~verdict, F.lit("no phrase matched")).alias("non_alert_reasoning"),
-    )
-    return F.to_json(record, {"ignoreNullFields": "false"})
+
+    def span(lowered: Column, r: Rule) -> Column:
+        found = F.struct(
+            F.lit(r.phrase).alias("excerpt"),
+            F.lit(f"matched {r.phrase}").alias("reasoning"),
+            F.lit(r.label).alias("alert_type"),
+            F.lit(r.severity).alias("severity"),
+        )
+        return F.when(lowered.contains(r.phrase), found)
+
+    alerts = let(F.lower(source), lambda t: F.array_compact(F.array(*[span(t, r) for r in rules])))
+
+    def record(found: Column) -> Column:
+        verdict = F.size(found) > 0 if has_alerts is None else has_alerts
+        other = F.lit("neutral_comment") if non_alert is None else non_alert
+        return F.struct(
+            verdict.alias("has_alerts"),
+            found.alias("alerts"),
+            F.when(~verdict, other).alias("non_alert_classification"),
+            F.when(~verdict, F.lit("no phrase matched")).alias("non_alert_reasoning"),
+        )
+
+    return F.to_json(let(alerts, record), {"ignoreNullFields": "false"})
 
 
 # Backends by name; register your own model server client or local model here.

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.jsonschema import Node, compile_schema
-from textloom.functions.text import or_empty, strip_fences, strip_ws, truncate
+from textloom.functions.text import let, or_empty, strip_fences, strip_ws, truncate
 from textloom.schemas import ALERTS_OUTPUT
 from textloom.session import prepare
 
@@ -32,10 +32,14 @@ def strict_json(text: Column) -> Column:
     and inside ``[…]`` only one that starts with ``]`` or ``,``; a comma makes two
     array items. Passing both wrappers with one item means no tail at all.
     """
-    in_object = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.size(F.try_variant_get(in_array, "$", "array<variant>")) == 1
-    return F.when(alone & in_object.isNotNull(), F.try_variant_get(in_object, "$.r", "variant"))
+
+    def checked(t: Column) -> Column:
+        in_object = F.try_parse_json(F.concat(F.lit('{"r":'), t, F.lit("}")))
+        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        alone = F.size(F.try_variant_get(in_array, "$", "array<variant>")) == 1
+        return F.when(alone, F.try_variant_get(in_object, "$.r", "variant"))
+
+    return let(text, checked)
 
 
 def parse_typed(
@@ -48,9 +52,8 @@ def parse_typed(
     """Parse to the schema's struct; null when the text is not JSON or breaks the schema."""
     prepare(df.sparkSession)
     node = compile_schema(schema)
-    tree = "_tree"
-    parsed = df.withColumn(tree, strict_json(strip_fences(text)))
-    return parsed.withColumn(out, _typed(node, F.col(tree), validate)).drop(tree)
+    tree = strict_json(strip_fences(text))
+    return df.withColumn(out, let(tree, lambda t: _typed(node, t, validate)))
 
 
 def _typed(node: Node, tree: Column, validate: bool) -> Column:
@@ -66,16 +69,22 @@ def parse_untyped(df: DataFrame, text: str = "response", strict: bool = False) -
     ``strict=True`` fails the job on the first bad text instead.
     """
     prepare(df.sparkSession)
-    cleaned = strip_fences(text)
-    df = df.withColumn("_tree", strict_json(cleaned))
-    bad = F.col("_tree").isNull() & F.col(text).isNotNull()
-    raw = F.when(bad, cleaned)
+
+    def both(cleaned: Column) -> Column:
+        value = F.to_json(strict_json(cleaned))
+        return F.struct(value.alias("json"), cleaned.alias("text"))
+
+    parts = F.col("_parts")
+    bad = parts["json"].isNull()
+    raw = F.when(bad, parts["text"])
     if strict:
-        raw = F.when(bad, F.raise_error(F.concat(F.lit("not JSON: "), truncate(cleaned, 200))))
+        message = F.concat(F.lit("not JSON: "), truncate(parts["text"], 200))
+        raw = F.when(bad & parts["text"].isNotNull(), F.raise_error(message).cast("string"))
     return (
-        df.withColumn("json", F.to_json("_tree"))
+        df.withColumn("_parts", let(strip_fences(text), both))
+        .withColumn("json", parts["json"])
         .withColumn("raw", raw)
-        .drop("_tree")
+        .drop("_parts")
     )
 
 
@@ -85,16 +94,16 @@ def validate_schema(
     """Boolean per row: an object that satisfies the JSON schema. Anything else is False."""
     prepare(df.sparkSession)
     node = compile_schema(schema)
-    df = df.withColumn("_tree", strict_json(strip_fences(text)))
-    tree = F.col("_tree")
-    is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
-    ok = is_object & node.check(tree, lax=False)
+
+    def holds(tree: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
+        return is_object & node.check(tree, lax=False)
+
+    ok = let(strict_json(strip_fences(text)), holds)
     if strict:
-        ok = F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("schema violation: "), truncate(or_empty(text), 200)))
-            .cast("boolean")
-        )
-    return df.withColumn(out, ok).drop("_tree")
+        message = F.concat(F.lit("schema violation: "), truncate(or_empty(text), 200))
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return df.withColumn(out, ok)
 
 
 def extract_json(df: DataFrame, text: str = "response") -> DataFrame:
