@@ -10,6 +10,7 @@ from textloom.functions.text import WHITESPACE
 from textloom.operators.inference import Rule, rule_response
 from textloom.operators.parsing import parse_typed
 from textloom.schemas import ALERT_TYPES, ALERTS_OUTPUT_SCHEMA
+from textloom.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -68,7 +69,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     The human label gives the verdict, the rules give the spans. Good documents
     answer inside a code fence; documents without a label answer in prose.
     """
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     marks = table(spark, folder, "labels")
     joined = docs.join(marks, "doc_id", "left")
     answer = rule_response("text", RULES, F.col("toxic") == 1, by_lang(NON_ALERT_BY_LANG))

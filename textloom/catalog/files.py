@@ -11,7 +11,7 @@ from textloom.catalog.labels import SQL_EXPLODED, SQL_QA, TEXT, pairs
 from textloom.catalog.vectors import SQL_BEST, SQL_SIDES, sides
 from textloom.operators import parsing, reshape, similarity
 from textloom.schemas import TRAINING_PAIR
-from textloom.session import new_path
+from textloom.session import materialize, new_path
 from textloom.sources import csv_column, load, read_jsonl, readers, writers
 from textloom.streaming.append import append_jsonl, read_appended
 
@@ -58,7 +58,7 @@ def k3(spark, folder):
     + f"SELECT row_id AS id, 'PARSE_FAILED' AS error, source AS source_column FROM resp WHERE failed AND lower({TEXT}) NOT IN ('', 'nan')",
 )
 def k4(spark, folder):
-    good, bad = reshape.split_failed(pairs(spark, folder))
+    good, bad = reshape.split_failed(materialize(pairs(spark, folder), "k4-pairs"))
     paths = writers.write_training_set(good, bad, new_path(spark, "k4"), "set")
     if paths["failed"] is None:
         return bad.select("id", "error", "source_column")

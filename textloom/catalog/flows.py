@@ -14,6 +14,7 @@ from textloom.plans.classify import classify_texts, run_classification
 from textloom.plans.generate import run_tasks
 from textloom.plans.rewrite import prepare_inputs, prepare_references, rewrite
 from textloom.operators.generation import task_queue
+from textloom.sources.readers import spread
 
 
 @query(
@@ -24,7 +25,7 @@ from textloom.operators.generation import task_queue
 )
 def histogram(spark, folder):
     """Filter, prompt, infer, parse, explode, count."""
-    docs = table(spark, folder, "documents").where(length_between("text"))
+    docs = spread(table(spark, folder, "documents")).where(length_between("text"))
     rows = docs.select(F.col("doc_id").alias("row_id"), "text")
     parsed = classify_texts(rows, RuleBackend(RULES))
     return summaries.histogram(explode_results(parsed), "alert_type", "alert_type")
@@ -38,7 +39,7 @@ def histogram(spark, folder):
         FROM u WHERE trim(text) <> ''""",
 )
 def classify(spark, folder):
-    turns = table(spark, folder, "conversations").select(
+    turns = spread(table(spark, folder, "conversations")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text"
     )
     done = run_classification(turns, ["role", "text", "absent"], RuleBackend(RULES))

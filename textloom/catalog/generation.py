@@ -88,15 +88,15 @@ def p5(spark, folder):
     "p6_attach_few_shot",
     """WITH s AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
             shots AS (SELECT lang, list(md5(text) ORDER BY rn) AS samples FROM s WHERE rn <= 3 GROUP BY lang)
-       SELECT e.event_id AS task_id, array_to_string(list_concat(
+       SELECT e.doc_id AS task_id, array_to_string(list_concat(
            (SELECT samples FROM shots WHERE lang = 'en'), (SELECT samples FROM shots WHERE lang = 'fr'))[1:5], ',') AS few_shot
-       FROM events e""",
+       FROM documents e""",
 )
 def p6(spark, folder):
     docs = table(spark, folder, "documents")
     shots = prompts.few_shot_examples(docs, "lang", "text", 3, key="doc_id")
-    tasks = table(spark, folder, "events").select(
-        F.col("event_id").alias("task_id"), F.array(F.lit("en"), F.lit("fr")).alias("alert_types")
+    tasks = docs.select(
+        F.col("doc_id").alias("task_id"), F.array(F.lit("en"), F.lit("fr")).alias("alert_types")
     )
     with_shots = prompts.attach_few_shot(tasks, shots, "lang")
     return with_shots.select("task_id", F.array_join(F.transform("few_shot", F.md5), ",").alias("few_shot"))

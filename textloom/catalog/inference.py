@@ -11,10 +11,11 @@ from textloom.functions.jsonschema import schema_key
 from textloom.operators import inference, parsing
 from textloom.operators.prompts import classification_prompt
 from textloom.schemas import ALERTS_OUTPUT_SCHEMA
+from textloom.sources.readers import spread
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, folder, "documents")).select("doc_id", "lang", "text")
 
 
 @query(

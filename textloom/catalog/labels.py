@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from textloom.catalog.base import SQL_RESPONSES, classified, query, sql_strip, table
 from textloom.operators import parsing, reshape, summaries
+from textloom.session import materialize
+from textloom.sources.readers import spread
 
 TEXT = sql_strip("text")
 
@@ -32,7 +34,7 @@ def j3(spark, folder):
 def _events(spark, folder):
     """Event properties as a model would answer: bare, fenced, or followed by chatter."""
     kind = F.col("event_type")
-    return table(spark, folder, "events").withColumn(
+    return spread(table(spark, folder, "events")).withColumn(
         "response",
         F.when(kind == "click", F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
         .when(kind == "view", F.concat(F.lit("```\n"), "props", F.lit("\n```")))
@@ -134,7 +136,7 @@ def j7(spark, folder):
 )
 def j8(spark, folder):
     kind = F.col("event_type")
-    noisy = table(spark, folder, "events").withColumn(
+    noisy = spread(table(spark, folder, "events")).withColumn(
         "response",
         F.when(kind == "click", F.concat(F.lit("<s>[INST] say {x} [/INST] Sure: "), "props", F.lit("</s>")))
         .when(kind == "error", F.lit("[INST] a [/INST] nothing here </s>"))
@@ -224,7 +226,7 @@ def n6(spark, folder):
           WHERE lower({TEXT}) NOT IN ('', 'nan')""",
 )
 def n9(spark, folder):
-    good, bad = reshape.split_failed(pairs(spark, folder))
+    good, bad = reshape.split_failed(materialize(pairs(spark, folder), "n9-pairs"))
     columns = ["id", "source_column", "lang"]
     return good.select(*columns, F.lit(False).alias("failed")).unionByName(
         bad.select(*columns, F.lit(True).alias("failed"))

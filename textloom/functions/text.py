@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters Python's str.strip() removes.
 WHITESPACE = (
@@ -21,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literal_array(values: Sequence, element: str = "string") -> Column:
+    """A constant array from one call; the optimizer folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), f"array<{element}>")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it.
 
@@ -30,6 +37,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_computed(df: DataFrame, name: str, value: Column, body: Callable[[Column], Column]) -> DataFrame:
+    """Add ``body(value)`` as a column that later filters and projections read but never recompute.
+
+    The generator stops the optimizer from copying a costly expression into every
+    place that uses it; the outer form adds no inferred filter of its own.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.explode_outer(F.transform(F.array(value), body)).alias(name))
+
+
 def strip_ws(c: Column | str) -> Column:
     """Strip Unicode white space from both ends (``trim`` alone strips spaces only)."""
     return F.btrim(_col(c), F.lit(WHITESPACE))
@@ -64,14 +81,8 @@ def or_empty(c: Column | str) -> Column:
 
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
     """Case-insensitive: true when any of the words occurs in the text."""
-
-    def any_in(lowered: Column) -> Column:
-        found = F.lit(False)
-        for word in words:
-            found = found | lowered.contains(word.lower())
-        return found
-
-    return F.coalesce(let(F.lower(_col(c)), any_in), F.lit(False))
+    pattern = "|".join(re.escape(word.lower()) for word in words)
+    return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
 
 
 def strip_fences(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions.hashing import hash_int, order_key, pick
+from textloom.functions.text import literal_array
 from textloom.schemas import (
     DIMENSIONS,
     GENERATED_ALERT_TYPES,
@@ -43,12 +44,8 @@ def quotas(n: int, shares: Mapping[str, float] | None = None) -> dict[str, int]:
     return counts
 
 
-def _texts(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def cycle(values: Sequence[str], i: Column) -> Column:
-    return F.element_at(_texts(values), (i % len(values) + 1).cast("int"))
+    return F.element_at(literal_array(values), (i % len(values) + 1).cast("int"))
 
 
 def dimension_columns(i: Column) -> list[Column]:
@@ -63,21 +60,21 @@ def random_dimensions(
     Also draws labels: one alert label, one to three for ``mixed``, and a non-alert label.
     """
     for name, values in DIMENSIONS.items():
-        drawn = pick(_texts(values), key, f"{seed}-{name}")
+        drawn = pick(literal_array(values), key, f"{seed}-{name}")
         df = df.withColumn(name, F.coalesce(F.col(name), drawn) if name in given else drawn)
     kind = F.col("example_type")
     n = F.when(kind == "mixed", hash_int(key, f"{seed}-count") % 3 + 1).otherwise(1).cast("int")
     # A different random order of the labels per row; the first n are the sample.
     ranked = F.array_sort(
         F.transform(
-            _texts(GENERATED_ALERT_TYPES),
+            literal_array(GENERATED_ALERT_TYPES),
             lambda a: F.struct(
                 order_key(F.concat(F.col(key).cast("string"), F.lit(":"), a), seed).alias("h"), a.alias("a")
             ),
         )
     )
     labels = F.transform(F.slice(ranked, F.lit(1), n), lambda r: r["a"])
-    other = pick(_texts(GENERATED_NON_ALERT_TYPES), key, f"{seed}-other")
+    other = pick(literal_array(GENERATED_NON_ALERT_TYPES), key, f"{seed}-other")
     return df.withColumn("alert_types", F.when(kind.isin("alert", "mixed", "hard_alert"), labels)).withColumn(
         "non_alert_type", F.when(kind.isin("non_alert", "hard_non_alert", "mixed"), other)
     )
@@ -89,7 +86,7 @@ def label_columns(i: Column) -> list[Column]:
     size = len(GENERATED_ALERT_TYPES)
     several = F.transform(
         F.sequence(F.lit(0), (i % 3).cast("int")),
-        lambda j: F.element_at(_texts(GENERATED_ALERT_TYPES), ((i + j) % size + 1).cast("int")),
+        lambda j: F.element_at(literal_array(GENERATED_ALERT_TYPES), ((i + j) % size + 1).cast("int")),
     )
     alerts = F.when(kind.isin("alert", "hard_alert"), F.array(cycle(GENERATED_ALERT_TYPES, i))).when(
         kind == "mixed", several

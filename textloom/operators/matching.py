@@ -9,12 +9,13 @@ the position. No input ever meets all its candidates.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from textloom.functions.hashing import hash_int, order_key
-from textloom.functions.text import strip_ws
+from textloom.functions.text import literal_array, strip_ws
 from textloom.session import materialize
 
 MAX_LENGTH = 1000
@@ -79,7 +80,7 @@ def number_references(
     for length in range(max_length + 2):
         shorter.append(total)
         total += sizes.get(length, 0)
-    first = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in shorter]), F.col("len") + 1)
+    first = F.element_at(literal_array(shorter, "bigint"), F.col("len") + 1)
     ranked = _split_rank(refs, ["len"], "ref_id", 2, "_in_len", seed)
     return ranked.select((first + F.col("_in_len")).alias("position"), "ref_id", "ref_text"), shorter
 
@@ -98,7 +99,7 @@ def _prepared(
     inputs: DataFrame, key: str, text: str, shorter: list[int], bin_size: int | None, seed: int | str
 ) -> DataFrame:
     top = len(shorter) - 1
-    table = F.array(*[F.lit(n).cast("bigint") for n in shorter])
+    table = literal_array(shorter, "bigint")
     body = strip_ws(F.col(text))
     rows = inputs.select(F.col(key).alias("input_id"), F.coalesce(body, F.lit("")).alias("input_text"))
     rows = rows.withColumn("input_key", F.md5(F.lower("input_text")))
@@ -162,43 +163,49 @@ def _match_checked(
     refs = materialize(refs, "references")
     open_rows, tried, width = materialize(rows, "open"), 0, 1
     done: list[DataFrame] = []
+    spent: list[DataFrame] = []
     while True:
         # Steps tried, tried+1, ... of each row's own series; a step past the range ends the search.
-        turn = F.explode(F.sequence(F.lit(tried).cast("bigint"), F.lit(tried + width - 1).cast("bigint")))
-        probes = open_rows.withColumn("turn", turn).withColumn(
-            "step", F.col("copy") + F.col("turn") * F.col("copies")
-        )
-        inside = F.col("step") < F.col("n")
-        gives_up = F.lit(False) if max_probes is None else F.col("turn") >= max_probes
-        in_range = probes.where(inside & ~gives_up).withColumn(
-            "position", _candidate(F.col("step"), total, seed)
-        )
+        until = tried + width if max_probes is None else min(tried + width, max_probes)
+        first = F.lit(tried).cast("bigint")
+        last = F.least(
+            F.lit(until - 1), F.floor((F.col("n") - 1 - F.col("copy")) / F.col("copies"))
+        ).cast("bigint")
+        turns = F.when(last >= first, F.sequence(first, last))
+        probes = open_rows.withColumn("turn", F.explode(turns))
+        step = F.col("copy") + F.col("turn") * F.col("copies")
+        in_range = probes.withColumn("position", _candidate(step, total, seed))
         fine = (
             in_range.join(refs, "position")
             .where(~too_similar("ref_text", "input_text"))
             .groupBy("input_id").agg(F.min_by("position", "turn").alias("position"))
         )
-        # Open rows whose series has ended: the unused others, or the first choice again.
-        after = open_rows.withColumn("next", F.col("copy") + F.lit(tried + width) * F.col("copies"))
-        ended = F.col("next") >= F.col("n")
+        last_turn = F.col("copy") + F.lit(tried + width) * F.col("copies") >= F.col("n")
         if max_probes is not None:
-            ended = ended | F.lit(tried + width >= max_probes)
-            spare = F.when(F.col("copy") < F.col("n"), F.col("copy")).otherwise(F.col("n") + F.col("copy"))
-        else:
-            spare = F.col("n") + F.col("copy")
-        state = after.join(fine, "input_id", "left").withColumn(
-            "chosen",
-            F.when(F.col("position").isNotNull(), F.col("position")).when(
-                ended, _candidate(spare, total, seed)
-            ),
+            last_turn = last_turn | F.lit(tried + width >= max_probes)
+        state = open_rows.join(fine, "input_id", "left").withColumn(
+            "ended", F.col("position").isNull() & last_turn
         )
-        state = materialize(state.drop("position", "next"), "round")
-        done.append(state.where(F.col("chosen").isNotNull()).select("input_id", F.col("chosen").alias("position")))
-        open_rows = state.where(F.col("chosen").isNull()).drop("chosen")
+        state = materialize(state, "round")
+        done.append(state.where(F.col("position").isNotNull()).select("input_id", "position"))
+        spent.append(state.where("ended").drop("position", "ended"))
+        open_rows = state.where(F.col("position").isNull() & ~F.col("ended")).drop("position", "ended")
         tried, width = tried + width, width * 4
         if open_rows.isEmpty():
             break
-    matched = done[0]
-    for part in done[1:]:
-        matched = matched.unionByName(part)
+    done.append(_without_match(reduce(DataFrame.unionByName, spent), total, max_probes, seed))
+    matched = reduce(DataFrame.unionByName, done)
     return matched.join(refs, "position").select("input_id", "ref_id", "ref_text")
+
+
+def _without_match(rows: DataFrame, total: int, max_probes: int | None, seed: int | str) -> DataFrame:
+    """Inputs whose candidates ran out: references outside the range that no other copy takes.
+
+    Copies beyond the range take steps n..m-1, so those whose candidates were all
+    too similar go on from step m. With a probe limit they keep their first candidate.
+    """
+    beyond = F.col("copy") >= F.col("n")
+    ranked = _split_rank(rows.withColumn("beyond", beyond), ["input_key", "beyond"], "input_id", 2, "place", seed)
+    first = F.col("copy") if max_probes is not None else F.greatest("copies", "n") + F.col("place")
+    step = F.when(F.col("beyond"), F.col("copy")).otherwise(first)
+    return ranked.select("input_id", _candidate(step, total, seed).alias("position"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.jsonschema import Node, compile_schema
-from textloom.functions.text import let, or_empty, strip_fences, strip_ws, truncate
+from textloom.functions.text import let, or_empty, strip_fences, strip_ws, truncate, with_computed
 from textloom.schemas import ALERTS_OUTPUT
 from textloom.session import prepare
 
@@ -53,7 +53,7 @@ def parse_typed(
     prepare(df.sparkSession)
     node = compile_schema(schema)
     tree = strict_json(strip_fences(text))
-    return df.withColumn(out, let(tree, lambda t: _typed(node, t, validate)))
+    return with_computed(df, out, tree, lambda t: _typed(node, t, validate))
 
 
 def _typed(node: Node, tree: Column, validate: bool) -> Column:
@@ -81,7 +81,7 @@ def parse_untyped(df: DataFrame, text: str = "response", strict: bool = False) -
         message = F.concat(F.lit("not JSON: "), truncate(parts["text"], 200))
         raw = F.when(bad & parts["text"].isNotNull(), F.raise_error(message).cast("string"))
     return (
-        df.withColumn("_parts", let(strip_fences(text), both))
+        with_computed(df, "_parts", strip_fences(text), both)
         .withColumn("json", parts["json"])
         .withColumn("raw", raw)
         .drop("_parts")
@@ -99,11 +99,12 @@ def validate_schema(
         is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
         return is_object & node.check(tree, lax=False)
 
-    ok = let(strict_json(strip_fences(text)), holds)
+    checked = with_computed(df, out, strict_json(strip_fences(text)), holds)
     if strict:
         message = F.concat(F.lit("schema violation: "), truncate(or_empty(text), 200))
-        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return df.withColumn(out, ok)
+        failed = F.raise_error(message).cast("boolean")
+        checked = checked.withColumn(out, F.when(F.col(out), F.lit(True)).otherwise(failed))
+    return checked
 
 
 def extract_json(df: DataFrame, text: str = "response") -> DataFrame:
@@ -117,14 +118,19 @@ def extract_json(df: DataFrame, text: str = "response") -> DataFrame:
     marked = source.contains("[/INST]")
     after = F.replace(F.element_at(F.split(source, r"\[/INST\]"), -1), F.lit("</s>"), F.lit(""))
     body = F.when(marked, strip_ws(after)).otherwise(source)
-    found = F.nullif(F.regexp_extract(F.col("_body"), r"(?s)\{.*\}", 0), F.lit(""))
-    value = F.coalesce(strict_json(found), strict_json(strip_ws("_body")))
-    df = df.withColumn("_body", body).withColumn("json", F.to_json(value))
-    failed = F.col("json").isNull()
+
+    def search(cleaned: Column) -> Column:
+        found = F.nullif(F.regexp_extract(cleaned, r"(?s)\{.*\}", 0), F.lit(""))
+        value = F.coalesce(strict_json(found), strict_json(strip_ws(cleaned)))
+        return F.struct(F.to_json(value).alias("json"), truncate(cleaned, 500).alias("head"))
+
+    parts, failed = F.col("_parts"), F.col("_parts.json").isNull()
     return (
-        df.withColumn("error", F.when(failed, F.lit("Failed to parse JSON")))
-        .withColumn("raw_response", F.when(failed, truncate("_body", 500)))
-        .drop("_body")
+        with_computed(df, "_parts", body, search)
+        .withColumn("json", parts["json"])
+        .withColumn("error", F.when(failed, F.lit("Failed to parse JSON")))
+        .withColumn("raw_response", F.when(failed, parts["head"]))
+        .drop("_parts")
     )
 
 

@@ -19,7 +19,15 @@ from pyspark.ml.feature import PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from textloom.functions.vectors import as_double, dot, mean_vector, squared_norm, sum_vector, unit
+from textloom.functions.vectors import (
+    as_double,
+    is_nonzero,
+    mean_unit,
+    mean_vector,
+    squared_norm,
+    sum_unit,
+    with_unit,
+)
 from textloom.operators.sampling import group_sample, hash_sample
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -224,12 +232,21 @@ def mean_similarity(
     base_vector: str = "embedding",
 ) -> DataFrame:
     """``(id, mean_similarity)``: the mean of cosines is the dot product with the mean unit vector."""
-    center = base.select(mean_vector(unit(as_double(base_vector)))).scalar()
-    rows = queries.select(
-        F.col(query_key).cast("bigint").alias("id"), unit(as_double(query_vector)).alias("u")
-    )
-    with_center = rows.withColumn("c", center)
-    return with_center.select("id", dot(F.col("u"), F.col("c")).alias("mean_similarity"))
+    known = base.where(F.col(base_vector).isNotNull())
+    center = None if known.isEmpty() else with_unit(known, base_vector).agg(mean_unit("unit")).first()[0]
+    left = _vectors(queries, query_key, query_vector)
+    if center is None:
+        return left.select("id", F.lit(None).cast("double").alias("mean_similarity"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                means = _matrix(rows.column("v")) @ np.asarray(center)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), pa.array(means)], names=["id", "mean_similarity"]
+                )
+
+    return left.mapInArrow(scan, "id bigint, mean_similarity double")
 
 
 def covered_counts(
@@ -291,10 +308,15 @@ def diversity(df: DataFrame, vector: str = "embedding", group: str | None = None
 
     Over ordered pairs the cosines add up to ``|Σu|² − Σ|u|²``.
     """
-    rows = df.select(*([group] if group else []), unit(as_double(vector)).alias("u"))
+    known = df.where(F.col(vector).isNotNull())
+    if not group and known.isEmpty():
+        return df.sparkSession.range(1).select(F.lit(0.0).alias("diversity"))
+    rows = with_unit(known.select(*([group] if group else []), vector), vector)
     grouped = rows.groupBy(group) if group else rows.groupBy()
     sums = grouped.agg(
-        F.count("*").alias("n"), sum_vector(F.col("u")).alias("s"), F.sum(squared_norm(F.col("u"))).alias("q")
+        F.count("*").alias("n"),
+        sum_unit("unit").alias("s"),
+        F.count_if(is_nonzero(vector)).cast("double").alias("q"),
     )
     n = F.col("n")
     pairs = (n * (n - 1)).cast("double")
@@ -306,8 +328,13 @@ def centroid_distance(
     df: DataFrame, other: DataFrame, vector: str = "embedding", group: str | None = None
 ) -> DataFrame:
     """L2 distance between the mean vectors; 0 when a side is empty."""
-    center = other.select(mean_vector(as_double(vector))).scalar()
-    rows = df.select(*([group] if group else []), as_double(vector).alias("v"))
+    known = other.where(F.col(vector).isNotNull())
+    mine = df.where(F.col(vector).isNotNull())
+    if known.isEmpty() or mine.isEmpty():
+        zero = F.lit(0.0).alias("centroid_distance")
+        return df.select(group, zero).distinct() if group else df.sparkSession.range(1).select(zero)
+    center = known.select(mean_vector(as_double(vector))).scalar()
+    rows = mine.select(*([group] if group else []), as_double(vector).alias("v"))
     grouped = rows.groupBy(group) if group else rows.groupBy()
     means = grouped.agg(mean_vector(F.col("v")).alias("m"))
     gap = F.zip_with("m", F.col("c"), lambda x, y: x - y)

@@ -6,6 +6,7 @@ from textloom.sources.readers import (  # noqa: F401
     load,
     read_jsonl,
     replicate,
+    spread,
     text_column,
 )
 from textloom.sources.writers import write_csv, write_jsonl  # noqa: F401

@@ -120,6 +120,17 @@ def read_jsonl(
     return spark.read.schema(schema).option("mode", "FAILFAST").json(wanted)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly per-row work enough tasks when a scan yields only a few.
+
+    For frames read straight from files. Small files make few splits, and a file
+    with one row group makes one busy task; such inputs are small, so the extra
+    exchange is cheap. Scans with enough splits stay as they are.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * wanted else scan.repartition(wanted)
+
+
 def text_column(df: DataFrame, column: str = "comment") -> DataFrame:
     """One column as text without nulls. Nulls go first, so they never become the text 'None'."""
     return df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias(column))
