@@ -69,7 +69,7 @@ def test_coverage_and_missing(spark):
     assert {(r[0], r[1], r[2]) for r in counts.collect()} == {("k", "a", 2), ("d", "h", 1), ("l", "x", 1), ("l", "y", 1)}
     with_null = summaries.coverage(df, {"d": "d"}, count_null=["d"])
     assert {(r[1], r[2]) for r in with_null.collect()} == {(None, 1), ("h", 1), ("", 1)}
-    gone = summaries.missing_values(spark, counts, {"k": ["a", "b"], "l": ["x", "z"]})
+    gone = summaries.missing_values(counts, {"k": ["a", "b"], "l": ["x", "z"]})
     assert {tuple(r) for r in gone.collect()} == {("k", "b"), ("l", "z")}
     report = summaries.coverage_report(counts, df, {"l": 1}).collect()
     assert {(r["dimension"], r["value"], r["rank"]) for r in report} == {("k", "a", 1), ("d", "h", 1), ("l", "x", 1)}

@@ -152,8 +152,8 @@ def k9(spark, folder):
 
 @query(
     "k11_cleaned_csv",
-    r"""SELECT CAST(page_id AS VARCHAR) AS page_id, md5(replace(html, chr(13), chr(10))) AS digest FROM pages
-        WHERE NOT regexp_matches(html, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AND NOT contains(html, '_x000D_')""",
+    r"""SELECT CAST(page_id AS VARCHAR) AS page_id, md5(replace(replace(regexp_replace(html,
+          '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '_x000D_', ' '), chr(13), chr(10))) AS digest FROM pages""",
 )
 def k11(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", F.concat(F.lit("\x07"), "html").alias("html"))

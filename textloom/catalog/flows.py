@@ -56,14 +56,14 @@ def report(spark, folder):
 
 
 def _corpora(spark, folder):
-    """Vectors with the texts of the documents of the same id, in two sides."""
+    """Vectors with the texts of the documents of the same id; labelled ones are organic."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("example_type")
     )
     rows = vectors.join(docs, "id").withColumn("metadata", F.struct("example_type"))
-    organic = F.col("id") % 4 == 0
-    return rows.where(~organic), rows.where(organic)
+    marked = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
+    return rows.join(marked, "id", "left_anti"), rows.join(marked, "id", "left_semi")
 
 
 @query("flow_compare")

@@ -165,7 +165,7 @@ def g6(spark, folder):
 
     tasks = _tasks(spark, folder).where(F.col("example_type") == "hard_non_alert")
     seen = summaries.coverage(tasks, {"non_alert_types": "non_alert_type"}, {"alert_types": "alert_types"})
-    missing = summaries.missing_values(spark, seen, UNIVERSE)
+    missing = summaries.missing_values(seen, UNIVERSE)
     rows = generation.targeted_tasks(missing, 10)
     return rows.select("task_id", "example_type", F.array_join("alert_types", ",").alias("alert_types"),
                        "non_alert_type", "tone")

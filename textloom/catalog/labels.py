@@ -375,9 +375,8 @@ def a9(spark, folder):
         nations, F.col("s_nationkey") == F.col("n_nationkey")
     )
     seen = summaries.coverage(suppliers, {"nation": "n_name"})
-    # The universe is a dimension of fixed size.
-    names = [r["n_name"] for r in nations.select("n_name").collect()]
-    return summaries.missing_values(spark, seen, {"nation": names})
+    universe = nations.select(F.lit("nation").alias("dimension"), F.col("n_name").alias("value"))
+    return summaries.missing_values(seen, universe)
 
 
 @query(

@@ -1,4 +1,5 @@
-"""Embedding comparison. Every fourth vector plays the organic side, the label is the topic."""
+"""Embedding comparison. Vectors of documents people have labelled play the organic side,
+all others the synthetic side; the label of a vector is its topic."""
 
 from __future__ import annotations
 
@@ -11,12 +12,13 @@ from textloom.operators import similarity, summaries
 def sides(spark, folder):
     """(synthetic, organic)."""
     rows = table(spark, folder, "embeddings")
-    organic = F.col("vec_id") % 4 == 0
-    return rows.where(~organic), rows.where(organic)
+    marked = table(spark, folder, "labels").select(F.col("doc_id").alias("vec_id"))
+    return rows.join(marked, "vec_id", "left_anti"), rows.join(marked, "vec_id", "left_semi")
 
 
 SQL_SIDES = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  o AS (SELECT * FROM e WHERE vec_id % 4 = 0), s AS (SELECT * FROM e WHERE vec_id % 4 <> 0),
+  o AS (SELECT * FROM e WHERE vec_id IN (SELECT doc_id FROM labels)),
+  s AS (SELECT * FROM e WHERE vec_id NOT IN (SELECT doc_id FROM labels)),
   sim AS (SELECT s.vec_id AS id, s.label, o.vec_id AS oid, round(list_cosine_similarity(s.v, o.v), 12) AS c FROM s, o)
 """
 SQL_BEST = """, best AS (SELECT id, label, max(c) AS c, min(oid) FILTER (c = m) AS nearest_id FROM
@@ -120,9 +122,9 @@ SQL_DIVERSITY = """SELECT round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS
   FROM {t} a JOIN {t} b ON a.vec_id < b.vec_id"""
 
 
-@query("v6_diversity", SQL_SIDES + SQL_DIVERSITY.format(t="s"))
+@query("v6_diversity", SQL_SIDES + SQL_DIVERSITY.format(t="e"))
 def v6(spark, folder):
-    return similarity.diversity(sides(spark, folder)[0]).select(F.round("diversity", 6).alias("diversity"))
+    return similarity.diversity(table(spark, folder, "embeddings")).select(F.round("diversity", 6).alias("diversity"))
 
 
 @query(
@@ -136,7 +138,7 @@ def v7(spark, folder):
 
 @query("v8_kmeans")
 def v8(spark, folder):
-    grouped = similarity.cluster(sides(spark, folder)[0], 10).groupBy("cluster")
+    grouped = similarity.cluster(table(spark, folder, "embeddings"), 10).groupBy("cluster")
     return grouped.agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
 
 
@@ -168,8 +170,7 @@ def v10(spark, folder):
 
 @query("v11_pca")
 def v11(spark, folder):
-    s, _ = sides(spark, folder)
-    reduced = similarity.reduce_dimensions(s, 50)
+    reduced = similarity.reduce_dimensions(table(spark, folder, "embeddings"), 50)
     return reduced.select("vec_id", F.size("reduced").alias("n"), F.round(F.abs(F.col("reduced")[0]), 4).alias("first"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def percent(part: Column, total: Column) -> Column:
@@ -128,7 +128,8 @@ def coverage_report(
 ) -> DataFrame:
     """Rank and share of every value; dimensions named in ``top`` keep their first k.
 
-    ``total`` is the frame whose rows are the whole.
+    ``counts`` has one row per label of a dimension, ``total`` is the frame whose
+    rows are the whole.
     """
     n_total = total.select(F.count("*")).scalar()
     window = W.partitionBy("dimension").orderBy(F.desc("n"), "value")
@@ -138,12 +139,15 @@ def coverage_report(
     return ranked.withColumn("share_pct", percent(F.col("n"), n_total))
 
 
-def missing_values(
-    spark: SparkSession, counts: DataFrame, universe: Mapping[str, Sequence[str]]
-) -> DataFrame:
-    """``(dimension, value)`` of the universe that were never seen."""
-    rows = [(name, value) for name, values in universe.items() for value in values]
-    wanted = spark.createDataFrame(rows, "dimension string, value string")
+def missing_values(counts: DataFrame, universe: Mapping[str, Sequence[str]] | DataFrame) -> DataFrame:
+    """``(dimension, value)`` of the universe that were never seen.
+
+    The universe is a set of label lists or a ``(dimension, value)`` frame.
+    """
+    wanted = universe
+    if not isinstance(universe, DataFrame):
+        rows = [(name, value) for name, values in universe.items() for value in values]
+        wanted = counts.sparkSession.createDataFrame(rows, "dimension string, value string")
     return wanted.join(counts.select("dimension", "value"), ["dimension", "value"], "left_anti")
 
 

@@ -37,8 +37,8 @@ def compare(
     """
     best = similarity.nearest(synthetic, organic, "id", "id", vector, vector)
     scored = materialize(synthetic.join(best, "id"), "scored")
-    overall = similarity.distribution_metrics(scored, organic, "id", "id", vector, seed=seed).crossJoin(
-        similarity.diversity(scored, vector)  # one row each
+    overall = similarity.distribution_metrics(scored, organic, "id", "id", vector, seed=seed).withColumn(
+        "diversity", similarity.diversity(scored, vector).scalar()
     )
     topics = similarity.topic_metrics(
         scored, organic, "id", "id", topic, vector, "max_similarity", seed=seed

@@ -44,7 +44,7 @@ def generate(
     """
     tasks = task_queue(spark, n, shares, seed).drop("queue_key")
     examples = materialize(run_tasks(tasks, engine, **options), "examples")
-    missing = missing_values(spark, example_coverage(examples), UNIVERSE)
+    missing = missing_values(example_coverage(examples), UNIVERSE)
     gaps = targeted_tasks(missing, per_gap, first_id=n)
     filled = materialize(run_tasks(gaps, engine, **options), "gap-fill")
     return examples.unionByName(filled)
