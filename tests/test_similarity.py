@@ -39,7 +39,7 @@ def nearest(spark, q, b, **options):
 
 @pytest.mark.parametrize("path", ["broadcast", "tiles"])
 def test_nearest_matches_brute_force(spark, clustered, path, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_ROWS", 40)  # the hot cell needs many tiles
+    monkeypatch.setattr(sim, "TILE_BYTES", 40 * 8 * 8)  # the hot cell needs many tiles
     q, b = clustered
     got = nearest(spark, q, b, broadcast_bytes=0 if path == "tiles" else 1 << 30)
     want = cosine(q, b)
@@ -50,12 +50,12 @@ def test_nearest_matches_brute_force(spark, clustered, path, monkeypatch):
 
 
 def test_tiles_stay_bounded_and_skip_cells(spark, clustered, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_ROWS", 40)
+    monkeypatch.setattr(sim, "TILE_BYTES", 40 * 8 * 8)
     q, b = clustered
     left, right = sim._tiles(
         sim._vectors(frame(spark, q), "id", "embedding"),
         sim._vectors(frame(spark, b), "id", "embedding"),
-        len(b),
+        b.shape,
         None,
     )
     for side in (left, right):
@@ -84,7 +84,7 @@ def test_mean_similarity(spark, clustered):
 @pytest.mark.parametrize("limit", [0, 1 << 30])
 @pytest.mark.parametrize("threshold", [0.7, 0.999, -1.0])
 def test_coverage_by_group(spark, clustered, limit, threshold, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_ROWS", 50)
+    monkeypatch.setattr(sim, "TILE_BYTES", 50 * 8 * 8)
     q, b = clustered
     groups = np.array([str(i % 3) for i in range(len(b))])
     got = sim.covered_counts(frame(spark, q), frame(spark, b, g=groups), "id", "id", "g", threshold, broadcast_bytes=limit)

@@ -51,8 +51,10 @@ def too_similar_udf(threshold: float):
     return too_similar
 
 
-def _split_rank(df: DataFrame, groups: list[str], key: str, digits: int, out: str, seed: int | str) -> DataFrame:
-    """0-based position within the group in hash order.
+def _split_rank(
+    df: DataFrame, groups: list[str], key: str, digits: int, out: str, seed: int | str, size: str | None = None
+) -> DataFrame:
+    """0-based position within the group in hash order, and the group's row count as ``size``.
 
     A group is ranked in ``16**digits`` separate parts, so a group with a third of
     all rows spreads over as many tasks.
@@ -60,8 +62,10 @@ def _split_rank(df: DataFrame, groups: list[str], key: str, digits: int, out: st
     df = df.withColumn("_h", order_key(key, seed)).withColumn("_p", F.substring("_h", 1, digits))
     part = [*groups, "_p"]
     sizes = df.groupBy(*part).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*groups).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    group = W.partitionBy(*groups)
+    before = group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    totals = [F.sum("_n").over(group).alias(size)] if size else []
+    starts = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *totals)
     ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*part).orderBy("_h", key)))
     joined = ranked.join(starts, part)
     return joined.withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_h", "_p", "_r", "_start")
@@ -96,17 +100,22 @@ def length_range(length: Column, bin_size: int | None = None) -> tuple[Column, C
 
 
 def _prepared(
-    inputs: DataFrame, key: str, text: str, shorter: list[int], bin_size: int | None, seed: int | str
-) -> DataFrame:
+    inputs: DataFrame, key: str, text: str, shorter: list[int], bin_size: int | None, seed: int | str,
+    keep_text: bool,
+) -> DataFrame:
+    """Inputs with their copy number and their range of positions; the text only if it is needed."""
     top = len(shorter) - 1
     table = literal_array(shorter, "bigint")
     body = strip_ws(F.col(text))
     rows = inputs.select(F.col(key).alias("input_id"), F.coalesce(body, F.lit("")).alias("input_text"))
-    rows = rows.withColumn("input_key", F.md5(F.lower("input_text")))
-    rows = _split_rank(rows, ["input_key"], "input_id", 2, "copy", f"{seed}-copy")
-    copies = rows.groupBy("input_key").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "input_key")
-    low, high = length_range(F.length("input_text"), bin_size)
+    rows = rows.select(
+        "input_id",
+        F.md5(F.lower("input_text")).alias("input_key"),
+        F.length("input_text").alias("input_length"),
+        *(["input_text"] if keep_text else []),
+    )
+    rows = _split_rank(rows, ["input_key"], "input_id", 2, "copy", f"{seed}-copy", "copies")
+    low, high = length_range(F.col("input_length"), bin_size)
 
     def at(length: Column) -> Column:
         return F.element_at(table, (F.least(length, F.lit(top)) + 1).cast("int"))
@@ -148,8 +157,9 @@ def match_by_length(
     total = shorter[-1]
     if total == 0:
         raise ValueError("no reference texts")
-    rows = _prepared(inputs, input_key, input_text, shorter, bin_size, seed)
-    if threshold is None:
+    checked = threshold is not None
+    rows = _prepared(inputs, input_key, input_text, shorter, bin_size, seed, checked)
+    if not checked:
         wanted = rows.withColumn("position", _candidate(F.col("copy"), total, seed))
         return wanted.join(refs, "position").select("input_id", "ref_id", "ref_text")
     return _match_checked(rows, refs, total, threshold, max_probes, seed)

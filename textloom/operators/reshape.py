@@ -69,6 +69,7 @@ def explode_results(
             reasoning.alias("reasoning"),
             other.alias("non_alert_classification"),
             other_reasoning.alias("non_alert_reasoning"),
+            F.lit(True).alias("_row"),
         )
 
     none = F.lit(None)
@@ -85,9 +86,11 @@ def explode_results(
         ),
     )
     lines = F.when(r.isNull(), F.array(failed)).when(r["has_alerts"], alerts).otherwise(F.array(quiet))
-    return df.select(
-        text_id(row_id).alias("text_id"), F.col(text).alias("original_text"), F.inline(lines)
+    # The outer form builds the lines once; plain inline repeats them in an inferred filter.
+    rows = df.select(
+        text_id(row_id).alias("text_id"), F.col(text).alias("original_text"), F.inline_outer(lines)
     )
+    return rows.where("_row").drop("_row")
 
 
 def training_pairs(

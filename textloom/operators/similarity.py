@@ -31,7 +31,8 @@ from textloom.functions.vectors import (
 from textloom.operators.sampling import group_sample, hash_sample
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-TILE_ROWS = 4096
+TILE_BYTES = 32 * 1024 * 1024  # of vectors per side; a bigger tile means less shuffling
+VISIT_ROWS = 4096  # rows per Arrow batch when queries fan out to cells
 BLOCK_CELLS = 4_000_000  # similarity values held at once
 MAX_PIVOTS = 1024
 DIGITS = 12  # similarities equal to this many decimals tie; the lowest id wins
@@ -89,15 +90,16 @@ def _vectors(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
     )
 
 
-def _fits(base: DataFrame, limit: int) -> tuple[bool, int]:
+def _shape(base: DataFrame) -> tuple[int, int]:
+    """Rows and dimensions."""
     size = base.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    return size["n"] * size["d"] * 8 <= limit, size["n"]
+    return size["n"], size["d"]
 
 
 def _tiles(
-    queries: DataFrame, base: DataFrame, n_base: int, threshold: float | None
+    queries: DataFrame, base: DataFrame, shape: tuple[int, int], threshold: float | None
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides keyed by ``(cell, b, q)``, at most about TILE_ROWS rows of each side per key.
+    """Both sides keyed by ``(cell, b, q)``, about TILE_BYTES of vectors per side and key at most.
 
     A cell is the base rows nearest to one pivot, with the widest angle between
     them. By the triangle inequality on angles no row of a cell is closer to a
@@ -105,6 +107,8 @@ def _tiles(
     pivot (or beyond the threshold) are left out without changing the result.
     """
     spark = base.sparkSession
+    n_base, dimensions = shape
+    tile_rows = max(1, TILE_BYTES // (8 * max(1, dimensions)))
     n_pivots = int(min(MAX_PIVOTS, max(1, n_base**0.5)))
     sample = hash_sample(base, "id", n_pivots, "pivot").select("v").toArrow()
     pivots = spark.sparkContext.broadcast(_matrix(sample.column("v")))
@@ -140,20 +144,20 @@ def _tiles(
             reach = angles.min(axis=1, keepdims=True) if within is None else within
             nearest_possible = np.maximum(angles[:, ids] - radii, 0.0)
             row, cell = np.nonzero(nearest_possible <= reach + ANGLE_SLACK)
-            for part in range(0, len(row), TILE_ROWS):
-                at = pa.array(row[part : part + TILE_ROWS])
+            for part in range(0, len(row), VISIT_ROWS):
+                at = pa.array(row[part : part + VISIT_ROWS])
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("id").take(at),
                         rows.column("v").take(at),
-                        pa.array(ids[cell[part : part + TILE_ROWS]].astype(np.int32)),
+                        pa.array(ids[cell[part : part + VISIT_ROWS]].astype(np.int32)),
                     ],
                     names=["id", "v", "cell"],
                 )
 
     visits = queries.select("id", "v").mapInArrow(visit, "id bigint, v array<double>, cell int")
     visited = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(int(c), -(-cells[c][0] // TILE_ROWS), -(-n // TILE_ROWS)) for c, n in visited.items()]
+    plan = [(int(c), -(-cells[c][0] // tile_rows), -(-n // tile_rows)) for c, n in visited.items()]
     # At most MAX_PIVOTS rows.
     tiles = F.broadcast(spark.createDataFrame(plan, "cell int, b_tiles int, q_tiles int"))
     salt = F.xxhash64("id")
@@ -187,7 +191,8 @@ def nearest(
     left = _vectors(queries, query_key, query_vector)
     right = _vectors(base, base_key, base_vector)
     schema = "id bigint, max_similarity double, nearest_id bigint"
-    small, n_base = _fits(right, broadcast_bytes)
+    n_base, dimensions = _shape(right)
+    small = n_base * dimensions * 8 <= broadcast_bytes
     if n_base == 0:
         return left.select("id", F.lit(None).cast("double").alias("max_similarity"),
                            F.lit(None).cast("bigint").alias("nearest_id"))
@@ -212,7 +217,7 @@ def nearest(
 
         return left.mapInArrow(scan, schema)
 
-    q_tiles, b_tiles = _tiles(left, right, n_base, None)
+    q_tiles, b_tiles = _tiles(left, right, (n_base, dimensions), None)
 
     def work(q: pa.Table, b: pa.Table) -> pa.Table:
         if not q.num_rows or not b.num_rows:
@@ -261,7 +266,8 @@ def covered_counts(
     label = F.lit("all") if group is None else F.col(group).cast("string")
     left = _vectors(queries, query_key, query_vector)
     right = _vectors(base.withColumn("_g", label), base_key, base_vector, F.col("_g").alias("grp"))
-    small, n_base = _fits(right, broadcast_bytes)
+    n_base, dimensions = _shape(right)
+    small = n_base * dimensions * 8 <= broadcast_bytes
     if n_base == 0:
         return base.sparkSession.createDataFrame([], "grp string, covered bigint")
 
@@ -285,7 +291,7 @@ def covered_counts(
         counts = left.mapInArrow(scan, "grp string, n bigint").groupBy("grp")
         return counts.agg(F.sum("n").alias("covered")).where("covered > 0")
 
-    q_tiles, b_tiles = _tiles(left, right, n_base, threshold)
+    q_tiles, b_tiles = _tiles(left, right, (n_base, dimensions), threshold)
 
     def work(q: pa.Table, b: pa.Table) -> pa.Table:
         ids, groups = np.array([], dtype=np.int64), np.array([], dtype=str)

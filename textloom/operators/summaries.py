@@ -106,7 +106,8 @@ def coverage(
     sets = [pairs(name, F.array(col(c))) for name, c in scalars.items()]
     empty = F.array().cast("array<string>")
     sets += [pairs(name, F.coalesce(col(c), empty)) for name, c in (arrays or {}).items()]
-    rows = df.select(F.inline(F.concat(*sets)))
+    # The outer form: plain inline would compute the arrays twice, once for an inferred filter.
+    rows = df.select(F.inline_outer(F.concat(*sets))).where(F.col("dimension").isNotNull())
     given = F.col("value").isNotNull() & (F.col("value") != "")
     rows = rows.where(given | F.col("dimension").isin(list(count_null)))
     return rows.groupBy("dimension", "value").agg(F.count("*").alias("n"))
