@@ -8,6 +8,7 @@ still fails carries its error instead of stopping the job.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -15,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder
 from pyspark.resource import TaskResourceRequests
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -206,9 +208,8 @@ def gpu_profile(copies_per_gpu: int = 1, gpus_per_copy: int = 1) -> ResourceProf
 _loaded: dict[str, Backend] = {}
 
 
-def _ready(engine: Backend) -> Backend:
+def _ready(engine: Backend, key: str) -> Backend:
     """One loaded instance per worker process, shared by all its tasks."""
-    key = f"{type(engine).__qualname__}:{engine.name}:{hash(engine) if engine.__hash__ else id(engine)}"
     if key not in _loaded:
         engine.load()
         _loaded[key] = engine
@@ -266,6 +267,7 @@ def infer(
     engine = backend(engine) if isinstance(engine, str) else engine
     if template and not formatted:
         df = chat_format(df, prompt, template)
+    engine_key = hashlib.md5(cloudpickle.dumps(engine)).hexdigest()
     guided = schema is not None or schema_column is not None
     settings = (GUIDED if guided else UNGUIDED).merged(options)
     kept = [c for c in df.columns if c not in ("outputs", "error")]
@@ -274,7 +276,7 @@ def infer(
     out = T.StructType(df.schema.fields + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(engine)
+        ready = _ready(engine, engine_key)
         for rows in batches:
             prompts = rows.column(prompt).to_pylist()
             keys = rows.column(row_id).to_pylist() if row_id else list(range(len(prompts)))

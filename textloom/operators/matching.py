@@ -78,6 +78,8 @@ def number_references(
     refs = references.select(
         F.col(key).alias("ref_id"), F.col(text).alias("ref_text"), F.length(text).alias("len")
     ).where(F.col("len") <= max_length)
+    # Counted and ranked below: written once, since references are often costly to derive.
+    refs = materialize(refs, "reference-texts")
     # One row per length, so at most max_length + 1.
     sizes = {r["len"]: r["n"] for r in refs.groupBy("len").agg(F.count("*").alias("n")).collect()}
     shorter, total = [], 0

@@ -7,11 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the library relies on. Duplicate JSON keys: the last one wins.
-REQUIRED_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.variant.allowDuplicateKeys": "true",
-}
+# What parsing relies on: of duplicate JSON keys the last one wins.
+REQUIRED_CONF = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
 _local_dirs: dict[str, str] = {}
 
@@ -25,6 +22,7 @@ def build_session(app_name: str = "textloom", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
         **REQUIRED_CONF,
         **conf,
     }
