@@ -1,7 +1,8 @@
-"""Turn a JSON schema into Spark expressions over a VARIANT.
+"""Turn a JSON schema into Spark SQL expressions over a VARIANT.
 
 ``compile_schema(schema)`` gives a node with three things: the Spark type of the
-value, a boolean check and a typed extraction. Both expressions run in the JVM.
+value, a boolean check and a typed extraction. Both are SQL text, so a schema of
+any size reaches Spark in one call and runs in the JVM.
 
 Two modes. ``lax=False`` is plain JSON-schema validation. ``lax=True`` also takes
 the values a data model coerces: ``"yes"``/``1`` for a boolean, ``"5"`` for an
@@ -11,9 +12,10 @@ integer.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import types as T
 
 # The strings a lenient boolean field accepts.
 TRUE_WORDS = ["1", "on", "t", "true", "y", "yes"]
@@ -34,109 +36,128 @@ def schema_key(schema: dict | None) -> str:
     return "no_schema" if schema is None else json.dumps(schema, sort_keys=True)
 
 
-def _member(v: Column, name: str) -> Column:
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(v, f"$['{quoted}']", "variant")
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _get(v: str, kind: str, path: str = "$") -> str:
+    return f"try_variant_get({v}, {quoted(path)}, '{kind}')"
 
 
-def _is_null(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
+def _member(v: str, name: str) -> str:
+    key = name.replace("\\", "\\\\").replace("'", "\\'")
+    return _get(v, "variant", f"$['{key}']")
 
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+def _kind(v: str) -> str:
+    return f"schema_of_variant({v})"
 
 
-def _is_number(v: Column) -> Column:
-    kind = _kind(v)
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+def _is_null(v: str) -> str:
+    return f"({v} IS NULL OR is_variant_null({v}))"
+
+
+def _text(v: str) -> str:
+    return _get(v, "string")
+
+
+def _is_text(v: str) -> str:
+    return f"{_kind(v)} = 'STRING'"
+
+
+def _is_list(v: str) -> str:
+    return f"startswith({_kind(v)}, 'ARRAY')"
+
+
+def _is_object(v: str) -> str:
+    return f"startswith({_kind(v)}, 'OBJECT')"
+
+
+def _is_number(v: str) -> str:
+    return f"({_kind(v)} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({_kind(v)}, 'DECIMAL'))"
+
+
+def _is_word(v: str, words: list[str]) -> str:
+    return f"lower({_text(v)}) IN ({', '.join(map(quoted, words))})"
 
 
 class Node:
-    """A compiled schema position."""
+    """A compiled schema position. ``v`` is the SQL text of a VARIANT expression."""
 
     def __init__(self, dtype: T.DataType, nullable: bool = False):
         self.dtype = dtype
         self.nullable = nullable
-        self.rules: list = []
+        self.rules: list[Callable[[str], str]] = []
 
-    def check(self, v: Column, lax: bool = False) -> Column:
+    def check(self, v: str, lax: bool = False) -> str:
         """Never null. A missing member is the parent's business."""
-        ok = F.coalesce(self._check(v, lax), F.lit(False))
-        for rule in self.rules:
-            ok = ok & F.coalesce(rule(v), F.lit(False))
-        return (_is_null(v) | ok) if self.nullable else (~_is_null(v) & ok)
+        tests = [self._check(v, lax), *[rule(v) for rule in self.rules]]
+        ok = " AND ".join(f"coalesce({t}, false)" for t in tests)
+        return f"({_is_null(v)} OR ({ok}))" if self.nullable else f"(NOT {_is_null(v)} AND {ok})"
 
-    def value(self, v: Column, lax: bool = False) -> Column:
-        return F.when(~_is_null(v), self._value(v, lax))
+    def value(self, v: str, lax: bool = False) -> str:
+        return f"CASE WHEN NOT {_is_null(v)} THEN {self._value(v, lax)} END"
 
-    def _check(self, v: Column, lax: bool) -> Column:
+    def _check(self, v: str, lax: bool) -> str:
         raise NotImplementedError
 
-    def _value(self, v: Column, lax: bool) -> Column:
-        return F.try_variant_get(v, "$", self.dtype.simpleString())
+    def _value(self, v: str, lax: bool) -> str:
+        return _get(v, self.dtype.simpleString())
 
 
 class _Any(Node):
     def _check(self, v, lax):
-        return F.lit(True)
+        return "true"
 
     def _value(self, v, lax):
-        return F.to_json(v)
+        return f"to_json({v})"
 
 
 class _String(Node):
     def _check(self, v, lax):
-        return _kind(v) == "STRING"
+        return _is_text(v)
 
 
 class _Boolean(Node):
     def _check(self, v, lax):
-        strict = _kind(v) == "BOOLEAN"
+        strict = f"{_kind(v)} = 'BOOLEAN'"
         if not lax:
             return strict
-        word = F.lower(_text(v))
-        return (
-            strict
-            | ((_kind(v) == "STRING") & word.isin(TRUE_WORDS + FALSE_WORDS))
-            | (_is_number(v) & F.try_variant_get(v, "$", "double").isin(0.0, 1.0))
-        )
+        word = f"{_is_text(v)} AND {_is_word(v, TRUE_WORDS + FALSE_WORDS)}"
+        number = f"{_is_number(v)} AND {_get(v, 'double')} IN (0D, 1D)"
+        return f"({strict} OR ({word}) OR ({number}))"
 
     def _value(self, v, lax):
         if not lax:
             return super()._value(v, lax)
-        number = F.when(_is_number(v), F.try_variant_get(v, "$", "double") == 1.0)
-        return F.coalesce(number, F.lower(_text(v)).isin(TRUE_WORDS))
+        number = f"CASE WHEN {_is_number(v)} THEN {_get(v, 'double')} = 1D END"
+        return f"coalesce({number}, {_is_word(v, TRUE_WORDS)})"
 
 
 class _Integer(Node):
     def _check(self, v, lax):
-        number = F.try_variant_get(v, "$", "double")
-        strict = _is_number(v) & (number == F.floor(number))
+        number = _get(v, "double")
+        strict = f"({_is_number(v)} AND {number} = floor({number}))"
         if not lax:
             return strict
-        return strict | ((_kind(v) == "STRING") & _text(v).rlike(r"^\s*[+-]?\d+\s*$"))
+        pattern = quoted(r"^\s*[+-]?\d+\s*$")
+        return f"({strict} OR ({_is_text(v)} AND regexp_like({_text(v)}, {pattern})))"
 
     def _value(self, v, lax):
-        as_long = F.try_variant_get(v, "$", "bigint")
-        return F.coalesce(as_long, F.trim(_text(v)).try_cast("bigint")) if lax else as_long
+        whole = _get(v, "bigint")
+        return f"coalesce({whole}, try_cast(trim({_text(v)}) AS BIGINT))" if lax else whole
 
 
 class _Number(Node):
     def _check(self, v, lax):
         if not lax:
             return _is_number(v)
-        return _is_number(v) | (
-            (_kind(v) == "STRING") & F.trim(_text(v)).try_cast("double").isNotNull()
-        )
+        return f"({_is_number(v)} OR ({_is_text(v)} AND try_cast(trim({_text(v)}) AS DOUBLE) IS NOT NULL))"
 
     def _value(self, v, lax):
-        number = F.try_variant_get(v, "$", "double")
-        return F.coalesce(number, F.trim(_text(v)).try_cast("double")) if lax else number
+        number = _get(v, "double")
+        return f"coalesce({number}, try_cast(trim({_text(v)}) AS DOUBLE))" if lax else number
 
 
 class _Null(Node):
@@ -145,20 +166,17 @@ class _Null(Node):
 
 
 class _Array(Node):
-    def __init__(self, item: Node):
+    def __init__(self, item: Node, variable: str):
         super().__init__(T.ArrayType(item.dtype))
-        self.item = item
-
-    def _parts(self, v):
-        return F.try_variant_get(v, "$", "array<variant>")
+        self.item, self.variable = item, variable
 
     def _check(self, v, lax):
-        return _kind(v).startswith("ARRAY") & F.forall(
-            self._parts(v), lambda x: self.item.check(x, lax)
-        )
+        x = self.variable
+        return f"{_is_list(v)} AND forall({_get(v, 'array<variant>')}, {x} -> {self.item.check(x, lax)})"
 
     def _value(self, v, lax):
-        return F.transform(self._parts(v), lambda x: self.item.value(x, lax))
+        x = self.variable
+        return f"transform({_get(v, 'array<variant>')}, {x} -> {self.item.value(x, lax)})"
 
 
 class _Object(Node):
@@ -168,24 +186,22 @@ class _Object(Node):
         self.members, self.required, self.closed = members, required, closed
 
     def _check(self, v, lax):
-        ok = _kind(v).startswith("OBJECT")
+        tests = [_is_object(v)]
         for name, node in self.members.items():
             member = _member(v, name)
-            present_ok = node.check(member, lax)
-            ok = ok & (present_ok & member.isNotNull() if name in self.required
-                       else member.isNull() | present_ok)
-        for name in sorted(self.required - set(self.members)):
-            ok = ok & _member(v, name).isNotNull()
+            fine = node.check(member, lax)
+            needed = name in self.required
+            tests.append(f"({member} IS NOT NULL AND {fine})" if needed else f"({member} IS NULL OR {fine})")
+        tests += [f"{_member(v, name)} IS NOT NULL" for name in sorted(self.required - set(self.members))]
         if self.closed:
-            keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-            known = F.array(*[F.lit(n) for n in self.members]).cast("array<string>")
-            ok = ok & (F.size(F.array_except(keys, known)) == 0)
-        return ok
+            known = f"array({', '.join(map(quoted, self.members))})"
+            keys = f"map_keys({_get(v, 'map<string,variant>')})"
+            tests.append(f"size(array_except({keys}, {known})) = 0")
+        return "(" + " AND ".join(tests) + ")"
 
     def _value(self, v, lax):
-        return F.struct(
-            *[node.value(_member(v, name), lax).alias(name) for name, node in self.members.items()]
-        )
+        parts = [f"{quoted(name)}, {node.value(_member(v, name), lax)}" for name, node in self.members.items()]
+        return f"named_struct({', '.join(parts)})"
 
 
 class _Union(Node):
@@ -197,13 +213,14 @@ class _Union(Node):
         self.options, self.exactly_one, self.same = options, exactly_one, len(types) == 1
 
     def _check(self, v, lax):
-        hits = sum((o.check(v, lax).cast("int") for o in self.options), F.lit(0))
-        return (hits == 1) if self.exactly_one else (hits >= 1)
+        hits = " + ".join(f"CAST({o.check(v, lax)} AS INT)" for o in self.options)
+        return f"({hits}) {'=' if self.exactly_one else '>='} 1"
 
     def _value(self, v, lax):
         if not self.same:
-            return F.to_json(v)
-        return F.coalesce(*[F.when(o.check(v, lax), o.value(v, lax)) for o in self.options])
+            return f"to_json({v})"
+        fits = [f"WHEN {o.check(v, lax)} THEN {o.value(v, lax)}" for o in self.options]
+        return f"CASE {' '.join(fits)} END"
 
 
 class _AllOf(Node):
@@ -212,10 +229,7 @@ class _AllOf(Node):
         self.options = options
 
     def _check(self, v, lax):
-        ok = F.lit(True)
-        for option in self.options:
-            ok = ok & option.check(v, lax)
-        return ok
+        return " AND ".join(o.check(v, lax) for o in self.options)
 
     def _value(self, v, lax):
         return self.options[0].value(v, lax)
@@ -230,38 +244,47 @@ def _resolve(root: dict, ref: str) -> dict:
     return target
 
 
-def _constraints(schema: dict) -> list:
-    def number(v):
-        return F.try_variant_get(v, "$", "double")
-
-    def when_kind(test, applies):
+def _constraints(schema: dict) -> list[Callable[[str], str]]:
+    def rule(applies, test):
         # A keyword only constrains values of its own type.
-        return lambda v: ~F.coalesce(applies(v), F.lit(False)) | test(v)
-
-    is_text = lambda v: _kind(v) == "STRING"
-    is_list = lambda v: _kind(v).startswith("ARRAY")
-    parts = lambda v: F.size(F.try_variant_get(v, "$", "array<variant>"))
-    makers = {
-        "minLength": lambda n: when_kind(lambda v: F.length(_text(v)) >= n, is_text),
-        "maxLength": lambda n: when_kind(lambda v: F.length(_text(v)) <= n, is_text),
-        "pattern": lambda p: when_kind(lambda v: _text(v).rlike(p), is_text),
-        "minimum": lambda n: when_kind(lambda v: number(v) >= n, _is_number),
-        "maximum": lambda n: when_kind(lambda v: number(v) <= n, _is_number),
-        "exclusiveMinimum": lambda n: when_kind(lambda v: number(v) > n, _is_number),
-        "exclusiveMaximum": lambda n: when_kind(lambda v: number(v) < n, _is_number),
-        "minItems": lambda n: when_kind(lambda v: parts(v) >= n, is_list),
-        "maxItems": lambda n: when_kind(lambda v: parts(v) <= n, is_list),
+        return lambda v: f"(NOT coalesce({applies(v)}, false) OR {test(v)})"
+
+    def length(v):
+        return f"length({_text(v)})"
+
+    def number(v):
+        return _get(v, "double")
+
+    def count(v):
+        return f"size({_get(v, 'array<variant>')})"
+
+    comparisons = {
+        "minLength": (_is_text, length, ">="),
+        "maxLength": (_is_text, length, "<="),
+        "minimum": (_is_number, number, ">="),
+        "maximum": (_is_number, number, "<="),
+        "exclusiveMinimum": (_is_number, number, ">"),
+        "exclusiveMaximum": (_is_number, number, "<"),
+        "minItems": (_is_list, count, ">="),
+        "maxItems": (_is_list, count, "<="),
     }
-    rules = [make(schema[word]) for word, make in makers.items() if word in schema]
+    rules = []
+    for word, (applies, measure, sign) in comparisons.items():
+        if word in schema:
+            bound = f"{float(schema[word])!r}D"
+            rules.append(rule(applies, lambda v, m=measure, s=sign, b=bound: f"{m(v)} {s} {b}"))
+    if "pattern" in schema:
+        pattern = quoted(schema["pattern"])
+        rules.append(rule(_is_text, lambda v: f"regexp_like({_text(v)}, {pattern})"))
     allowed = schema.get("enum", [schema["const"]] if "const" in schema else None)
     if allowed is not None:
         # Compare canonical JSON, so 1 and "1" stay apart.
         texts = [json.dumps(a, separators=(",", ":"), ensure_ascii=False) for a in allowed]
-        rules.append(lambda v: F.to_json(v).isin(texts))
+        rules.append(lambda v: f"to_json({v}) IN ({', '.join(map(quoted, texts))})")
     return rules
 
 
-def _node(schema: dict | bool, root: dict) -> Node:
+def _node(schema: dict | bool, root: dict, depth: int = 0) -> Node:
     if schema is True or schema == {}:
         return _Any(T.StringType(), nullable=True)
     if not isinstance(schema, dict):
@@ -270,40 +293,40 @@ def _node(schema: dict | bool, root: dict) -> Node:
     if unknown:
         raise ValueError(f"unsupported schema keywords: {sorted(unknown)}")
     if "$ref" in schema:
-        return _node(_resolve(root, schema["$ref"]), root)
+        return _node(_resolve(root, schema["$ref"]), root, depth)
     for word in ("anyOf", "oneOf"):
         if word in schema:
             options = [s for s in schema[word] if s.get("type") != "null"]
             nullable = len(options) < len(schema[word])
-            nodes = [_node(s, root) for s in options]
+            nodes = [_node(s, root, depth) for s in options]
             node = nodes[0] if len(nodes) == 1 else _Union(nodes, word == "oneOf")
             node.nullable = node.nullable or nullable
             node.rules += _constraints(schema)
             return node
     if "allOf" in schema:
-        return _AllOf([_node(s, root) for s in schema["allOf"]])
+        return _AllOf([_node(s, root, depth) for s in schema["allOf"]])
 
     kind = schema.get("type")
     if isinstance(kind, list):
         rest = [k for k in kind if k != "null"]
-        nodes = [_node({**schema, "type": k}, root) for k in rest]
+        nodes = [_node({**schema, "type": k}, root, depth) for k in rest]
         node = nodes[0] if len(nodes) == 1 else _Union(nodes, False)
         node.nullable = len(rest) < len(kind)
         return node
     if kind is None:
         kind = "object" if "properties" in schema else "string" if _all_text(schema) else "any"
     if kind == "object":
-        members = {n: _node(s, root) for n, s in schema.get("properties", {}).items()}
+        members = {n: _node(s, root, depth) for n, s in schema.get("properties", {}).items()}
         if not members:
             node = _Any(T.StringType())
-            node.rules.append(lambda v: _kind(v).startswith("OBJECT"))
+            node.rules.append(_is_object)
         else:
             extra = schema.get("additionalProperties", True)
             if not isinstance(extra, bool):
                 raise ValueError("additionalProperties must be true or false")
             node = _Object(members, set(schema.get("required", [])), not extra)
     elif kind == "array":
-        node = _Array(_node(schema.get("items", True), root))
+        node = _Array(_node(schema.get("items", True), root, depth + 1), f"item{depth}")
     elif kind == "null":
         node = _Null(T.StringType(), nullable=True)
     else:

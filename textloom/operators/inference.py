@@ -21,7 +21,7 @@ from pyspark.resource import ExecutorResourceRequests, ResourceProfile, Resource
 from pyspark.resource import TaskResourceRequests
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textloom.functions.jsonschema import schema_key
+from textloom.functions.jsonschema import quoted, schema_key
 from textloom.functions.text import let
 from textloom.operators.prompts import chat_format
 from textloom.schemas import ALERT_TYPES, SEVERITIES
@@ -142,7 +142,7 @@ def _filler(spec: dict, comment: str):
 
 
 def rule_response(
-    text: Column | str,
+    text: str,
     rules: Sequence[Rule],
     has_alerts: Column | None = None,
     non_alert: Column | None = None,
@@ -152,18 +152,13 @@ def rule_response(
     ``has_alerts`` overrides the verdict, e.g. with a human label, and
     ``non_alert`` the class of comments without alerts.
     """
-    source = F.col(text) if isinstance(text, str) else text
-
-    def span(lowered: Column, r: Rule) -> Column:
-        found = F.struct(
-            F.lit(r.phrase).alias("excerpt"),
-            F.lit(f"matched {r.phrase}").alias("reasoning"),
-            F.lit(r.label).alias("alert_type"),
-            F.lit(r.severity).alias("severity"),
-        )
-        return F.when(lowered.contains(r.phrase), found)
-
-    alerts = let(F.lower(source), lambda t: F.array_compact(F.array(*[span(t, r) for r in rules])))
+    spans = ", ".join(
+        f"CASE WHEN contains(t, {quoted(r.phrase)}) THEN named_struct('excerpt', {quoted(r.phrase)}, "
+        f"'reasoning', {quoted('matched ' + r.phrase)}, 'alert_type', {quoted(r.label)}, "
+        f"'severity', {quoted(r.severity)}) END"
+        for r in rules
+    )
+    alerts = F.expr(f"transform(array(lower(`{text}`)), t -> array_compact(array({spans})))[0]")
 
     def record(found: Column) -> Column:
         verdict = F.size(found) > 0 if has_alerts is None else has_alerts

@@ -7,7 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textloom.functions.jsonschema import Node, compile_schema
+from textloom.functions.jsonschema import compile_schema
 from textloom.functions.text import let, or_empty, strip_fences, strip_ws, truncate, with_computed
 from textloom.schemas import ALERTS_OUTPUT
 from textloom.session import prepare
@@ -50,17 +50,18 @@ def parse_typed(
     validate: bool = True,
 ) -> DataFrame:
     """Parse to the schema's struct; null when the text is not JSON or breaks the schema."""
-    prepare(df.sparkSession)
     node = compile_schema(schema)
-    tree = strict_json(strip_fences(text))
-    return with_computed(df, out, tree, lambda t: _typed(node, t, validate))
+    fits = node.check("tree", lax=True) if validate else "startswith(schema_of_variant(tree), 'OBJECT')"
+    return _with_tree(df, text, out, f"CASE WHEN {fits} THEN {node.value('tree', lax=True)} END")
 
 
-def _typed(node: Node, tree: Column, validate: bool) -> Column:
-    value = node.value(tree, lax=True)
-    if not validate:
-        return F.when(F.schema_of_variant(tree).startswith("OBJECT"), value)
-    return F.when(node.check(tree, lax=True), value)
+def _with_tree(df: DataFrame, text: str, out: str, body: str) -> DataFrame:
+    """Add a SQL expression over ``tree``, the parsed text, computed once per row."""
+    prepare(df.sparkSession)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    parsed = df.select("*", F.array(strict_json(strip_fences(text))).alias("_trees"))
+    # A generator keeps the optimizer from copying the parse; see with_computed.
+    return parsed.select(*rest, F.expr(f"explode_outer(transform(_trees, tree -> {body}))").alias(out))
 
 
 def parse_untyped(df: DataFrame, text: str = "response", strict: bool = False) -> DataFrame:
@@ -92,14 +93,9 @@ def validate_schema(
     df: DataFrame, schema: dict, text: str = "response", out: str = "valid", strict: bool = False
 ) -> DataFrame:
     """Boolean per row: an object that satisfies the JSON schema. Anything else is False."""
-    prepare(df.sparkSession)
     node = compile_schema(schema)
-
-    def holds(tree: Column) -> Column:
-        is_object = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
-        return is_object & node.check(tree, lax=False)
-
-    checked = with_computed(df, out, strict_json(strip_fences(text)), holds)
+    is_object = "coalesce(startswith(schema_of_variant(tree), 'OBJECT'), false)"
+    checked = _with_tree(df, text, out, f"{is_object} AND {node.check('tree')}")
     if strict:
         message = F.concat(F.lit("schema violation: "), truncate(or_empty(text), 200))
         failed = F.raise_error(message).cast("boolean")
