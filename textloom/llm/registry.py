@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination
+from textloom.llm import decontamination, near_dedup
 from textloom.llm.decontamination import op9_decontamination
 from textloom.llm.mixing import op10_mixing
+from textloom.llm.near_dedup import op1_near_dedup
 from textloom.llm.quality_rules import op7_quality_rules
 from textloom.llm.secrets import op8_secrets
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
 SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op9_decontamination": decontamination.SQL,
 }
