@@ -6,11 +6,15 @@ from textloom.llm import decontamination, near_dedup
 from textloom.llm.decontamination import op9_decontamination
 from textloom.llm.mixing import op10_mixing
 from textloom.llm.near_dedup import op1_near_dedup
+from textloom.llm.quality_model import op2_quality_model
 from textloom.llm.quality_rules import op7_quality_rules
 from textloom.llm.secrets import op8_secrets
+from textloom.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality_model": op2_quality_model,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
