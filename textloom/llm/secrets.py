@@ -29,12 +29,14 @@ BASE = (
         r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         2, 6, r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]",
     ),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
-    ("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    # A run that is long enough begins where the run of one or more begins, so the length can go into the pattern.
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    ("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 )
 # Class, window, least entropy in bits.
 CLASSES = (("hex", 20, 3.0), ("alnum", 20, 3.6), ("base64", 24, 3.9))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_QUICK = r"[A-Za-z0-9+/_=-]{20}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|your|redacted|x{6,}|0{8,}|123456789|abcdefgh"
@@ -43,28 +45,35 @@ ALLOWED = (
 _NONE = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end); matches whose group is too short are dropped."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _matched(df: DataFrame, out: str, pattern: str, kind: int, group: int, least: int, quick: str) -> DataFrame:
+    """Add leftmost non-overlapping matches as (start, kind, end); matches whose group is too short are dropped.
+
+    Lengths of pieces and matches are columns of their own first: an expression inside a fold
+    would be computed anew for every element.
+    """
+    text, hit = F.col("_text"), F.col("_text").rlike(quick)
+    lengths = lambda strings: F.transform(strings, lambda x: F.length(x))
+    found = lambda g: lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)))
+    df = df.withColumns({"_gaps": F.when(hit, lengths(F.split(text, pattern, -1))), "_hits": F.when(hit, found(0)), "_own": F.when(hit, found(group)) if group else F.lit(None).cast("array<int>")})
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(_NONE).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["pos"] + F.get(gaps, i)
-        end = begin + F.length(F.get(hits, i))
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["pos"] + x["_gaps"]
+        end = begin + x["_hits"]
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        fits = F.length(F.get(measured, i)) >= least
-        return F.struct(end.alias("pos"), F.when(fits, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("pos"), F.when(F.coalesce(x["_own"], x["_hits"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])
+    own = F.coalesce("_own", F.col("_hits")).alias("_own")
+    each = F.slice(F.arrays_zip("_gaps", "_hits", own), F.lit(1), F.size("_hits"))
+    spans = F.when(F.size("_hits") > 0, F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_NONE))
+    return df.withColumn(out, spans).drop("_gaps", "_hits", "_own")
 
 
 def _log_term(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_window(candidate: Column, window: Column, least: Column) -> Column:
+def hot_window(chars: Column, window: Column, least: Column) -> Column:
     """(first, last): from the start of the first to the end of the last window at or above the entropy; null without one."""
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"),
@@ -72,8 +81,8 @@ def hot_window(candidate: Column, window: Column, least: Column) -> Column:
     )
 
     def step(acc: Column, i: Column) -> Column:
-        enters = F.instr(F.lit(ALPHABET), F.substring(candidate, i, F.lit(1)))
-        leaves = F.when(i > window, F.instr(F.lit(ALPHABET), F.substring(candidate, i - window, F.lit(1)))).otherwise(0)
+        enters = F.instr(F.lit(ALPHABET), F.get(chars, i - 1))
+        leaves = F.when(i > window, F.instr(F.lit(ALPHABET), F.get(chars, i - window - 1))).otherwise(0)
         up, down = F.get(acc["counts"], enters - 1), F.coalesce(F.get(acc["counts"], leaves - 1), F.lit(0))
         change = _log_term(up + 1) - _log_term(up) + _log_term(down - 1) - _log_term(down)
         total = F.when(enters == leaves, acc["sum"]).otherwise(acc["sum"] + change)
@@ -86,7 +95,7 @@ def hot_window(candidate: Column, window: Column, least: Column) -> Column:
         )
 
     done = lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, done)
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, done)
 
 
 def _by_class(candidate: Column, place: int) -> Column:
@@ -101,23 +110,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # One expensive expression per projection: the optimizer keeps them apart, each is computed once.
     found = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind, (name, pattern, group, least, quick) in enumerate(BASE):
-        hit = F.col("_text").rlike(quick)
-        found = found.withColumn(f"_{name}", F.when(hit, _spans(F.col("_text"), pattern, kind, group, least)).otherwise(none))
-    found = found.withColumn(
-        "_cand", F.when(F.col("_text").rlike(r"[A-Za-z0-9+/_=-]{20}"), _spans(F.col("_text"), CANDIDATE, len(BASE), 0, 20)).otherwise(none)
-    )
+        found = _matched(found, f"_{name}", pattern, kind, group, least, quick)
+    found = _matched(found, "_cand", CANDIDATE, len(BASE), 0, 20, CANDIDATE_QUICK)
     found = found.withColumn("base", F.sort_array(F.concat(*[F.col(f"_{b[0]}") for b in BASE])))
-    judged = F.transform(
-        F.filter(
-            F.transform("_cand", lambda s: F.struct(s.alias("s"), F.substring(F.col("_text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("c"))),
-            lambda x: ~x["c"].rlike(ALLOWED) & ~F.exists("base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])),
-        ),
-        lambda x: F.struct(x["s"].alias("s"), hot_window(x["c"], _by_class(x["c"], 1), _by_class(x["c"], 2)).alias("w")),
+    cut = F.transform(
+        "_cand", lambda s: F.struct(s["start"].alias("start"), F.substring(F.col("_text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("c"), s["end"].alias("end"))
     )
-    found = found.withColumn("_hot", F.when(F.size("_cand") > 0, judged))
+    open_ = lambda x: ~x["c"].rlike(ALLOWED) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    found = found.withColumn("_cut", F.when(F.size("_cand") > 0, cut)).withColumn("_cut", F.filter("_cut", open_))
+    ready = lambda x: F.struct(x["start"].alias("start"), F.split(x["c"], "").alias("chars"), _by_class(x["c"], 1).alias("window"), _by_class(x["c"], 2).alias("least"))
+    found = found.withColumn("_ready", F.when(F.size("_cut") > 0, F.transform("_cut", ready)))
+    judged = F.transform("_ready", lambda x: F.struct(x["start"].alias("start"), hot_window(x["chars"], x["window"], x["least"]).alias("w")))
+    found = found.withColumn("_hot", judged)
     extra = F.transform(
         F.filter("_hot", lambda x: x["w"].isNotNull()),
-        lambda x: F.struct((x["s"]["start"] + x["w"]["first"]).alias("start"), F.lit(len(BASE)).alias("kind"), (x["s"]["start"] + x["w"]["last"]).alias("end")),
+        lambda x: F.struct((x["start"] + x["w"]["first"]).alias("start"), F.lit(len(BASE)).alias("kind"), (x["start"] + x["w"]["last"]).alias("end")),
     )
     spans = F.sort_array(F.concat("base", F.coalesce(extra, none)))
     return found.select(key, "_text", "base", spans.alias("spans"))
