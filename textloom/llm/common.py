@@ -31,5 +31,11 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return _materialize(df, name)
 
 
-def parallelism(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The row as one struct, _row, beside the columns asked for, so that no name of the table's can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of _row again, some of them replaced."""
+    return df.select(*[(replaced[c] if c in replaced else F.col("_row")[c]).alias(c) for c in columns])

@@ -25,7 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from textloom.llm.common import SPACE, checkpointed, documents, n_words
+from textloom.llm.common import SPACE, SPACE_CHARS, checkpointed, documents, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
@@ -169,23 +169,21 @@ def words_taken(pieces: Column | str = "_pieces") -> Column:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: one row per document and pass with the words taken, in the document's columns.
 
-    The taken words keep the white space between them where they are neighbours; pieces that
-    do not touch are set apart by a line break.
+    A document taken as a whole keeps its text. Of others the words of a block are joined by
+    spaces and blocks by line breaks; n_chars follows the new text.
     """
     pieces = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_pieces")
     pieces = pieces.groupBy("_id").agg(F.max(F.struct("_size", "_pieces")).alias("_p")).select("_id", F.col("_p._pieces").alias("_pieces"))
-    both = docs.join(pieces, docs["doc_id"].eqNullSafe(pieces["_id"])).drop("_id")
+    rows = packed(docs, _key=F.col("doc_id"), _text=F.coalesce(F.col("text"), F.lit("")))
+    both = rows.join(pieces, rows["_key"].eqNullSafe(pieces["_id"]))
     passes = both.withColumn("_pass", F.explode(F.array(F.lit(1), F.lit(2))))
-    used = F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))
-    whole = F.aggregate(used, F.lit(0).cast("long"), lambda a, p: a + p["high"] - p["low"])
-    tokens = F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), SPACE)
-    cut = F.array_join(F.transform(used, lambda p: F.array_join(F.slice("_w", (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")), " ")), "\n")
-    passes = passes.withColumn("_used", whole).where(F.col("_used") > 0).withColumn("_w", tokens)
-    text = F.when(F.col("_used") == F.size("_w"), F.col("text")).otherwise(cut)
-    out = {"text": text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(text).cast("long")
-    return passes.withColumns(out).select(*docs.columns)
+    passes = passes.withColumn("_used", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass")))
+    passes = passes.withColumn("_n", F.aggregate("_used", F.lit(0).cast("long"), lambda a, p: a + p["high"] - p["low"])).where(F.col("_n") > 0)
+    passes = passes.withColumn("_words", F.split(F.btrim("_text", F.lit(SPACE_CHARS)), SPACE))
+    cut = F.array_join(F.transform("_used", lambda p: F.array_join(F.slice("_words", (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")), " ")), "\n")
+    text = F.when(F.col("_n") == F.size("_words"), F.col("_text")).otherwise(cut)
+    passes = passes.withColumn("_cut", text)
+    return unpacked(passes, docs.columns, text=F.col("_cut"), n_chars=F.length("_cut").cast(dict(docs.dtypes).get("n_chars", "long")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.llm.common import SPACE, documents, words
+from textloom.llm.common import SPACE, documents, packed, unpacked, words
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -106,9 +106,8 @@ def cleaned_text(text: Column) -> Column:
 
 def clean(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
     """Kept documents with their failing lines removed, in the same columns."""
-    kept = measured(docs, text).where(keep_rule(max_lost))
-    out = kept.withColumn(text, cleaned_text(F.col(text)))
-    return out.select(*docs.columns)
+    kept = measured(packed(docs, text=F.col(text))).where(keep_rule(max_lost)).withColumn("text", cleaned_text(F.col("text")))
+    return unpacked(kept, docs.columns, **{text: F.col("text")})
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

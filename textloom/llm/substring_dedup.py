@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.llm.arrays import Texts, _powers, mix64, text_slices
-from textloom.llm.common import documents
+from textloom.llm.common import documents, packed, unpacked
 
 MIN_WORDS = 16
 MIN_BYTES = 8
@@ -131,15 +131,16 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """
     gone = repeated_spans(docs, key, text, min_words).where("n_repeated_words = n_words")
     per_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    both = docs.join(per_doc, docs[key].cast("long") == per_doc["_id"], "left")
+    rows = packed(docs, _key=F.col(key).cast("long"), _text=F.col(text))
+    both = rows.join(per_doc, rows["_key"] == per_doc["_id"], "left")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(acc, s):
-        piece = F.substring(F.col(text), acc["pos"] + 1, s["start"] - acc["pos"])
+        piece = F.substring(F.col("_text"), acc["pos"] + 1, s["start"] - acc["pos"])
         return F.struct(s["end"].alias("pos"), F.concat(acc["out"], piece).alias("out"))
 
-    rest = F.aggregate("_gone", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.length(text))))
-    return both.withColumn(text, F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
+    rest = F.aggregate("_gone", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["pos"] + 1, F.length("_text"))))
+    return unpacked(both, docs.columns, **{text: F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("_text"))})
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
