@@ -26,6 +26,11 @@ def n_words(text: Column | str) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: the optimizer may copy an expression into a lambda, but not a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder every executor shares and read back: cuts lineage, survives lost executors."""
     return _materialize(df, name)

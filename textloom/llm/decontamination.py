@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.llm.common import documents, words
+from textloom.llm.common import documents, let, words
 
 WIDTH = 5
 CONTAINMENT = 80  # per cent
@@ -30,15 +30,20 @@ BROADCAST_ROWS = 200_000  # sketch rows of 20 bytes: 4 MB
 
 
 def _shingle_hashes(hashes: Column, width: int) -> Column:
-    parts = [lambda i, k=k: F.get(hashes, i + k) for k in range(width)]
-    at = F.sequence(F.lit(0), F.size(hashes) - width)
-    return F.when(F.size(hashes) >= width, F.transform(at, lambda i: F.xxhash64(*[p(i) for p in parts])))
+    def combined(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(h) - width)
+        return F.when(F.size(h) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])))
+
+    return let(hashes, combined)
 
 
 def _shingle_texts(w: Column, width: Column) -> Column:
-    at = F.sequence(F.lit(1), F.size(w) - width + 1)
-    texts = F.transform(at, lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.array_distinct(F.when(F.size(w) >= width, texts).otherwise(F.array().cast("array<string>")))
+    def texts(own: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(own) - width + 1)
+        shingles = F.transform(at, lambda i: F.array_join(F.slice(own, i, width), " "))
+        return F.array_distinct(F.when(F.size(own) >= width, shingles).otherwise(F.array().cast("array<string>")))
+
+    return let(w, texts)
 
 
 def _hashed(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
