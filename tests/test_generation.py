@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import generation
-from textloom.operators.inference import RuleBackend
+from tests.backends import Echo
 from textloom.plans.generate import generate
 from textloom.schemas import ALERT_TYPES, DIMENSIONS, GENERATED_ALERT_TYPES, GENERATED_NON_ALERT_TYPES
 
@@ -59,7 +59,7 @@ def test_random_dimensions_respect_given_values(spark):
 
 
 def test_generate_fills_gaps(spark):
-    out = generate(spark, 20, RuleBackend())
+    out = generate(spark, 20, Echo())
     labels = {r[0] for r in out.select(F.explode("metadata.expected_alert_types")).collect()}
     others = {r[0] for r in out.select("metadata.expected_non_alert_type").collect()}
     assert labels == set(GENERATED_ALERT_TYPES)

@@ -128,14 +128,14 @@ def k8(spark, folder):
     + SQL_BEST
     + """SELECT md5(d.text) AS digest, round(c, 6) AS organic_similarity, md5(o2.text) AS closest,
            CASE WHEN d.lang = 'en' THEN 'en' ELSE 'Unknown' END AS example_type
-         FROM best JOIN documents d ON d.doc_id = best.id JOIN documents o2 ON o2.doc_id = best.nearest_id""",
+         FROM best LEFT JOIN documents d ON d.doc_id = best.id LEFT JOIN documents o2 ON o2.doc_id = best.nearest_id""",
 )
 def k9(spark, folder):
     s, o = sides(spark, folder)
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     best = similarity.nearest(s, o, "vec_id", "vec_id")
     closest = docs.select(F.col("doc_id").alias("nearest_id"), F.col("text").alias("closest_organic_text"))
-    rows = best.join(docs.withColumnRenamed("doc_id", "id"), "id").join(closest, "nearest_id")
+    rows = best.join(docs.withColumnRenamed("doc_id", "id"), "id", "left").join(closest, "nearest_id", "left")
     none = F.lit(None)
     meta = F.struct(
         F.when(F.col("lang") == "en", F.col("lang")).alias("example_type"),

@@ -8,24 +8,21 @@ from textloom.catalog.base import RULES, SQL_RULES, query, table
 from textloom.operators import summaries
 from textloom.operators.inference import RuleBackend
 from textloom.operators.reshape import explode_results
-from textloom.functions.text import length_between
 from textloom.plans import compare as compare_plan
 from textloom.plans.classify import classify_texts, run_classification
-from textloom.plans.generate import run_tasks
-from textloom.plans.rewrite import prepare_inputs, prepare_references, rewrite
-from textloom.operators.generation import task_queue
+from textloom.plans.rewrite import prepare_inputs, prepare_references, rewrite_prompts
 from textloom.sources.readers import spread
 
 
 @query(
     "flow_alert_histogram",
     f"""WITH a AS (SELECT unnest(list_filter({SQL_RULES}, lambda r: contains(lower(text), r.phrase))) AS r
-                   FROM documents WHERE length(text) BETWEEN 50 AND 1000)
+                   FROM documents)
         SELECT r.label AS alert_type, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, 1""",
 )
 def histogram(spark, folder):
-    """Filter, prompt, infer, parse, explode, count."""
-    docs = spread(table(spark, folder, "documents")).where(length_between("text"))
+    """Prompt, infer, parse, explode, count."""
+    docs = spread(table(spark, folder, "documents"))
     rows = docs.select(F.col("doc_id").alias("row_id"), "text")
     parsed = classify_texts(rows, RuleBackend(RULES))
     return summaries.histogram(explode_results(parsed), "alert_type", "alert_type")
@@ -61,7 +58,7 @@ def _corpora(spark, folder):
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("example_type")
     )
-    rows = vectors.join(docs, "id").withColumn("metadata", F.struct("example_type"))
+    rows = vectors.join(docs, "id", "left").withColumn("metadata", F.struct("example_type"))
     marked = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
     return rows.join(marked, "id", "left_anti"), rows.join(marked, "id", "left_semi")
 
@@ -74,25 +71,22 @@ def compare(spark, folder):
     )
 
 
-@query(
-    "flow_generate",
-    "SELECT example_type, CAST(n AS BIGINT) AS n FROM (SELECT 'all' AS example_type, count(*) AS n FROM documents)",
-)
-def generate(spark, folder):
-    tasks = task_queue(spark, table(spark, folder, "documents").count()).drop("queue_key")
-    made = run_tasks(tasks, "rules")
-    return made.agg(F.lit("all").alias("example_type"), F.count("*").alias("n"))
-
-
+# The reference flow of rewriting takes comments of 50 to 1000 characters as style references.
 @query(
     "flow_rewrite",
-    "SELECT copy * (SELECT count(*) FROM documents) + doc_id AS row_id, true AS rewritten FROM documents, range(2) r(copy)",
+    """WITH r AS (SELECT text, min(doc_id) AS ref_id FROM documents WHERE length(text) BETWEEN 50 AND 1000 GROUP BY text),
+         refs AS (SELECT ref_id, text AS reference, row_number() OVER (ORDER BY md5(concat('42:', ref_id)), ref_id) - 1 AS pos FROM r),
+         inp AS (SELECT copy * (SELECT count(*) FROM documents) + doc_id AS row_id, text FROM documents, range(2) c(copy))
+       SELECT row_id, ref_id, md5(concat('Rewrite the comment in the style of the reference. Keep its meaning and length.\nReference:\n', reference,
+         '\nComment:\n', trim(text, chr(32) || chr(10) || chr(9)), '\nAnswer in JSON: {"rewritten_comment": "..."}')) AS prompt_digest
+       FROM inp JOIN refs ON pos = CAST(concat('0x', substr(md5(concat('42-draw:', row_id)), 1, 15)) AS BIGINT) % (SELECT count(*) FROM refs)""".replace("\\n", "\n"),
 )
 def rewritten(spark, folder):
+    """Copies of every document with the reference drawn for each and the prompt made of both."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "text")
     refs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("row_id"), "text", F.col("source").alias("project_ids"),
         F.concat(F.lit("['"), "lang", F.lit(" > "), "source", F.lit("']")).alias("annotations"),
     )
-    out = rewrite(prepare_inputs(docs, 2), prepare_references(refs), RuleBackend(RULES))
-    return out.select("row_id", (F.col("rewritten_comment") != "").alias("rewritten"))
+    out = rewrite_prompts(prepare_inputs(docs, 2), prepare_references(refs))
+    return out.select("row_id", "ref_id", F.md5("prompt").alias("prompt_digest"))

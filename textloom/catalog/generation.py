@@ -29,10 +29,18 @@ SQL_QUOTAS = """WITH n AS (SELECT count(*) AS n FROM documents),
 """
 
 
-@query("g1_quotas", SQL_QUOTAS + "SELECT example_type, CAST(task_count AS BIGINT) AS task_count FROM q")
+@query(
+    "g1_quotas",
+    """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+      s(pos, example_type, share) AS (VALUES (0, 'alert', 0.30::DOUBLE), (1, 'non_alert', 0.25::DOUBLE),
+        (2, 'mixed', 0.15::DOUBLE), (3, 'hard_non_alert', 0.15::DOUBLE), (4, 'hard_alert', 0.15::DOUBLE)),
+      raw AS (SELECT lang, pos, example_type, CAST(floor(n * share) AS BIGINT) AS c, n FROM s, n)
+    SELECT lang, example_type, CAST(c + CASE WHEN pos = 0 THEN greatest(n - sum(c) OVER (PARTITION BY lang), 0) ELSE 0 END AS BIGINT) AS task_count FROM raw""",
+)
 def g1(spark, folder):
-    n = table(spark, folder, "documents").count()
-    return spark.createDataFrame(list(generation.quotas(n).items()), "example_type string, task_count bigint")
+    """As many tasks per language as it has documents."""
+    counts = table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return generation.quota_rows(counts, "n").select("lang", "example_type", "task_count")
 
 
 @query(
@@ -124,7 +132,7 @@ def g4(spark, folder):
 
 def _sql_pick(values, name: str) -> str:
     return (
-        f"{sql_list(values)}[CAST(concat('0x', substr(md5(concat('42-{name}:', doc_id)), 1, 8)) AS BIGINT)"
+        f"{sql_list(values)}[CAST(concat('0x', substr(md5(concat('42-{name}:', doc_id)), 1, 15)) AS BIGINT)"
         f" % {len(values)} + 1] AS {name}"
     )
 
@@ -132,7 +140,7 @@ def _sql_pick(values, name: str) -> str:
 @query(
     "g5_random_dimensions",
     f"""WITH t AS (SELECT doc_id, {SQL_TYPES} AS example_type, {', '.join(_sql_pick(v, k) for k, v in DIMENSIONS.items())},
-               CAST(concat('0x', substr(md5(concat('42-count:', doc_id)), 1, 8)) AS BIGINT) % 3 + 1 AS k,
+               CAST(concat('0x', substr(md5(concat('42-count:', doc_id)), 1, 15)) AS BIGINT) % 3 + 1 AS k,
                {_sql_pick(GENERATED_NON_ALERT_TYPES, 'other')} FROM documents)
         SELECT doc_id, example_type, {', '.join(DIMENSIONS)},
           CASE WHEN example_type IN ('alert', 'mixed') THEN array_to_string(list_transform(

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import functions as F
 
-from textloom.catalog.base import RULES, SQL_RULES, by_lang, query, sql_text, table
+from textloom.catalog.base import RULES, SQL_RULES, by_lang, query, table
 from textloom.functions.jsonschema import schema_key
 from textloom.operators import inference, parsing
 from textloom.operators.prompts import classification_prompt
@@ -20,12 +18,13 @@ def _docs(spark, folder):
 
 @query(
     "i1_unconstrained",
-    "SELECT doc_id, 1 AS n_outputs, md5(text) AS digest, NULL::VARCHAR AS error FROM documents",
+    f"""SELECT doc_id, 1 AS n_outputs, CASE WHEN len(a) = 0 THEN 'no alert' ELSE array_to_string(list_transform(a, lambda x: x.label), ', ') END
+          AS answer, NULL::VARCHAR AS error
+        FROM (SELECT doc_id, list_filter({SQL_RULES}, lambda r: contains(lower(text), r.phrase)) AS a FROM documents)""",
 )
 def i1(spark, folder):
-    out = inference.infer(_docs(spark, folder), "rules", prompt="text")
-    return out.select("doc_id", F.size("outputs").alias("n_outputs"),
-                      F.md5(parsing.first_output("outputs")).alias("digest"), "error")
+    out = inference.infer(_docs(spark, folder), inference.RuleBackend(RULES), prompt="text")
+    return out.select("doc_id", F.size("outputs").alias("n_outputs"), parsing.first_output("outputs").alias("answer"), "error")
 
 
 @query(
@@ -45,37 +44,41 @@ def i3(spark, folder):
     )
 
 
-LENGTH_SCHEMA = {"title": "Length", "type": "object", "required": ["size"], "properties": {"size": {"type": "integer"}}}
-SUMMARY_SCHEMA = {"title": "Summary", "type": "object", "required": ["summary"], "properties": {"summary": {"type": "string"}}}
+LABELS_SCHEMA = {"title": "Labels", "type": "object", "required": ["labels"], "properties": {"labels": {"type": "array", "items": {"type": "string"}}}}
+FLAG_SCHEMA = {"title": "Flag", "type": "object", "required": ["flagged"], "properties": {"flagged": {"type": "boolean"}}}
+SQL_FOUND = f"(SELECT doc_id, lang, list_transform(list_filter({SQL_RULES}, lambda r: contains(lower(text), r.phrase)), lambda x: x.label) AS a FROM documents)"
 
 
-@query("i4_json_schema", "SELECT doc_id, length(text) AS size FROM documents")
+@query("i4_json_schema", f"SELECT doc_id, array_to_string(a, ',') AS labels FROM {SQL_FOUND}")
 def i4(spark, folder):
-    out = inference.infer(_docs(spark, folder), "rules", prompt="text", schema=LENGTH_SCHEMA)
-    parsed = parsing.parse_typed(out.withColumn("response", parsing.first_output("outputs")), LENGTH_SCHEMA)
-    return parsed.select("doc_id", F.col("parsed")["size"].alias("size"))
+    out = inference.infer(_docs(spark, folder), inference.RuleBackend(RULES), prompt="text", schema=LABELS_SCHEMA)
+    parsed = parsing.parse_typed(out.withColumn("response", parsing.first_output("outputs")), LABELS_SCHEMA)
+    return parsed.select("doc_id", F.array_join(F.col("parsed")["labels"], ",").alias("labels"))
 
 
 def _with_schema(spark, folder):
-    """English documents ask for a length, French ones for a summary, others for free text."""
-    texts = by_lang({"en": schema_key(LENGTH_SCHEMA), "fr": schema_key(SUMMARY_SCHEMA)})
+    """English documents ask for all labels, French ones for a flag, German ones for everything, others for plain words."""
+    texts = by_lang({"en": schema_key(LABELS_SCHEMA), "fr": schema_key(FLAG_SCHEMA), "de": schema_key(ALERTS_OUTPUT_SCHEMA)})
     return _docs(spark, folder).withColumn("json_schema", texts)
 
 
 @query(
     "i5_heterogeneous",
-    """SELECT doc_id, CASE WHEN lang = 'en' THEN length(text) END AS size,
-              CASE WHEN lang = 'fr' THEN md5(text) END AS summary,
-              CASE WHEN lang NOT IN ('en', 'fr') THEN md5(text) END AS free_text FROM documents""",
+    f"""SELECT doc_id, CASE WHEN lang = 'en' THEN array_to_string(a, ',') END AS labels, CASE WHEN lang = 'fr' THEN len(a) > 0 END AS flagged,
+              CASE WHEN lang = 'de' THEN len(a) > 0 END AS has_alerts,
+              CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN CASE WHEN len(a) = 0 THEN 'no alert' ELSE array_to_string(a, ', ') END END AS free_text
+        FROM {SQL_FOUND}""",
 )
 def i5(spark, folder):
-    out = inference.infer(_with_schema(spark, folder), "rules", prompt="text", schema_column="json_schema")
+    out = inference.infer(_with_schema(spark, folder), inference.RuleBackend(RULES), prompt="text", schema_column="json_schema")
     answer = parsing.first_output("outputs")
+    labels = F.from_json(F.get_json_object(answer, "$.labels"), "array<string>")
     return out.select(
         "doc_id",
-        F.when(F.col("lang") == "en", F.get_json_object(answer, "$.size").cast("bigint")).alias("size"),
-        F.when(F.col("lang") == "fr", F.md5(F.get_json_object(answer, "$.summary"))).alias("summary"),
-        F.when(F.col("json_schema").isNull(), F.md5(answer)).alias("free_text"),
+        F.when(F.col("lang") == "en", F.array_join(labels, ",")).alias("labels"),
+        F.when(F.col("lang") == "fr", F.get_json_object(answer, "$.flagged").cast("boolean")).alias("flagged"),
+        F.when(F.col("lang") == "de", F.get_json_object(answer, "$.has_alerts").cast("boolean")).alias("has_alerts"),
+        F.when(F.col("json_schema").isNull(), answer).alias("free_text"),
     )
 
 
@@ -91,67 +94,6 @@ def i6(spark, folder):
     return groups.select((F.col("key") != "no_schema").alias("typed"), "n", "first_id")
 
 
-@query(
-    "i7_one_by_one",
-    "SELECT conv_id, turn, length(text) AS size FROM conversations",
-)
-def i7(spark, folder):
-    turns = table(spark, folder, "conversations")
-    out = inference.infer(turns, "rules", prompt="text", schema=LENGTH_SCHEMA, batch_size=1)
-    size = F.get_json_object(parsing.first_output("outputs"), "$.size").cast("bigint")
-    return out.select("conv_id", "turn", size.alias("size"))
-
-
-@query(
-    "i8_batches",
-    "SELECT CAST(floor(doc_id / 25) AS BIGINT) AS request_id, count(*) AS n FROM documents GROUP BY 1",
-)
-def i8(spark, folder):
-    docs = table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 25).alias("request_id"))
-    return docs.groupBy("request_id").agg(F.count("*").alias("n"))
-
-
-@dataclass(frozen=True)
-class PickyBackend:
-    """Refuses any batch with the bad phrase in it, as a failing server would."""
-
-    bad: str
-    name: str = "picky"
-
-    def load(self) -> None:
-        pass
-
-    def generate(self, prompts, schema, options):
-        if any(self.bad in p for p in prompts):
-            raise RuntimeError("refused")
-        return [[p] for p in prompts]
-
-
-@query(
-    "i10_retry_errors",
-    f"""SELECT doc_id, CASE WHEN contains(text, {sql_text(RULES[0].phrase)}) THEN 'RuntimeError: refused' END AS error,
-               CASE WHEN NOT contains(text, {sql_text(RULES[0].phrase)}) THEN md5(text) END AS digest FROM documents""",
-)
-def i10(spark, folder):
-    out = inference.infer(_docs(spark, folder), PickyBackend(RULES[0].phrase), prompt="text", retries=1)
-    return out.select("doc_id", "error", F.md5(parsing.first_output("outputs")).alias("digest"))
-
-
-@query(
-    "s10_failed_rows_skipped",
-    f"""SELECT lang, count(*) AS n FROM documents WHERE NOT contains(text, {sql_text(RULES[0].phrase)}) GROUP BY 1""",
-)
-def s10(spark, folder):
-    out = inference.infer(_docs(spark, folder), PickyBackend(RULES[0].phrase), prompt="text", retries=0, batch_size=1)
-    return out.where("error is null").groupBy("lang").agg(F.count("*").alias("n"))
-
-
-@query("i12_rows_in_rows_out", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
-def i12(spark, folder):
-    out = inference.infer(_docs(spark, folder), "rules", prompt="text")
-    return out.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
-
-
 @query(
     "i14_option_merge",
     """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS temperature,

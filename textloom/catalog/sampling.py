@@ -50,7 +50,7 @@ def a16(spark, folder):
     return sampling.keep_first(docs, "text", "doc_id").select("doc_id", F.md5("text").alias("digest"))
 
 
-SQL_DRAW = "CAST(concat('0x', substr(md5(concat('42-draw:', doc_id)), 1, 8)) AS BIGINT)"
+SQL_DRAW = "CAST(concat('0x', substr(md5(concat('42-draw:', doc_id)), 1, 15)) AS BIGINT)"
 
 
 @query(
@@ -99,19 +99,17 @@ def a21(spark, folder):
 
 @query(
     "a22_training_steps",
-    """SELECT n AS samples, 32 AS effective_batch, CAST(floor(n / 32) AS BIGINT) AS steps_per_epoch,
+    """SELECT source, n AS samples, 32 AS effective_batch, CAST(floor(n / 32) AS BIGINT) AS steps_per_epoch,
               CAST(floor(n / 32) AS BIGINT) * 3 AS total_steps
-       FROM (SELECT count(*) - CAST(ceil(0.02::DOUBLE * count(*)) AS BIGINT) AS n FROM documents)""",
+       FROM (SELECT source, count(*) AS n FROM (
+         SELECT source, row_number() OVER (ORDER BY md5(concat('42:', doc_id))) AS rn, count(*) OVER () AS total FROM documents)
+       WHERE rn > ceil(0.02::DOUBLE * total) GROUP BY source)""",
 )
 def a22(spark, folder):
+    """Steps per source over the rows that the split leaves for training."""
     train, _ = sampling.split_train_validation(table(spark, folder, "documents"), "doc_id", 0.02)
-    n = train.count()
-    steps = sampling.training_steps(n, 8, 2, 2, 3)
-    return spark.range(1).select(
-        F.lit(n).cast("bigint").alias("samples"), F.lit(steps["effective_batch"]).alias("effective_batch"),
-        F.lit(steps["steps_per_epoch"]).cast("bigint").alias("steps_per_epoch"),
-        F.lit(steps["total_steps"]).cast("bigint").alias("total_steps"),
-    )
+    counts = train.groupBy("source").agg(F.count("*").alias("samples"))
+    return counts.select("source", "samples", *sampling.steps_columns(F.col("samples"), 8 * 2 * 2, 3))
 
 
 @query(
@@ -160,7 +158,7 @@ SQL_MATCH = f"""WITH refs AS (
                    CAST(floor(length(body) * 1.3::DOUBLE) AS INTEGER) AS hi FROM inp),
   copies AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5(concat('42-copy:', input_id)), input_id) - 1 AS c FROM keyed),
   rng AS (SELECT *, (SELECT count(*) FROM refs WHERE len < lo) AS a, (SELECT count(*) FROM refs WHERE len <= hi) AS b FROM copies),
-  s AS (SELECT *, greatest(b - a, 0) AS n, CAST(concat('0x', substr(md5(concat('42:', k)), 1, 8)) AS BIGINT) AS st FROM rng),
+  s AS (SELECT *, greatest(b - a, 0) AS n, CAST(concat('0x', substr(md5(concat('42:', k)), 1, 15)) AS BIGINT) AS st FROM rng),
   p AS (SELECT input_id, CASE WHEN c < n THEN
            a + (st % greatest(n, 1) + (c % greatest(n, 1)) * (2654435761 % greatest(n, 1))) % greatest(n, 1)
          WHEN c < t THEN (b + c - n) % t ELSE (st + c) % t END AS position FROM s, total)
@@ -195,9 +193,8 @@ def v16(spark, folder):
 @query("v15_similarity_ratio")
 def ratio(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    usable = docs.where(F.length("text").between(50, 1000))
     matched = matching.match_by_length(
-        usable, _references(spark, folder), "doc_id", "text", "ref_id", "text", threshold=None
+        docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", threshold=None
     )
-    both = usable.join(matched, usable.doc_id == matched.input_id)
+    both = docs.join(matched, docs.doc_id == matched.input_id)
     return both.select("doc_id", "ref_id", F.round(matching.similarity_ratio("ref_text", "text"), 6).alias("ratio"))

@@ -71,7 +71,7 @@ def f4(spark, folder):
 
 @query("f5_regex_contains", "SELECT doc_id, source FROM documents WHERE regexp_matches(source, '2')")
 def f5(spark, folder):
-    return project_filter(table(spark, folder, "documents"), "eec", "source").select("doc_id", "source")
+    return project_filter(table(spark, folder, "documents"), "2", "source").select("doc_id", "source")
 
 
 @query(
@@ -191,11 +191,10 @@ def p2(spark, folder):
               md5(concat('<s>[INST] """
     + prompts.SYSTEM_LINE
     + """\n\nComment:\n', text, ' [/INST]')) AS with_system
-       FROM conversations WHERE role = 'user'""",
+       FROM conversations""",
 )
 def p3(spark, folder):
-    users = table(spark, folder, "conversations").where(F.col("role") == "user")
-    return users.select(
+    return table(spark, folder, "conversations").select(
         "conv_id", "turn",
         F.md5(prompts.instruct("text")).alias("plain"),
         F.md5(prompts.instruct("text", prompts.SYSTEM_LINE)).alias("with_system"),
@@ -238,7 +237,7 @@ def p6(spark, folder):
        SELECT doc_id, md5(concat('Rewrite the comment in the style of the reference. Keep its meaning and length.\nReference:\n',
          reference, '\nComment:\n', text, '\nAnswer in JSON: {"rewritten_comment": "..."}')) AS digest
        FROM documents, n JOIN refs ON true
-       WHERE pos = CAST(concat('0x', substr(md5(concat('42-draw:', doc_id)), 1, 8)) AS BIGINT) % c""",
+       WHERE pos = CAST(concat('0x', substr(md5(concat('42-draw:', doc_id)), 1, 15)) AS BIGINT) % c""",
 )
 def p7(spark, folder):
     refs = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("reference"))

@@ -159,13 +159,13 @@ def v9(spark, folder):
     "v10_closest_text",
     SQL_SIDES
     + SQL_BEST
-    + "SELECT id, md5(d.text) AS digest FROM best JOIN documents d ON d.doc_id = best.nearest_id",
+    + "SELECT id, md5(d.text) AS digest FROM best LEFT JOIN documents d ON d.doc_id = best.nearest_id",
 )
 def v10(spark, folder):
     s, o = sides(spark, folder)
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("nearest_id"), "text")
     best = similarity.nearest(s, o, "vec_id", "vec_id")
-    return best.join(docs, "nearest_id").select("id", F.md5("text").alias("digest"))
+    return best.join(docs, "nearest_id", "left").select("id", F.md5("text").alias("digest"))
 
 
 @query("v11_pca")
@@ -174,12 +174,6 @@ def v11(spark, folder):
     return reduced.select("vec_id", F.size("reduced").alias("n"), F.round(F.abs(F.col("reduced")[0]), 4).alias("first"))
 
 
-@query("v12_plot_coordinates")
-def v12(spark, folder):
-    s, o = sides(spark, folder)
-    return similarity.plot_coordinates(s, o, "vec_id", "vec_id", max_points=1000)
-
-
 @query(
     "v13_downsample",
     """SELECT vec_id, label FROM embeddings ORDER BY md5(concat('42:', vec_id)) LIMIT 200""",

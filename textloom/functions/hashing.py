@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HEX_PREFIX = 8
+HEX_PREFIX = 15  # 60 bits
 
 
 def order_key(key: Column | str, seed: int | str = 42) -> Column:
@@ -14,7 +14,7 @@ def order_key(key: Column | str, seed: int | str = 42) -> Column:
 
 
 def hash_int(key: Column | str, seed: int | str = 42) -> Column:
-    """Non-negative bigint drawn from the first 32 bits of :func:`order_key`."""
+    """Non-negative bigint drawn from the first 60 bits of :func:`order_key`."""
     return F.conv(F.substring(order_key(key, seed), 1, HEX_PREFIX), 16, 10).cast("bigint")
 
 

@@ -44,6 +44,14 @@ def quotas(n: int, shares: Mapping[str, float] | None = None) -> dict[str, int]:
     return counts
 
 
+def quota_rows(counts: DataFrame, n: str, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """:func:`quotas` for every row of a table of counts: one row per example type."""
+    whole = {kind: F.floor(F.col(n) * F.lit(p)).cast("bigint") for kind, p in (shares or DEFAULT_SHARES).items()}
+    short = F.greatest(F.col(n) - sum(whole.values()), F.lit(0))
+    parts = [F.struct(F.lit(k).alias("example_type"), (c + short if k == "alert" else c).alias("task_count")) for k, c in whole.items()]
+    return counts.withColumn("_q", F.explode(F.array(*parts))).select(*counts.columns, "_q.*")
+
+
 def cycle(values: Sequence[str], i: Column) -> Column:
     return F.element_at(literal_array(values), (i % len(values) + 1).cast("int"))
 

@@ -86,7 +86,7 @@ def default_rules() -> list[Rule]:
 
 @dataclass(frozen=True)
 class RuleBackend:
-    """Deterministic stand-in for a model: answers from the prompt text alone."""
+    """Labels comments by the phrases in them: all details, labels only, one flag, or plain words without a schema."""
 
     rules: tuple[Rule, ...] = field(default_factory=lambda: tuple(default_rules()))
     marker: str = "Comment:\n"
@@ -103,8 +103,9 @@ class RuleBackend:
     def _answer(self, prompt: str, schema: dict | None) -> str:
         comment = prompt.rsplit(self.marker, 1)[-1]
         fields = (schema or {}).get("properties", {})
+        found = [r.label for r in self.rules if r.phrase in comment.lower()]
         if schema is None:
-            return comment
+            return ", ".join(found) or "no alert"
         if "has_alerts" in fields:
             lowered = comment.lower()
             alerts = [
@@ -123,24 +124,15 @@ class RuleBackend:
                 "non_alert_classification": None if alerts else "neutral_comment",
                 "non_alert_reasoning": None if alerts else "no phrase matched",
             }
+        elif "labels" in fields:
+            answer = {"labels": found}
+        elif "flagged" in fields:
+            answer = {"flagged": bool(found)}
         else:
-            answer = {name: _filler(spec, comment) for name, spec in fields.items()}
+            raise ValueError(f"the rules cannot answer {sorted(fields)}")
         return json.dumps(answer, ensure_ascii=False)
 
 
-def _filler(spec: dict, comment: str):
-    if "enum" in spec:
-        return spec["enum"][0]
-    return {
-        "string": comment,
-        "integer": len(comment),
-        "number": float(len(comment)),
-        "boolean": bool(comment),
-        "array": [],
-        "object": {},
-    }.get(spec.get("type"), None)
-
-
 def rule_response(
     text: str,
     rules: Sequence[Rule],

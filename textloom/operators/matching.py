@@ -15,10 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from textloom.functions.hashing import hash_int, order_key
-from textloom.functions.text import literal_array, strip_ws
+from textloom.functions.text import strip_ws
 from textloom.session import materialize
 
-MAX_LENGTH = 1000
 STRIDES = (2654435761, 2147483647)  # primes: a stride that does not divide n permutes 0..n-1
 
 
@@ -72,23 +71,21 @@ def _split_rank(
 
 
 def number_references(
-    references: DataFrame, key: str, text: str, seed: int | str = 42, max_length: int = MAX_LENGTH
-) -> tuple[DataFrame, list[int]]:
-    """``(position, ref_id, ref_text)`` and, per length l, the number of references shorter than l."""
-    refs = references.select(
-        F.col(key).alias("ref_id"), F.col(text).alias("ref_text"), F.length(text).alias("len")
-    ).where(F.col("len") <= max_length)
+    references: DataFrame, key: str, text: str, seed: int | str = 42
+) -> tuple[DataFrame, DataFrame]:
+    """``(position, ref_id, ref_text)`` and ``(len, n)``, the number of references per length."""
+    refs = references.select(F.col(key).alias("ref_id"), F.col(text).alias("ref_text"), F.length(text).alias("len"))
     # Counted and ranked below: written once, since references are often costly to derive.
-    refs = materialize(refs, "reference-texts")
-    # One row per length, so at most max_length + 1.
-    sizes = {r["len"]: r["n"] for r in refs.groupBy("len").agg(F.count("*").alias("n")).collect()}
-    shorter, total = [], 0
-    for length in range(max_length + 2):
-        shorter.append(total)
-        total += sizes.get(length, 0)
-    first = F.element_at(literal_array(shorter, "bigint"), F.col("len") + 1)
-    ranked = _split_rank(refs, ["len"], "ref_id", 2, "_in_len", seed)
-    return ranked.select((first + F.col("_in_len")).alias("position"), "ref_id", "ref_text"), shorter
+    refs = materialize(refs.where(F.col("len").isNotNull()), "reference-texts")
+    sizes = refs.groupBy("len").agg(F.count("*").alias("n"))
+    ranked = _split_rank(refs, ["len"], "ref_id", 2, "_in_len", seed).join(_shorter(sizes), "len")
+    return ranked.select((F.col("shorter") + F.col("_in_len")).alias("position"), "ref_id", "ref_text"), sizes
+
+
+def _shorter(sizes: DataFrame) -> DataFrame:
+    """Per length how many references are shorter. The window runs over distinct lengths, one row each."""
+    before = W.orderBy("len").rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select("len", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("shorter"))
 
 
 def length_range(length: Column, bin_size: int | None = None) -> tuple[Column, Column]:
@@ -102,12 +99,10 @@ def length_range(length: Column, bin_size: int | None = None) -> tuple[Column, C
 
 
 def _prepared(
-    inputs: DataFrame, key: str, text: str, shorter: list[int], bin_size: int | None, seed: int | str,
+    inputs: DataFrame, key: str, text: str, sizes: DataFrame, bin_size: int | None, seed: int | str,
     keep_text: bool,
 ) -> DataFrame:
     """Inputs with their copy number and their range of positions; the text only if it is needed."""
-    top = len(shorter) - 1
-    table = literal_array(shorter, "bigint")
     body = strip_ws(F.col(text))
     rows = inputs.select(F.col(key).alias("input_id"), F.coalesce(body, F.lit("")).alias("input_text"))
     rows = rows.select(
@@ -118,33 +113,34 @@ def _prepared(
     )
     rows = _split_rank(rows, ["input_key"], "input_id", 2, "copy", f"{seed}-copy", "copies")
     low, high = length_range(F.col("input_length"), bin_size)
-
-    def at(length: Column) -> Column:
-        return F.element_at(table, (F.least(length, F.lit(top)) + 1).cast("int"))
-
-    rows = rows.withColumn("first", at(low)).withColumn("last", at(high + 1))
-    return rows.withColumn("n", F.greatest(F.col("last") - F.col("first"), F.lit(0)))
+    rows = rows.withColumn("_low", low).withColumn("_end", high + 1)
+    # Every length that an input asks for, between those that references have.
+    asked = rows.select(F.explode(F.array("_low", "_end")).alias("len")).distinct().select("len", F.lit(0).cast("bigint").alias("n"))
+    table = _shorter(sizes.unionByName(asked).groupBy("len").agg(F.sum("n").alias("n")))
+    for length, out in (("_low", "first"), ("_end", "last")):
+        rows = rows.join(table.select(F.col("len").alias(length), F.col("shorter").alias(out)), length)
+    return rows.drop("_low", "_end").withColumn("n", F.greatest(F.col("last") - F.col("first"), F.lit(0)))
 
 
 def _candidate(step: Column, total: int, seed: int | str) -> Column:
     """Position to try at a step: the length range in permuted order, then the other
     references, then, once all are used, any."""
     n, first, last = F.col("n"), F.col("first"), F.col("last")
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("input_key"))), 1, 8), 16, 10).cast(
-        "bigint"
-    )
+    start = hash_int("input_key", seed)
     stride = F.when(n % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0]))
     size = F.greatest(n, F.lit(1))
-    inside = first + (start % size + (step % size) * (stride % size)) % size
+    # A product of two 63-bit numbers needs a decimal.
+    product = (step % size).cast("decimal(19,0)") * (stride % size).cast("decimal(10,0)")
+    inside = first + ((start % size + product) % size).cast("bigint")
     outside = (last + (step - n)) % total
-    anywhere = (start + step) % total
+    anywhere = (start % total + step % total) % total
     return F.when(step < n, inside).when(step < total, outside).otherwise(anywhere)
 
 
 def match_by_length(
     inputs: DataFrame, references: DataFrame, input_key: str, input_text: str, reference_key: str,
     reference_text: str, threshold: float | None = 0.9, bin_size: int | None = None,
-    max_probes: int | None = None, seed: int | str = 42, max_length: int = MAX_LENGTH,
+    max_probes: int | None = None, seed: int | str = 42,
 ) -> DataFrame:
     """``(input_id, ref_id, ref_text)`` with one reference for every input.
 
@@ -155,12 +151,13 @@ def match_by_length(
     unchecked. ``bin_size`` takes whole length bins and ``max_probes`` gives up
     after that many similar ones and keeps the first.
     """
-    refs, shorter = number_references(references, reference_key, reference_text, seed, max_length)
-    total = shorter[-1]
-    if total == 0:
+    refs, sizes = number_references(references, reference_key, reference_text, seed)
+    sizes = materialize(sizes, "reference-lengths")
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
         raise ValueError("no reference texts")
     checked = threshold is not None
-    rows = _prepared(inputs, input_key, input_text, shorter, bin_size, seed, checked)
+    rows = _prepared(inputs, input_key, input_text, sizes, bin_size, seed, checked)
     if not checked:
         wanted = rows.withColumn("position", _candidate(F.col("copy"), total, seed))
         return wanted.join(refs, "position").select("input_id", "ref_id", "ref_text")

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions.hashing import hash_int, order_key
 
 PREFIX_DIGITS = 3  # 4096 ranges
 SMALL_RANGE = 10_000
+SALTS = 64
 
 
 def hash_threshold(df: DataFrame, key: str, n: int, seed: int | str = 42) -> str | None:
@@ -93,11 +94,15 @@ def group_sample(
 ) -> DataFrame:
     """Per group the first n rows in hash order.
 
-    Map tasks keep n rows per group before the shuffle, so one group with most of
-    the rows stays cheap.
+    Ranked within ``SALTS`` parts of a group first, so one group with most of the rows is cut
+    down in many tasks; what meets in one task is ``SALTS * n`` rows at most.
     """
-    window = W.partitionBy(group).orderBy(order_key(key, seed), key)
-    return df.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= n).drop("_r")
+    order = [order_key(key, seed), key]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    part = salted.withColumn("_r", F.row_number().over(W.partitionBy(group, "_salt").orderBy(*order)))
+    kept = part.where(F.col("_r") <= n).drop("_r", "_salt")
+    ranked = kept.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return ranked.where(F.col("_r") <= n).drop("_r")
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
@@ -116,9 +121,15 @@ def random_reference(
 
 
 def keep_first(df: DataFrame, by: str, order: str) -> DataFrame:
-    """First row per value of ``by``; copies are dropped on the map side before the shuffle."""
-    window = W.partitionBy(by).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(window)).where(F.col("_r") == 1).drop("_r")
+    """First row per value of ``by``.
+
+    The key that is sorted and shuffled is a 128-bit digest with the length, so long texts
+    are compared only where both agree. Copies are dropped on the map side before the shuffle.
+    """
+    whole = F.col(by).cast("string")
+    keyed = df.withColumn("_d", F.coalesce(F.concat(F.md5(whole), F.length(whole).cast("string")), F.lit("")))
+    window = W.partitionBy("_d").orderBy(order)
+    return keyed.withColumn("_r", F.row_number().over(window)).where(F.col("_r") == 1).drop("_r", "_d")
 
 
 def cycle_to(df: DataFrame, key: str, n: int = 128, seed: int | str = 42) -> DataFrame:
@@ -136,6 +147,12 @@ def cycle_to(df: DataFrame, key: str, n: int = 128, seed: int | str = 42) -> Dat
     return cycled.withColumn("shuffled_position", F.row_number().over(order) - 1)
 
 
+def steps_columns(n: Column, batch: int, epochs: int = 1) -> list[Column]:
+    """:func:`training_steps` for a column of row counts."""
+    per_epoch = F.floor(n / batch).cast("bigint")
+    return [F.lit(batch).alias("effective_batch"), per_epoch.alias("steps_per_epoch"), (per_epoch * epochs).alias("total_steps")]
+
+
 def training_steps(
     n: int, per_device: int = 8, accumulation: int = 2, devices: int = 1, epochs: int = 1
 ) -> dict:

@@ -423,7 +423,8 @@ def topic_metrics(
     rows = synthetic.withColumn("grp", F.coalesce(F.col(topic).cast("string"), F.lit("Unknown")))
     if similarity is None:
         best = nearest(rows, organic, key, other_key, vector, vector)
-        rows = rows.join(best.select(F.col("id").alias(key), "max_similarity"), key)
+        # Rows without a vector stay, with nulls.
+        rows = rows.join(best.select(F.col("id").alias(key), "max_similarity"), key, "left")
         similarity = "max_similarity"
     counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg(similarity).alias("mean_similarity"))
     counts = counts.where(F.col("n") >= min_rows)
@@ -435,7 +436,7 @@ def topic_metrics(
         mmd(rows, organic, key, other_key, vector, "grp", seed=seed),
         diversity(rows, vector, "grp"),
     ]
-    joined = reduce(lambda a, b: a.join(b, "grp"), parts).join(hits, "grp", "left")
+    joined = reduce(lambda a, b: a.join(b, "grp", "left"), [*parts, hits])
     return joined.select(
         F.col("grp").alias("topic"), "n", "mean_similarity", "centroid_distance", "mmd",
         F.coalesce(F.try_divide(F.col("covered").cast("double"), total), F.lit(0.0)).alias("coverage"),
@@ -501,13 +502,17 @@ def select_diverse(
 
 
 def reduce_dimensions(df: DataFrame, k: int = 50, vector: str = "embedding", out: str = "reduced") -> DataFrame:
-    """Principal components; vectors that are short enough already stay as they are."""
-    size = df.select(F.size(vector)).first()
-    if size is None or size[0] <= k:
+    """Principal components; vectors that are short enough already stay as they are, missing ones stay missing."""
+    known = df.where(F.col(vector).isNotNull())
+    shortest, longest = known.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if longest is None or longest <= k:
         return df.withColumn(out, as_double(vector))
-    rows = df.withColumn("_f", array_to_vector(as_double(vector)))
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} to {longest} numbers")
+    rows = known.withColumn("_f", array_to_vector(as_double(vector)))
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(rows)
-    return model.transform(rows).withColumn(out, vector_to_array("_p")).drop("_f", "_p")
+    done = model.transform(rows).withColumn(out, vector_to_array("_p")).drop("_f", "_p")
+    return done.unionByName(df.where(F.col(vector).isNull()).withColumn(out, F.lit(None).cast("array<double>")))
 
 
 def plot_coordinates(

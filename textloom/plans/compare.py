@@ -36,7 +36,7 @@ def compare(
     but ``diverse`` selects nothing.
     """
     best = similarity.nearest(synthetic, organic, "id", "id", vector, vector)
-    scored = materialize(synthetic.join(best, "id"), "scored")
+    scored = materialize(synthetic.join(best, "id", "left"), "scored")
     overall = similarity.distribution_metrics(scored, organic, "id", "id", vector, seed=seed).withColumn(
         "diversity", similarity.diversity(scored, vector).scalar()
     )

@@ -13,15 +13,8 @@ from textloom.operators.sampling import keep_first, random_reference
 from textloom.schemas import REWRITE_SCHEMA
 from textloom.sources.readers import replicate
 
-# Project names and the id pattern each one selects.
-PROJECTS = {"eec": "2", "sce": "10", "all": None}
-
-
-def project_filter(df: DataFrame, project: str, column: str = "project_ids") -> DataFrame:
-    """Rows whose ids contain the project's pattern; ``all`` keeps every row."""
-    if project not in PROJECTS:
-        raise ValueError(f"unknown project {project!r}; choose one of {sorted(PROJECTS)}")
-    pattern = PROJECTS[project]
+def project_filter(df: DataFrame, pattern: str | None, column: str = "project_ids") -> DataFrame:
+    """Rows whose ids match the pattern; None keeps every row."""
     return df if pattern is None else df.where(F.col(column).rlike(pattern))
 
 
@@ -30,7 +23,7 @@ def prepare_inputs(df: DataFrame, times: int = 5, row_id: str = "row_id") -> Dat
     return replicate(renamed, times, row_id).drop("copy")
 
 
-def prepare_references(df: DataFrame, project: str = "all", row_id: str = "row_id") -> DataFrame:
+def prepare_references(df: DataFrame, project: str | None = None, row_id: str = "row_id") -> DataFrame:
     """Reference comments of usable length with their paths, one row per comment."""
     rows = column_mapping(project_filter(df, project), {"text": "reference_comment"})
     rows = rows.where(length_between("reference_comment"))
@@ -39,16 +32,20 @@ def prepare_references(df: DataFrame, project: str = "all", row_id: str = "row_i
     return keep_first(order, "reference_comment", "_order").drop("_order")
 
 
+def rewrite_prompts(inputs: DataFrame, references: DataFrame, row_id: str = "row_id", seed: int | str = 42) -> DataFrame:
+    """Input rows with the reference drawn for each (``ref_id``, ``reference_comment``) and the ``prompt``."""
+    refs = references.select(F.col(row_id).alias("ref_id"), "reference_comment")
+    paired = random_reference(inputs, refs, row_id, "ref_id", seed)
+    return paired.withColumn("prompt", rewrite_prompt("reference_comment", strip_ws("input_comment")))
+
+
 def rewrite(
     inputs: DataFrame, references: DataFrame, engine: Backend | str, row_id: str = "row_id",
     seed: int | str = 42, **options,
 ) -> DataFrame:
     """Input rows with ``reference_comment``, ``prompt`` and ``rewritten_comment`` (empty on failure)."""
     columns = inputs.columns
-    refs = references.select(F.col(row_id).alias("ref_id"), "reference_comment")
-    paired = random_reference(inputs, refs, row_id, "ref_id", seed)
-    prompted = paired.withColumn("prompt", rewrite_prompt("reference_comment", strip_ws("input_comment")))
-    answered = infer(prompted, engine, schema=REWRITE_SCHEMA, **options)
+    answered = infer(rewrite_prompts(inputs, references, row_id, seed), engine, schema=REWRITE_SCHEMA, **options)
     parsed = parse_typed(answered.withColumn("response", first_output("outputs")), REWRITE_SCHEMA)
     return parsed.select(
         *columns, "reference_comment", "prompt",
