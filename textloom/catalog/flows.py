@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import RULES, SQL_RULES, query, table
+from textloom.catalog.vectors import SQL_BEST, SQL_SIDES
 from textloom.operators import summaries
 from textloom.operators.inference import RuleBackend
 from textloom.operators.reshape import explode_results
 from textloom.plans import compare as compare_plan
 from textloom.plans.classify import classify_texts, run_classification
 from textloom.plans.rewrite import prepare_inputs, prepare_references, rewrite_prompts
+from textloom.plans.train import training_set
 from textloom.sources.readers import spread
 
 
@@ -63,10 +65,18 @@ def _corpora(spark, folder):
     return rows.join(marked, "id", "left_anti"), rows.join(marked, "id", "left_semi")
 
 
-@query("flow_compare")
+@query(
+    "flow_compare",
+    SQL_SIDES
+    + SQL_BEST
+    + """, k AS (SELECT greatest(1, 50 // count(DISTINCT label)) AS share FROM s),
+      ranked AS (SELECT id, nearest_id, c, row_number() OVER (PARTITION BY label ORDER BY c DESC, id) <= share AS in_quota FROM best, k)
+    SELECT id, round(c, 6) AS organic_similarity, md5(d.text) AS closest
+    FROM (SELECT * FROM ranked ORDER BY in_quota DESC, c DESC, id LIMIT 50) r LEFT JOIN documents d ON d.doc_id = r.nearest_id""",
+)
 def compare(spark, folder):
     s, o = _corpora(spark, folder)
-    return compare_plan.compare(s, o, n_select=50).selected.select(
+    return compare_plan.compare(s, o, n_select=50, cluster_column="example_type").selected.select(
         "id", F.round("organic_similarity", 6).alias("organic_similarity"), F.md5("closest_organic_text").alias("closest")
     )
 
@@ -90,3 +100,20 @@ def rewritten(spark, folder):
     )
     out = rewrite_prompts(prepare_inputs(docs, 2), prepare_references(refs))
     return out.select("row_id", "ref_id", F.md5("prompt").alias("prompt_digest"))
+
+
+@query(
+    "flow_training_set",
+    """WITH p AS (SELECT d.doc_id, concat('<s>[INST] ', text, ' [/INST]', coalesce(CAST(quality AS VARCHAR), 'Unknown'), '</s>') AS t
+         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+       r AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', doc_id))) AS rn, count(*) OVER () AS n FROM p)
+     SELECT doc_id, CASE WHEN rn <= ceil(0.02::DOUBLE * n) THEN 'validation' ELSE 'train' END AS split, md5(t) AS digest,
+       strlen(t) AS n_tokens, least(strlen(t), 2048) AS n_kept FROM r""",
+)
+def training_flow(spark, folder):
+    """Pairs, exact split, training text, token ids."""
+    marks = table(spark, folder, "labels").select("doc_id", "quality")
+    docs = spread(table(spark, folder, "documents")).join(marks, "doc_id", "left")
+    pairs = docs.select("doc_id", F.col("text").alias("input"), F.coalesce(F.col("quality").cast("string"), F.lit("Unknown")).alias("output"))
+    out = training_set(pairs, "doc_id")
+    return out.select("doc_id", "split", F.md5("text").alias("digest"), "n_tokens", F.size("input_ids").cast("bigint").alias("n_kept"))

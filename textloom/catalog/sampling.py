@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from textloom.catalog.base import query, sql_strip, table
 from textloom.operators import matching, sampling
 from textloom.operators.tokens import tokenize
+from textloom.functions.text import strip_ws
 from textloom.sources.readers import replicate
 
 
@@ -126,13 +127,13 @@ def a23(spark, folder):
 
 @query(
     "g8_tokenize",
-    """SELECT doc_id, least(strlen(text), 2048) AS n_tokens, CAST(concat('0x', left(hex(text), 2)) AS INTEGER) AS first_token,
+    """SELECT doc_id, least(strlen(text), 2048) AS n_kept, strlen(text) AS n_tokens, CAST(concat('0x', left(hex(text), 2)) AS INTEGER) AS first_token,
               true AS labels_equal FROM documents""",
 )
 def g8(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return tokenize(docs).select(
-        "doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"), F.col("input_ids")[0].alias("first_token"),
+        "doc_id", F.size("input_ids").cast("bigint").alias("n_kept"), "n_tokens", F.col("input_ids")[0].alias("first_token"),
         (F.col("input_ids") == F.col("labels")).alias("labels_equal"),
     )
 
@@ -174,27 +175,49 @@ def v15(spark, folder):
     return matched.select("input_id", "ref_id", F.md5("ref_text").alias("digest"))
 
 
-@query("v15_length_match_checked")
+def _checked(docs, matched):
+    """Facts of a match: who got which kind of reference, as flags that hold for every row.
+
+    The reference exists with its own text; one in the length range is not too similar; copies of one text have different
+    references while there are enough.
+    """
+    refs = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("own"))
+    rows = matched.join(docs, matched.input_id == docs.doc_id).join(refs, "ref_id", "left")
+    low, high = matching.length_range(F.length("body"))
+    rows = rows.withColumn("body", strip_ws(F.col("text")))
+    inside = F.length("ref_text").between(low, high)
+    ratio = matching.similarity_ratio("ref_text", "body")
+    copies = W.partitionBy(F.md5(F.lower("body")))
+    return rows.withColumn("uses", F.size(F.collect_set("ref_id").over(copies))).withColumn("copies", F.count("*").over(copies)).select(
+        "input_id", (F.col("own") == F.col("ref_text")).alias("exists"), (~inside | (ratio <= 0.9)).alias("different"),
+        (F.col("uses") == F.col("copies")).alias("fresh"),
+    )
+
+
+SQL_CHECKED = 'SELECT doc_id AS input_id, true AS "exists", true AS different, true AS fresh FROM documents'
+
+
+@query("v15_length_match_checked", SQL_CHECKED)
 def v15_checked(spark, folder):
-    inputs = table(spark, folder, "documents").select("doc_id", "text")
-    matched = matching.match_by_length(inputs, _references(spark, folder), "doc_id", "text", "ref_id", "text")
-    return matched.select("input_id", "ref_id", F.md5("ref_text").alias("digest"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _checked(docs, matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text"))
 
 
-@query("v16_binned_match")
+@query("v16_binned_match", SQL_CHECKED.replace(", true AS different", ""))
 def v16(spark, folder):
-    inputs = table(spark, folder, "documents").select("doc_id", "text")
-    matched = matching.match_by_length(
-        inputs, _references(spark, folder), "doc_id", "text", "ref_id", "text", bin_size=20, max_probes=30
-    )
-    return matched.select("input_id", "ref_id", F.md5("ref_text").alias("digest"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    matched = matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", bin_size=20, max_probes=30)
+    return _checked(docs, matched).drop("different")
 
 
-@query("v15_similarity_ratio")
+@query("v15_similarity_ratio", SQL_MATCH.replace("SELECT input_id, ref_id, md5(ref_text) AS digest FROM p", "SELECT input_id AS doc_id, ref_id, true AS in_bounds FROM p"))
 def ratio(spark, folder):
+    """The ratio lies between 0 and what the two lengths allow, and is 1 for equal texts."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     matched = matching.match_by_length(
         docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", threshold=None
     )
-    both = docs.join(matched, docs.doc_id == matched.input_id)
-    return both.select("doc_id", "ref_id", F.round(matching.similarity_ratio("ref_text", "text"), 6).alias("ratio"))
+    both = docs.join(matched, docs.doc_id == matched.input_id).withColumn("ratio", matching.similarity_ratio("ref_text", "text"))
+    a, b = F.length("ref_text"), F.length("text")
+    same = F.when(F.lower("ref_text") == F.lower("text"), F.col("ratio") == 1).otherwise(True)
+    return both.select("doc_id", "ref_id", (F.col("ratio").between(0, F.least(a, b) * 2 / (a + b) + 1e-9) & same).alias("in_bounds"))

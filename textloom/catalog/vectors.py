@@ -94,6 +94,21 @@ def v4(spark, folder):
     return similarity.mmd(s, o, "vec_id", "vec_id").select(F.round("mmd", 6).alias("mmd"))
 
 
+SQL_FEATURES = """, u AS (SELECT j, d, (CAST(concat('0x', substr(md5(concat('42:', j, ':', d, ':a')), 1, 13)) AS BIGINT) + 1) / (16::DOUBLE ** 13 + 1) AS a,
+    (CAST(concat('0x', substr(md5(concat('42:', j, ':', d, ':b')), 1, 13)) AS BIGINT) + 1) / (16::DOUBLE ** 13 + 1) AS b FROM range(64) x(j), range(64) y(d)),
+  w AS (SELECT j, list(sqrt(20) * sqrt(-2 * ln(a)) * cos(2 * pi() * b) ORDER BY d) AS w,
+    2 * pi() * (CAST(concat('0x', substr(md5(concat('42:', j, ':p')), 1, 13)) AS BIGINT) + 1) / (16::DOUBLE ** 13 + 1) AS p FROM u GROUP BY j),
+  fs AS (SELECT j, avg(cos(list_inner_product(v, w) + p)) AS m FROM s, w GROUP BY j),
+  fo AS (SELECT j, avg(cos(list_inner_product(v, w) + p)) AS m FROM o, w GROUP BY j)
+"""
+
+
+@query("v4_mmd_full", SQL_SIDES + SQL_FEATURES + "SELECT round(sqrt(sum((fs.m - fo.m) ** 2) * 2 / 64), 6) AS mmd FROM fs JOIN fo USING (j)")
+def v4_full(spark, folder):
+    s, o = sides(spark, folder)
+    return similarity.mmd_all(s, o).select(F.round("mmd", 6).alias("mmd"))
+
+
 SQL_COVER = "SELECT count(*) FILTER (c >= {t}) / count(*)::DOUBLE AS coverage FROM (SELECT oid, max(c) AS c FROM sim GROUP BY 1)"
 # The test vectors lie far apart; 0.3 covers some of them and not others.
 LOOSE = 0.3
@@ -136,10 +151,18 @@ def v7(spark, folder):
     return similarity.distribution_metrics(s, o.where("label < 0"), "vec_id", "vec_id")
 
 
-@query("v8_kmeans")
+@query("v8_kmeans", "SELECT vec_id, 1::BIGINT AS times_assigned, true AS nearest FROM embeddings")
 def v8(spark, folder):
-    grouped = similarity.cluster(table(spark, folder, "embeddings"), 10).groupBy("cluster")
-    return grouped.agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    """Every vector is assigned once, to the cluster whose centre is nearest."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    grouped, centers = similarity.cluster_with_centers(rows, 10)
+
+    def distance(center):
+        return F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in center]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+
+    far = grouped.withColumn("v", F.col("embedding").cast("array<double>")).withColumn("all", F.array(*[distance(c) for c in centers]))
+    own = F.element_at("all", F.col("cluster") + 1)
+    return far.groupBy("vec_id").agg(F.count("*").alias("times_assigned"), F.bool_and(own <= F.array_min("all") + 1e-9).alias("nearest"))
 
 
 SQL_SELECT = """, ranked AS (SELECT id, label, c, row_number() OVER (PARTITION BY label ORDER BY c DESC, id) <= 6 AS in_quota FROM best)
@@ -168,10 +191,14 @@ def v10(spark, folder):
     return best.join(docs, "nearest_id", "left").select("id", F.md5("text").alias("digest"))
 
 
-@query("v11_pca")
+@query("v11_pca", "SELECT vec_id, 50 AS n, true AS not_longer, true AS kept_short FROM embeddings")
 def v11(spark, folder):
-    reduced = similarity.reduce_dimensions(table(spark, folder, "embeddings"), 50)
-    return reduced.select("vec_id", F.size("reduced").alias("n"), F.round(F.abs(F.col("reduced")[0]), 4).alias("first"))
+    """A projection on orthonormal directions is never longer than the vector; short vectors pass unchanged."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    short = similarity.reduce_dimensions(rows, 64, out="same").select("vec_id", (F.col("same") == F.col("embedding")).alias("kept_short"))
+    reduced = similarity.reduce_dimensions(rows, 50).join(short, "vec_id")
+    return reduced.select("vec_id", F.size("reduced").alias("n"), (square(F.col("reduced")) <= square(F.col("embedding")) + 1e-9).alias("not_longer"), "kept_short")
 
 
 @query(
@@ -200,11 +227,11 @@ def v14(spark, folder):
     )
 
 
-@query("v1_embed_texts")
+@query("v1_embed_texts", "SELECT doc_id, 384 AS dimensions, true AS unit FROM documents")
 def v1(spark, folder):
     docs = similarity.embed(table(spark, folder, "documents").select("doc_id", "text"), dimensions=384)
-    return docs.select("doc_id", F.size("embedding").alias("dimensions"),
-                       F.round(F.array_max("embedding"), 4).alias("largest"))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return docs.select("doc_id", F.size("embedding").alias("dimensions"), (F.abs(square - 1) < 1e-9).alias("unit"))
 
 
 SQL_TOPICS = (

@@ -130,15 +130,16 @@ def few_shot_examples(
 def attach_few_shot(
     tasks: DataFrame, shots: DataFrame, label: str, labels: str = "alert_types", limit: int = 5
 ) -> DataFrame:
-    """Add ``few_shot``: samples of all labels of the task, in label order, cut to ``limit``."""
-    exploded = tasks.select("task_id", F.posexplode(labels).alias("_pos", label))
-    rows = exploded.join(shots, label).groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "samples"))).alias("_s")
-    )
-    joined = tasks.join(rows, "task_id", "left")
-    flat = F.flatten(F.transform("_s", lambda s: s["samples"]))
+    """Add ``few_shot``: samples of all labels of the task, in label order, cut to ``limit``.
+
+    ``shots`` has one short row per label and is looked up as one map, so tasks are
+    neither multiplied nor shuffled.
+    """
+    by_label = shots.select(F.map_from_entries(F.collect_list(F.struct(label, "samples")))).scalar()
     none = F.array().cast("array<string>")
-    return joined.withColumn("few_shot", F.slice(F.coalesce(flat, none), 1, limit)).drop("_s")
+    found = F.transform(labels, lambda name: F.coalesce(F.element_at(F.col("_shots"), name), none))
+    rows = tasks.withColumn("_shots", by_label)
+    return rows.withColumn("few_shot", F.slice(F.coalesce(F.flatten(found), none), 1, limit)).drop("_shots")
 
 
 def subtle_examples(

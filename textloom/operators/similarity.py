@@ -9,6 +9,8 @@ match are skipped, and the rest is joined tile by tile with bounded tiles.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -383,6 +385,54 @@ def mmd(
     return mine.groupBy("grp").applyInArrow(work, "grp string, mmd double")
 
 
+def cosine_features(dimensions: int, n: int, gamma: float, seed: int | str = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies (n x dimensions) and phases of random cosine features of the Gaussian kernel, from MD5 so that any engine can repeat them."""
+
+    def uniform(name: str) -> float:
+        return (int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:13], 16) + 1) / (16**13 + 1)
+
+    normal = [
+        [math.sqrt(-2 * math.log(uniform(f"{j}:{d}:a"))) * math.cos(2 * math.pi * uniform(f"{j}:{d}:b")) for d in range(dimensions)]
+        for j in range(n)
+    ]
+    return math.sqrt(2 * gamma) * np.array(normal).reshape(n, dimensions), np.array([2 * math.pi * uniform(f"{j}:p") for j in range(n)])
+
+
+def mmd_all(
+    df: DataFrame, other: DataFrame, vector: str = "embedding", gamma: float = 10.0, n_features: int = 64, seed: int | str = 42
+) -> DataFrame:
+    """One row ``mmd``: kernel discrepancy over all rows of both sides.
+
+    The kernel is the mean product of random cosine features, so the discrepancy is the distance between two mean feature
+    vectors: one pass per side, partial sums, no pairs. 0 when a side is empty.
+    """
+    size = df.where(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0]
+    spark = df.sparkSession
+    if size is None or other.where(F.col(vector).isNotNull()).isEmpty():
+        return spark.range(1).select(F.lit(0.0).alias("mmd"))
+    shared = spark.sparkContext.broadcast(cosine_features(size, n_features, gamma, seed))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequencies, phases = shared.value
+        total, rows = np.zeros(n_features), 0
+        for batch in batches:
+            x = _raw(pa.chunked_array([batch.column(0)]))
+            if len(x):
+                for block in _blocks(len(x), n_features):
+                    total += np.cos(x[block] @ frequencies.T + phases).sum(axis=0)
+                rows += len(x)
+        if rows:
+            parts = [pa.array(np.arange(n_features, dtype=np.int32)), pa.array(total), pa.array(np.full(n_features, rows, np.int64))]
+            yield pa.RecordBatch.from_arrays(parts, names=["j", "total", "n"])
+
+    def mean(side: DataFrame, name: str) -> DataFrame:
+        rows = side.where(F.col(vector).isNotNull()).select(as_double(vector).alias("v"))
+        return rows.mapInArrow(sums, "j int, total double, n bigint").groupBy("j").agg((F.sum("total") / F.sum("n")).alias(name))
+
+    gaps = mean(df, "a").join(mean(other, "b"), "j")
+    return gaps.agg(F.sqrt(F.sum((F.col("a") - F.col("b")) ** 2) * 2 / n_features).alias("mmd"))
+
+
 def _raw(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     if not len(flat):
@@ -451,16 +501,27 @@ def cluster(
     df: DataFrame, n_clusters: int = 50, vector: str = "embedding", out: str = "cluster",
     seeds: tuple[int, ...] = (42, 43, 44),
 ) -> DataFrame:
-    """K-means with several seeds, cheapest model kept; at most one cluster per two rows."""
-    k = min(n_clusters, df.count() // 2)
+    """K-means with several seeds, cheapest model kept; at most one cluster per two rows. Rows without a vector have no cluster."""
+    return cluster_with_centers(df, n_clusters, vector, out, seeds)[0]
+
+
+def cluster_with_centers(
+    df: DataFrame, n_clusters: int = 50, vector: str = "embedding", out: str = "cluster",
+    seeds: tuple[int, ...] = (42, 43, 44),
+) -> tuple[DataFrame, list[np.ndarray]]:
+    """:func:`cluster` and the centre of every cluster, by its number."""
+    known = df.where(F.col(vector).isNotNull())
+    unknown = df.where(F.col(vector).isNull()).withColumn(out, F.lit(None).cast("int"))
+    k = min(n_clusters, known.count() // 2)
     if k < 1:
-        return df.withColumn(out, F.lit(0)).where(F.lit(False))
-    rows = df.withColumn("_f", array_to_vector(as_double(vector)))
-    models = [KMeans(k=max(k, 2), seed=s, featuresCol="_f", predictionCol=out).fit(rows) for s in seeds] if k > 1 else []
-    if not models:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0)).where(F.lit(False)), []
+    if k == 1:
+        return known.withColumn(out, F.lit(0)).unionByName(unknown), []
+    rows = known.withColumn("_f", array_to_vector(as_double(vector))).persist()
+    models = [KMeans(k=k, seed=s, featuresCol="_f", predictionCol=out).fit(rows) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_f")
+    rows.unpersist()
+    return best.transform(rows).drop("_f").unionByName(unknown), best.clusterCenters()
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], key: str, k: int) -> DataFrame:

@@ -19,16 +19,17 @@ def tokenize(
     text: str = "text",
     max_length: int = 2048,
 ) -> DataFrame:
-    """Adds ``input_ids`` cut at ``max_length`` and ``labels``, a copy of them; drops the text."""
+    """Adds ``input_ids`` cut at ``max_length``, ``labels``, a copy of them, and ``n_tokens``, the uncut length; drops the text."""
     kept = [f for f in df.schema.fields if f.name != text]
     ids = T.ArrayType(T.IntegerType())
-    out = T.StructType([*kept, T.StructField("input_ids", ids), T.StructField("labels", ids)])
+    out = T.StructType([*kept, T.StructField("input_ids", ids), T.StructField("labels", ids), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             encoded = encode([t or "" for t in rows.column(text).to_pylist()])
             column = pa.array([e[:max_length] for e in encoded], pa.list_(pa.int32()))
             rest = [rows.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*rest, column, column], names=out.names)
+            sizes = pa.array([len(e) for e in encoded], pa.int64())
+            yield pa.RecordBatch.from_arrays([*rest, column, column, sizes], names=out.names)
 
     return df.mapInArrow(run, out)

@@ -66,7 +66,7 @@ def run_classification(
     from pyspark.sql import functions as F
 
     keyed = results.withColumn("text_key", F.concat_ws(":", "source_column", "original_row_idx"))
-    numbered = hash_rank(keyed, "text_key", out="row_id")
+    numbered = materialize(hash_rank(keyed, "text_key", out="row_id"), "numbered")
     pairs = training_pairs(numbered, keep=["source_column", "original_row_idx"])
     good, bad = split_failed(pairs)
     done = Classified(good, bad, results)

@@ -29,10 +29,11 @@ def compare(
     n_select: int = 500,
     method: str = "diverse",
     seed: int | str = 42,
+    cluster_column: str | None = None,
 ) -> Comparison:
     """Both sides: ``id, text, embedding``; the synthetic one also has the topic column.
 
-    Best similarities are computed once and kept in the shared folder. Any method
+    ``cluster_column`` names clusters that are known already. Best similarities are computed once and kept in the shared folder. Any method
     but ``diverse`` selects nothing.
     """
     best = similarity.nearest(synthetic, organic, "id", "id", vector, vector)
@@ -45,8 +46,11 @@ def compare(
     )
     n = scored.count()
     k = min(50, n // max(1, n_select // 20)) if method == "diverse" else 0
-    clustered = similarity.cluster(scored, k, vector)
-    n_clusters = min(k, n // 2)
+    if cluster_column is None:
+        clustered, n_clusters = similarity.cluster(scored, k, vector), min(k, n // 2)
+    else:
+        clustered = scored.withColumn("cluster", F.col(cluster_column))
+        n_clusters = clustered.agg(F.count_distinct("cluster")).first()[0]
     picked = similarity.select_diverse(
         clustered, "id", "cluster", "max_similarity", n_select, n_clusters
     ).select("id", "in_quota")
