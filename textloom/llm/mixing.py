@@ -88,6 +88,11 @@ def shard_quotas(targets: list[float], block: int, shards: int) -> list[list[int
     return [[b - a for a, b in zip(total[k], total[k + 1])] for k in range(shards)]
 
 
+def _hash(text: Column) -> Column:
+    """60 bits of MD5, which any engine can repeat."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _permuted(index: Column, n: Column, key: Column) -> Column:
     """Place of a block in its source's seeded order: a keyed affine map on [0, n).
 
@@ -107,8 +112,7 @@ def _positions(docs: DataFrame, seed: int) -> DataFrame:
     """
     n = docs.count()
     ranges = max(1, math.ceil(n / DOCS_PER_RANGE))
-    # 60 bits of MD5: any engine can repeat the order.
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    order = _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = docs.withColumn("_h", order).withColumn("_r", F.floor(F.col("_h") / F.lit(float(1 << 60)) * ranges).cast("int"))
     per_range = keyed.groupBy("src", "_r").agg(F.sum("size").alias("_n"))
     before = W.partitionBy("src").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
@@ -135,7 +139,7 @@ def _taken(block: int) -> Column:
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
 
     def piece(j: Column) -> Column:
-        rank = _permuted(j, F.col("_blocks"), F.crc32(F.coalesce(F.col("src"), F.lit("\0")).cast("binary")))
+        rank = _permuted(j, F.col("_blocks"), _hash(F.coalesce(F.col("src"), F.lit(""))))
         full = F.floor(F.col("_seats") / F.col("_blocks"))
         times = full + F.when(rank < F.col("_seats") % F.col("_blocks"), 1).otherwise(0)
         low = F.greatest(j * block - F.col("_start"), F.lit(0))
@@ -190,3 +194,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their source's target and the words the mix takes from each."""
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", words_taken().alias("taken"))
+
+
+SQL = r"""
+WITH z AS (SELECT doc_id, source AS src, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+so AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src NULLS LAST) - 1 AS i FROM z GROUP BY src),
+wt AS (SELECT *, CAST([5, 2, 1][i % 3 + 1] AS DOUBLE) AS weight, 2::DOUBLE * source_size AS cap FROM so),
+lv AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM wt WINDOW o AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fl AS (SELECT level FROM lv WHERE level * weight < cap ORDER BY cap / weight, i LIMIT 1),
+tg AS (SELECT src, i, source_size, coalesce(least((SELECT level FROM fl) * weight, cap), cap) AS target, CAST(ceil(source_size / 64) AS BIGINT) AS blocks FROM wt),
+qs AS (SELECT i, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, i) AS place FROM (SELECT i, target, unnest(range(0, 2 * blocks + 3)) AS s FROM tg WHERE target > 0)),
+st AS (SELECT tg.*, coalesce(n, 0) AS seats FROM tg LEFT JOIN (SELECT i, count(*) AS n FROM qs
+  WHERE place <= (SELECT round(sum(target) / 64) FROM tg) GROUP BY i) USING (i)),
+ps AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY CAST(concat('0x', substr(md5(concat('42:', doc_id)), 1, 15)) AS BIGINT), doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM z),
+bl AS (SELECT ps.*, st.source_size, st.target, st.blocks, st.seats FROM ps JOIN st ON ps.src IS NOT DISTINCT FROM st.src),
+pc AS (SELECT doc_id, j, greatest(j * 64 - begin, 0) AS low, least((j + 1) * 64 - begin, size) AS high, seats // blocks
+    + CASE WHEN (CAST(j AS HUGEINT) * 2147483647 + CAST(concat('0x', substr(md5(coalesce(src, '')), 1, 15)) AS BIGINT)) % blocks < seats % blocks THEN 1 ELSE 0 END AS times
+  FROM (SELECT *, unnest(range(CAST(begin // 64 AS BIGINT), CAST((begin + size - 1) // 64 + 1 AS BIGINT))) AS j FROM bl WHERE size > 0)),
+tk AS (SELECT doc_id, CAST(sum((high - low) * least(times, 2)) AS BIGINT) AS taken FROM pc GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken FROM bl LEFT JOIN tk USING (doc_id)
+"""

@@ -116,3 +116,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep_rule().alias("kept"), F.col("_lost").cast("long").alias("n_lost_words")
     )
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '') AS w FROM d),
+tri AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
+l AS (SELECT * FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+m AS (SELECT *, len(list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '')) AS n, length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars,
+    length(regexp_replace(line, '[^|»•·>]', '', 'g')) AS marks, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+    length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS capitals, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) AS letters FROM l),
+f AS (SELECT *, (marks * 4 >= n AND n >= 2) OR symbols * 10 > chars OR (letters >= 10 AND capitals * 10 > letters * 6)
+    OR regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') OR (NOT regexp_matches(rtrim(line), '{END_MARK.replace("'", "''")}') AND n < 8) AS fails FROM m),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups, coalesce(sum(n) FILTER (fails), 0) AS lost FROM f GROUP BY 1),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED} AS base_failed FROM r)
+SELECT *, NOT base_failed AND n_lost_words * 100 <= n_words * {MAX_LOST} AS kept FROM b
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import decontamination, near_dedup
+from textloom.llm import decontamination, mixing, near_dedup, quality_rules
 from textloom.llm.decontamination import op9_decontamination
 from textloom.llm.language_model import op3_language_model
 from textloom.llm.licenses import op4_license_scan
@@ -30,5 +30,7 @@ QUERIES = {
 }
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
+    "op7_quality_rules": quality_rules.SQL,
     "op9_decontamination": decontamination.SQL,
+    "op10_mixing": mixing.SQL,
 }
