@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,7 +45,7 @@ def work_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
     may fall back to a temporary folder of its own, because there every task
-    runs on this machine.
+    runs on this machine; it goes when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,6 +56,7 @@ def work_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
