@@ -92,6 +92,38 @@ def p5(spark, folder):
     )
 
 
+SQL_PROMPT_HEAD = """concat(CASE example_type
+        WHEN 'alert' THEN 'Write a workplace comment that shows: '
+        WHEN 'non_alert' THEN 'Write an ordinary workplace comment of the kind: '
+        WHEN 'mixed' THEN 'Write a comment that mixes these alerts and an ordinary remark: '
+        ELSE 'Write a comment that sounds alarming but is only: ' END,
+      concat_ws('; ', replace(alert_types, ',', ', '), non_alert_type),
+      '\nindustry: ', industry, '\nrole: ', role, '\ntone: ', tone, '\nwriting_style: ', writing_style,
+      '\ndemographic: ', demographic,
+      CASE WHEN example_type IN ('alert', 'mixed') THEN concat('\ndifficulty: ', difficulty) ELSE '' END,"""
+
+
+@query(
+    "p5_few_shot_prompt",
+    SQL_TASKS.rstrip()
+    + f""", shots AS (SELECT label, list(text ORDER BY rn) AS samples FROM (SELECT {ALERTS}[item_id % 24 + 1] AS label, text,
+          row_number() OVER (PARTITION BY item_id % 24 ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 3 GROUP BY label),
+      x AS (SELECT task_id, unnest(string_split(alert_types, ',')) AS label, generate_subscripts(string_split(alert_types, ','), 1) AS pos FROM tasks
+        WHERE alert_types IS NOT NULL),
+      few AS (SELECT task_id, flatten(list(samples ORDER BY pos))[1:5] AS f FROM x JOIN shots USING (label) GROUP BY task_id)
+    SELECT task_id, coalesce(len(f), 0) AS n_samples, md5({SQL_PROMPT_HEAD}
+      CASE WHEN len(f) > 0 THEN concat('\nSamples:\n', array_to_string(list_transform(f, lambda t: concat('- ', t)), '\n')) ELSE '' END,
+      '\nAnswer in JSON: {{"text": "..."}}')) AS digest FROM tasks LEFT JOIN few USING (task_id)""",
+)
+def p5_few_shot(spark, folder):
+    """Prompts with up to five samples of the task's labels, three per label; the benchmark's items are the samples."""
+    label = generation.cycle(GENERATED_ALERT_TYPES, F.col("item_id")).alias("label")
+    shots = prompts.few_shot_examples(table(spark, folder, "benchmark").select("item_id", "text", label), "label", "text", 3, key="item_id")
+    tasks = prompts.attach_few_shot(_tasks(spark, folder), shots, "label")
+    out = prompts.generation_prompt(tasks, few_shot="few_shot")
+    return out.select("task_id", F.size("few_shot").cast("bigint").alias("n_samples"), F.md5("prompt").alias("digest"))
+
+
 @query(
     "p6_attach_few_shot",
     """WITH s AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
