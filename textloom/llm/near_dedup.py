@@ -12,9 +12,11 @@ From bands to classes without pairs of everything:
    with it, exactly, on whole sets; the links give components.
 3. Buckets whose members already lie in one component are done. In the others the member that agrees
    best with the bucket (its medoid) is the pivot, block by block; links again give components.
-4. What still differs inside a bucket is compared tile by tile on signatures; pairs of different
+4. What still differs inside a bucket: in buckets of up to ``SMALL`` members the pairs of different
    components whose signatures agree in at least 46 of 80 places (a linked pair fails that with a
-   probability of about 2e-6) are compared exactly. No bucket has a cap: a large one has more tiles.
+   probability of about 2e-6) are compared exactly. Larger buckets are compared tile by tile: a task gets the texts of two blocks,
+   counts common shingles by a matrix product and returns links that join components, never more than
+   it has rows. No bucket has a cap: a large one has more tiles.
 
 So every pair of a bucket is linked, compared, or of one component.
 
@@ -42,7 +44,9 @@ COORDINATES = BANDS * ROWS
 WIDTH = 5
 PERCENT = 80
 AGREE = 46
-TILE = 256
+TILE = 1024
+SMALL = 32
+COLUMNS = 4096
 BLOCK = 1 << 14
 
 
@@ -173,52 +177,100 @@ def _joined(parts: list) -> list[np.ndarray]:
     return [sets[bounds[r] : bounds[r + 1]] for _, (sets, bounds) in parts for r in range(len(bounds) - 1)]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], medoid: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, tile, doc, component, sig), sorted by bucket and tile, to pairs worth comparing."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that agree in their first two columns and stand together, across batches."""
     held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:]):
+            key = (int(keys[0, low]), int(keys[1, low]))
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+def _pair_rows(batches: Iterator[pa.RecordBatch], medoid: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, tile, doc, component, sig), sorted by bucket and tile, to pairs worth comparing."""
+    for table in _groups(batches):
         doc, comp = table["doc"].to_numpy(), table["component"].to_numpy()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(doc), COORDINATES)
+        pivots = range(len(doc))
         if medoid:
             # The member whose signature agrees most often with the commonest value of each place.
             votes = np.zeros(len(doc), np.int64)
             for k in range(COORDINATES):
                 votes += np.bincount(sig[:, k], minlength=256)[sig[:, k]]
-            p = int(np.lexsort((doc, -votes))[0])
-            other = comp != comp[p]
-            a, b = np.full(int(other.sum()), doc[p]), doc[other]
-            agree = (sig[other] == sig[p]).sum(axis=1)
-            a, b = a[agree >= AGREE], b[agree >= AGREE]
-        else:
-            # One block against itself or two against each other; equal components need no comparison.
-            block = table["block"].to_numpy()
-            one, two = block == block.min(), block == block.max()
-            x, y = np.flatnonzero(one), np.flatnonzero(two)
-            found_a, found_b = [], []
-            for i in x:
-                rest = y[(comp[y] != comp[i]) & ((doc[y] > doc[i]) if block.min() == block.max() else True)]
-                rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
-                found_a.append(np.full(len(rest), doc[i]))
-                found_b.append(doc[rest])
-            a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-            b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            pivots = [int(np.lexsort((doc, -votes))[0])]
+        a, b = [], []
+        for i in pivots:
+            rest = np.flatnonzero((comp != comp[i]) if medoid else (comp != comp[i]) & (doc > doc[i]))
+            rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
+            a.append(np.minimum(doc[rest], doc[i]))
+            b.append(np.maximum(doc[rest], doc[i]))
+        yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for low, high in zip(edges, edges[1:]):
-            piece = batch.slice(low, high - low)
-            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (piece.column(0)[0].as_py(), piece.column(1)[0].as_py()):
-                yield pairs(pa.Table.from_batches(held))
-                held = []
-            held.append(piece)
-    if held:
-        yield pairs(pa.Table.from_batches(held))
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every left with every right set of hashes.
+
+    Hashes that occur once take no part. The others are columns of 0/1 matrices, multiplied a few thousand columns at a time.
+    """
+    sides = [(np.concatenate(x) if x else np.zeros(0, np.uint64), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for hashes, row in sides:
+        at = np.searchsorted(shared, hashes)
+        there = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == hashes) if len(shared) else np.zeros(len(hashes), bool)
+        at, row = at[there], row[there]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order]))
+    for low in range(0, len(shared), COLUMNS):
+        blocks = []
+        for (at, row), n in zip(placed, out.shape):
+            a, b = np.searchsorted(at, [low, low + COLUMNS])
+            block = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            block[row[a:b], at[a:b] - low] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], width: int, lower: bool, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, tile, doc, component, text, block), sorted by bucket and tile, to links between components."""
+    for table in _groups(batches):
+        doc, comp, block = (table[c].to_numpy() for c in ("doc", "component", "block"))
+        parts = [(i, shingle_sets(Texts(d, o, lower), width)) for i, _, d, o in text_slices(table["text"])]
+        sets = _joined(parts)
+        sizes = np.array([len(x) for x in sets], np.float64)
+        x = np.flatnonzero(block == block.min())
+        y = np.flatnonzero(block == block.max())
+        both = common_counts([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
+        linked = both * 100 >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
+        linked &= comp[x][:, None] != comp[y][None, :]
+        root = {c: c for c in np.unique(comp).tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = [], []
+        for i, j in zip(*np.nonzero(linked)):
+            p, q = find(int(comp[x[i]])), find(int(comp[y[j]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                u.append(int(doc[x[i]]))
+                v.append(int(doc[y[j]]))
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, lower: bool, percent: int) -> DataFrame:
@@ -236,6 +288,10 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.select("bucket", "n"), "bucket")
 
 
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("bucket", "tile", "doc", "component", *more).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, lower: bool = True
 ) -> DataFrame:
@@ -259,33 +315,28 @@ def near_duplicates(
     links = checkpointed(_linked(near, texts, width, lower, percent), "star-links")
     labels = components(links)
 
-    # 3. and 4. Medoids, then everything that still differs.
-    rest = buckets.select("bucket", "doc")
-    compared = near
-    for medoid in (True, False):
-        open_rows = _unresolved(rest, labels)
-        rest = checkpointed(open_rows, "open").select("bucket", "doc", "component", "n")
-        if rest.isEmpty():
-            break
-        blocks = F.ceil(F.col("n") / TILE).cast("int")
-        block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-        tiled = rest.join(sigs, "doc").withColumn("block", block).withColumn("blocks", blocks)
-        if medoid:
-            tiled = tiled.withColumn("tile", F.col("block").cast("long"))
-        else:
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            low, high = F.least("block", "other"), F.greatest("block", "other")
-            tiled = tiled.withColumn("other", other).withColumn("tile", low.cast("long") * F.col("blocks") + high)
-        tiled = tiled.select("bucket", "tile", "doc", "component", "sig", "block")
-        dealt = tiled.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
-        pairs = dealt.mapInArrow(partial(_tiles, medoid=medoid), "a long, b long").distinct()
-        new = checkpointed(pairs.join(compared, ["a", "b"], "left_anti"), "more-pairs")
-        more = checkpointed(_linked(new, texts, width, lower, percent), "more-links")
-        links = links.unionByName(more)
-        compared = compared.unionByName(new)
-        if not more.isEmpty():
-            labels = components(links)
-        rest = rest.select("bucket", "doc")
+    # 3. Medoids of the buckets that still differ, block by block.
+    rest = checkpointed(_unresolved(buckets.select("bucket", "doc"), labels), "open")
+    tiled = rest.join(sigs, "doc").withColumn("tile", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / TILE).cast("int")).cast("long"))
+    new = checkpointed(_dealt(tiled, "sig").mapInArrow(partial(_pair_rows, medoid=True), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "medoid-pairs")
+    more = checkpointed(_linked(new, texts, width, lower, percent), "medoid-links")
+    links = links.unionByName(more)
+    labels = labels if more.isEmpty() else components(links)
+
+    # 4. Everything that differs after that: pairs of small buckets, tiles of large ones.
+    rest = checkpointed(_unresolved(rest.select("bucket", "doc"), labels), "open")
+    small = rest.where(F.col("n") <= SMALL).join(sigs, "doc").withColumn("tile", F.lit(0).cast("long"))
+    pairs = _dealt(small, "sig").mapInArrow(partial(_pair_rows, medoid=False), "a long, b long").distinct()
+    pairs = checkpointed(pairs.join(near, ["a", "b"], "left_anti").join(new, ["a", "b"], "left_anti"), "small-pairs")
+    more = checkpointed(_linked(pairs, texts, width, lower, percent), "small-links")
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    large = rest.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.withColumn("tile", F.least("block", "_other").cast("long") * blocks + F.greatest("block", "_other"))
+    dealt = _dealt(large.join(texts, "doc"), "text", "block")
+    tiles = checkpointed(dealt.mapInArrow(partial(_tile_links, width=width, lower=lower, percent=percent), "u long, v long"), "tile-links")
+    if not (more.isEmpty() and tiles.isEmpty()):
+        labels = components(links.unionByName(more).unionByName(tiles))
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc", "n_shingles", "digest").join(named, (F.col("digest") == F.col("_d")) & (F.col("n_shingles") > 0), "left")
