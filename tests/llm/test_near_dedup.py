@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import COLUMNS, prose, rows_of
 from textloom.llm.arrays import mix64
 from textloom.llm.components import components
-from textloom.llm.near_dedup import drop_near_duplicates, near_duplicates, signatures
+from textloom.llm.near_dedup import _tile_links, common_counts, drop_near_duplicates, near_duplicates, signatures
 
 
 def sets_of(texts, width):
@@ -87,3 +88,39 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 150)} == {100} and got[300] == got[299] == 299
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_common_counts_match_set_intersections():
+    draw = np.random.default_rng(6)
+    left, right = ([np.unique(draw.integers(0, 9000, draw.integers(0, 6000)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    got = common_counts(left, right)
+    assert [[int(x) for x in row] for row in got] == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert common_counts([], right).shape == (0, 5) and common_counts([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_tiles_link_what_brute_force_links(blocks):
+    """Rows of two tiles, cut into small batches: the links of a tile join the same components as all its pairs."""
+    texts = [prose(i // 6, 60) + f" tail{i} more{i}" * (i % 5) for i in range(48)]
+    rows = [(1, t, i, i, texts[i], i % blocks) for t in (0, 1) for i in range(48)]
+    names = ["bucket", "tile", "doc", "component", "text", "block"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+    for out in _tile_links(iter(batches), width=2, lower=True, percent=80):
+        got = {frozenset(x) for x in zip(out["u"].to_pylist(), out["v"].to_pylist())}
+        sets = sets_of(texts, 2)
+        allowed = {frozenset((a, b)) for a in range(48) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (blocks == 1 or a % 2 != b % 2)}
+        assert got <= allowed and classes(got) == classes(allowed) and len(got) < 48
+
+
+def classes(links):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in map(sorted, links):
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in list(root)}
