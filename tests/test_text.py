@@ -69,7 +69,7 @@ def test_unpivot_keeps_order_and_drops_blanks(spark):
     df = spark.createDataFrame([(0, " x ", "nan"), (1, None, "y"), (2, "", "z")], "row_id long, a string, b string")
     rows = reshape.unpivot_texts(df, ["a", "b", "gone"]).orderBy("column_pos", "original_row_idx").collect()
     assert [(r["source_column"], r["original_row_idx"], r["text"]) for r in rows] == [("a", 0, "x"), ("b", 1, "y"), ("b", 2, "z")]
-    with pytest.raises(ValueError, match="Available columns"):
+    with pytest.raises(ValueError, match="it has"):
         reshape.unpivot_texts(df, ["gone"])
 
 
@@ -92,7 +92,7 @@ def test_generation_prompt(spark):
     text = prompts.generation_prompt(spark.createDataFrame([row], TASK)).first()["prompt"]
     assert "a, b; n" in text and "difficulty: d" in text
     bad = spark.createDataFrame([(0, "odd", *row[2:])], TASK)
-    with pytest.raises(Exception, match="Unknown example type: odd"):
+    with pytest.raises(Exception, match="no prompt for example type odd"):
         prompts.generation_prompt(bad).collect()
 
 

@@ -108,7 +108,7 @@ def generation_prompt(df: DataFrame, out: str = "prompt", few_shot: str | None =
     prompt = F.concat(
         opening, labels, *facts, level, samples, F.lit('\nAnswer in JSON: {"text": "..."}')
     )
-    unknown = F.raise_error(F.concat(F.lit("Unknown example type: "), or_empty(kind)))
+    unknown = F.raise_error(F.concat(F.lit("no prompt for example type "), or_empty(kind)))
     return df.withColumn(out, F.when(opening.isNotNull(), prompt).otherwise(unknown))
 
 

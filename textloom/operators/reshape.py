@@ -14,7 +14,7 @@ def available_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     found = [c for c in wanted if c in df.columns]
     if not found:
         raise ValueError(
-            f"None of the specified columns {wanted} found. Available columns: {df.columns}"
+            f"the table has none of {wanted}; it has {df.columns}"
         )
     return found
 

@@ -17,6 +17,7 @@ from textloom.functions.hashing import hash_int, order_key
 PREFIX_DIGITS = 3  # 4096 ranges
 SMALL_RANGE = 10_000
 SALTS = 64
+RANGE_ROWS = 100_000
 
 
 def hash_threshold(df: DataFrame, key: str, n: int, seed: int | str = 42) -> str | None:
@@ -70,20 +71,20 @@ def split_train_validation(
 def hash_rank(df: DataFrame, key: str, seed: int | str = 42, out: str = "hash_rank") -> DataFrame:
     """0-based position in hash order.
 
-    Rank inside a prefix range plus the number of rows in earlier ranges; the
-    table of ranges has at most 4096 rows.
+    Rank inside a prefix range plus the number of rows in earlier ranges. There are as many
+    ranges as keep one near ``RANGE_ROWS`` rows, so tasks stay small at any size.
     """
-    hashed = df.withColumn("_h", order_key(key, seed)).withColumn(
-        "_p", F.substring("_h", 1, PREFIX_DIGITS)
-    )
+    n = df.count()
+    digits = next(d for d in range(1, 15) if n <= RANGE_ROWS * 16**d)
+    hashed = df.withColumn("_h", order_key(key, seed)).withColumn("_p", F.substring("_h", 1, digits))
     sizes = (
-        df.select(F.substring(order_key(key, seed), 1, PREFIX_DIGITS).alias("_p"))
+        df.select(F.substring(order_key(key, seed), 1, digits).alias("_p"))
         .groupBy("_p").agg(F.count("*").alias("_n"))
     )
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy("_p").orderBy("_h", key)
-    ranked = hashed.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(starts), "_p")
+    ranked = hashed.withColumn("_r", F.row_number().over(inside)).join(starts, "_p")
     return ranked.withColumn(out, (F.col("_start") + F.col("_r") - 1).cast("bigint")).drop(
         "_h", "_p", "_r", "_start"
     )

@@ -171,6 +171,7 @@ DIMENSIONS = {
     "demographic": DEMOGRAPHICS,
 }
 
+# Fixed value: what a failed row carries.
 PARSE_FAILED = "PARSE_FAILED"
 
 

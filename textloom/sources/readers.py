@@ -49,9 +49,9 @@ def load(
     """
     suffix = suffix_of(path)
     if suffix not in _SUFFIXES:
-        raise ValueError(f"Unsupported file format: {suffix or path}")
+        raise ValueError(f"cannot read files of kind {suffix or path!r}")
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Input file not found: {path}")
+        raise FileNotFoundError(f"no file at {path}")
     kind = _SUFFIXES[suffix]
     if kind == "parquet":
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
@@ -92,8 +92,11 @@ def _read_pandas_files(
 
         import json
 
-        text = files.limit(1).mapInPandas(describe, "schema string").first()["schema"]
-        schema = T.StructType.fromJson(json.loads(text))
+        # One short row per distinct schema. Files that differ are an error, so no column gets lost.
+        found = [r["schema"] for r in files.mapInPandas(describe, "schema string").distinct().collect()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} different schemas in {path}; pass the schema to read")
+        schema = T.StructType.fromJson(json.loads(found[0]))
 
     names = schema.names if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).names
 
@@ -157,6 +160,6 @@ def inline_texts(spark: SparkSession, texts: Sequence[str], times: int = 1) -> D
     return replicate(base, times).select((F.col("copy") * n + F.col("row_id")).alias("row_id"), "text")
 
 
-def csv_column(spark: SparkSession, path: str, column: str = "comment", times: int = 1) -> DataFrame:
-    """One column of a CSV file, repeated; only that column is parsed."""
-    return replicate(load(spark, path).select(column), times)
+def csv_column(spark: SparkSession, path: str, column: str = "comment", times: int = 1, multiline: bool = True) -> DataFrame:
+    """One column of a CSV file, repeated; only that column is parsed. ``multiline=False`` lets Spark split the file."""
+    return replicate(load(spark, path, multiline=multiline).select(column), times)
