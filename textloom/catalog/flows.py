@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import RULES, SQL_RULES, query, table
-from textloom.catalog.vectors import SQL_BEST, SQL_SIDES
+from textloom.catalog.vectors import (
+    SQL_BEST,
+    SQL_CENTROID,
+    SQL_COVER,
+    SQL_DIVERSITY,
+    SQL_MMD_TOTAL,
+    SQL_SIDES,
+    SQL_TOPICS,
+    sql_mean,
+)
 from textloom.operators import summaries
 from textloom.operators.inference import RuleBackend
 from textloom.operators.reshape import explode_results
@@ -47,10 +56,38 @@ def classify(spark, folder):
     )
 
 
-@query("k10_report_lines")
+SQL_REPORT = (
+    SQL_TOPICS.rstrip()
+    + f""", k AS (SELECT greatest(1, 50 // count(DISTINCT label)) AS share FROM s),
+  picked AS (SELECT id FROM (SELECT id, c, row_number() OVER (PARTITION BY label ORDER BY c DESC, id) <= share AS in_quota FROM best, k)
+    ORDER BY in_quota DESC, c DESC, id LIMIT 50),
+  p AS (SELECT s.* FROM s JOIN picked ON s.vec_id = picked.id),
+  tops AS (SELECT row_number() OVER (ORDER BY c DESC, id DESC) AS r, id, label, c FROM best ORDER BY c DESC, id DESC LIMIT 10),
+  lines AS (
+    SELECT 0 AS a, 0 AS b, 'ORGANIC AND SYNTHETIC DATA' AS content
+    UNION ALL SELECT 1, 0, concat('organic rows: ', (SELECT count(*) FROM o))
+    UNION ALL SELECT 2, 0, concat('synthetic rows: ', (SELECT count(*) FROM s))
+    UNION ALL SELECT 3, 0, format('centroid distance: {{:.4f}}', (SELECT {SQL_CENTROID} FROM {sql_mean('s')} a, {sql_mean('o')} b))
+    UNION ALL SELECT 4, 0, format('kernel discrepancy: {{:.4f}}', {SQL_MMD_TOTAL})
+    UNION ALL SELECT 5, 0, format('coverage: {{:.2f}}%', 100 * ({SQL_COVER.format(t=0.7)}))
+    UNION ALL SELECT 6, 0, format('mean best similarity: {{:.4f}}', (SELECT avg(c) FROM best))
+    UNION ALL SELECT 7, 0, format('diversity: {{:.4f}}', ({SQL_DIVERSITY.format(t='s')}))
+    UNION ALL SELECT 8, 0, format('diversity of the selection: {{:.4f}}', ({SQL_DIVERSITY.format(t='p')}))
+    UNION ALL SELECT 9, 0, 'TOPICS'
+    UNION ALL SELECT 10, row_number() OVER (ORDER BY topic), concat(rpad(topic, 20, ' '), rpad(CAST(n AS VARCHAR), 10, ' '),
+      rpad(format('{{:.4f}}', mean_similarity), 10, ' '), rpad(format('{{:.4f}}', centroid_distance), 10, ' '), rpad(format('{{:.4f}}', mmd), 10, ' '),
+      format('{{:.4f}}', diversity)) FROM topics
+    UNION ALL SELECT 11, 0, 'TOP 10'
+    UNION ALL SELECT 12, r, concat(r, '. ', format('{{:.4f}}', c), ' ', coalesce(left(text, 100), 'None'), ' [', label, ']')
+      FROM tops LEFT JOIN documents d ON d.doc_id = tops.id)
+SELECT row_number() OVER (ORDER BY a, b) - 1 AS line, content FROM lines"""
+)
+
+
+@query("k10_report_lines", SQL_REPORT)
 def report(spark, folder):
     s, o = _corpora(spark, folder)
-    lines = compare_plan.report_lines(compare_plan.compare(s, o, n_select=50), o)
+    lines = compare_plan.report_lines(compare_plan.compare(s, o, n_select=50, cluster_column="example_type"), o)
     return spark.createDataFrame(list(enumerate(lines)), "line bigint, content string")
 
 

@@ -57,7 +57,7 @@ def v2_mean(spark, folder):
 SQL_CENTROID = """sqrt(list_sum(list_transform(list_zip(a.m, b.m), lambda p: (p[1] - p[2]) ** 2)))"""
 
 
-def _sql_mean(side: str, group: str = "") -> str:
+def sql_mean(side: str, group: str = "") -> str:
     key = f"{group}, " if group else ""
     return f"""(SELECT {key}list(x ORDER BY d) AS m FROM (SELECT {key}d, avg(v[d]) AS x
       FROM {side}, range(1, 65) r(d) GROUP BY {key}d) {'GROUP BY ' + group if group else ''})"""
@@ -66,7 +66,7 @@ def _sql_mean(side: str, group: str = "") -> str:
 @query(
     "v3_centroid_distance",
     SQL_SIDES
-    + f"SELECT round({SQL_CENTROID}, 6) AS centroid_distance FROM {_sql_mean('s')} a, {_sql_mean('o')} b",
+    + f"SELECT round({SQL_CENTROID}, 6) AS centroid_distance FROM {sql_mean('s')} a, {sql_mean('o')} b",
 )
 def v3(spark, folder):
     s, o = sides(spark, folder)
@@ -239,7 +239,7 @@ SQL_TOPICS = (
     + SQL_BEST.rstrip()
     + SQL_SAMPLES
     + f""", n AS (SELECT label, count(*) AS n, avg(c) AS mean_similarity FROM best GROUP BY 1 HAVING count(*) >= 5),
-  cd AS (SELECT label, {SQL_CENTROID} AS x FROM {_sql_mean('s', 'label')} a, {_sql_mean('o')} b),
+  cd AS (SELECT label, {SQL_CENTROID} AS x FROM {sql_mean('s', 'label')} a, {sql_mean('o')} b),
   kss AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM ss x JOIN ss y ON x.label = y.label GROUP BY 1),
   kso AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM ss x, os y GROUP BY 1),
   koo AS (SELECT {_sql_kernel('x', 'y')} AS k FROM os x, os y),
