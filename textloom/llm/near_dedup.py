@@ -47,6 +47,7 @@ AGREE = 46
 TILE = 1024
 SMALL = 32
 COLUMNS = 4096
+BROADCAST_IDS = 2_000_000  # of 8 bytes
 BLOCK = 1 << 14
 
 
@@ -273,8 +274,15 @@ def _tile_links(batches: Iterator[pa.RecordBatch], width: int, lower: bool, perc
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _only(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The texts that are asked for. A bounded list of ids is sent to the scan, so other texts are not shuffled; a longer one is a plain join later."""
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids), texts["doc"] == ids[key], "left_semi") if few else texts
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough, as u, v."""
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -333,7 +341,8 @@ def near_duplicates(
     large = rest.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.withColumn("tile", F.least("block", "_other").cast("long") * blocks + F.greatest("block", "_other"))
-    dealt = _dealt(large.join(texts, "doc"), "text", "block")
+    wanted = rest.where(F.col("n") > SMALL).select(F.col("doc").alias("id")).distinct()
+    dealt = _dealt(large.join(_only(texts, wanted, "id"), "doc"), "text", "block")
     tiles = checkpointed(dealt.mapInArrow(partial(_tile_links, width=width, lower=lower, percent=percent), "u long, v long"), "tile-links")
     if not (more.isEmpty() and tiles.isEmpty()):
         labels = components(links.unionByName(more).unionByName(tiles))
