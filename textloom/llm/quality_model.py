@@ -49,6 +49,8 @@ BITS = 16
 DIMENSIONS = 1 << BITS
 TRAIN_ROWS = 20_000
 LEXICON = 20_000
+LABELLED = 1_000_000  # labels of 9 bytes
+CANDIDATES = 500_000  # words of 8 bytes
 STEPS = 12
 HEADS = len(QUESTIONS)
 VOTE_WEIGHT = 1.0
@@ -241,35 +243,47 @@ def _score_rows(batches: Iterator[pa.RecordBatch], weights: np.ndarray, mined: n
             )
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic) to distinct words with the number of toxic and other texts of the slice that have them."""
+def _word_rows(batches: Iterator[pa.RecordBatch], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows (text) to distinct words with the number of texts of the slice that have them; ``only`` names the words that count."""
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, data, offsets in text_slices(batch.column(0)):
+        for _, _, data, offsets in text_slices(batch.column(0)):
             words = Texts(_ONLY_LETTERS[data], offsets)
-            hashes, at = np.unique(words.hashes(), return_inverse=True)
-            pairs = np.unique(words.doc_of_word() * max(len(hashes), 1) + at)
-            bad = label[i:j][pairs // max(len(hashes), 1)]
-            at = pairs % max(len(hashes), 1)
-            counts = [np.bincount(at[x], minlength=len(hashes)) for x in (bad, ~bad)]
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), *[pa.array(c, pa.int64()) for c in counts]], names=["word", "bad", "good"])
+            hashes, doc = words.hashes(), words.doc_of_word()
+            if only is not None:
+                there = np.isin(hashes, only)
+                hashes, doc = hashes[there], doc[there]
+            hashes, at = np.unique(hashes, return_inverse=True)
+            pairs = np.unique(doc * max(len(hashes), 1) + at)
+            counts = np.bincount(pairs % max(len(hashes), 1), minlength=len(hashes))
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"])
 
 
-def mined_words(docs: DataFrame, labels: DataFrame, most: int = LEXICON) -> np.ndarray:
+def _document_counts(texts: DataFrame, out: str, only: np.ndarray | None = None) -> DataFrame:
+    return texts.select("text").mapInArrow(partial(_word_rows, only=only), "word long, n long").groupBy("word").agg(F.sum("n").alias(out))
+
+
+def mined_words(docs: DataFrame, labels: DataFrame, most: int = LEXICON, labelled: int = LABELLED) -> np.ndarray:
     """Hashes of words that mark documents labelled toxic, the commonest first, at most ``most``.
 
     A word counts when nine in ten of its labelled documents are toxic and so many would not
-    come together by chance even once among all words (Bonferroni at 5 per cent).
+    come together by chance even once among all words (Bonferroni at 5 per cent). About ``labelled`` labels are
+    used at most, drawn by hash, so that they can be sent to the scan of the texts.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic") == 1).alias("_bad"))
-    rows = docs.join(marks, docs["doc_id"] == marks["_id"]).select("text", "_bad")
-    counted = rows.mapInArrow(_word_rows, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = marks.agg(F.avg(F.col("_bad").cast("double"))).first()[0]
-    if not share or share >= 1:
+    n, bad = marks.agg(F.count("*"), F.count_if("_bad")).first()
+    if not bad or bad == n:
         return np.zeros(0, np.uint64)
-    counted = checkpointed(counted.where("bad > 0"), "marked-words")
-    least = np.log(20.0 * max(counted.count(), 1)) / -np.log(share)
-    best = counted.where((F.col("bad") >= least) & (F.col("bad") >= 9 * F.col("good"))).orderBy(F.desc("bad"), "word").limit(most)
+    drawn = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, labelled / n) * 1_000_000)
+    rows = docs.join(F.broadcast(marks.where(drawn)), docs["doc_id"] == F.col("_id"))
+    toxic = checkpointed(_document_counts(rows.where("_bad"), "bad"), "toxic-words")
+    least = np.log(20.0 * max(toxic.count(), 1)) / -np.log(bad / n)
+    candidates = toxic.where(F.col("bad") >= least)
+    only = None
+    if candidates.count() <= CANDIDATES:
+        only = np.array([r["word"] for r in candidates.select("word").collect()], np.int64).view(np.uint64)
+    good = _document_counts(rows.where("not _bad"), "good", only)
+    both = candidates.join(good, "word", "left").where(F.col("bad") >= 9 * F.coalesce("good", F.lit(0)))
+    best = both.orderBy(F.desc("bad"), "word").limit(most)
     return np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64)
 
 
