@@ -83,6 +83,36 @@ def test_shared_passages_are_found_wherever_they_stand(spark):
     assert left[10] == texts[10] and len(left[12]) < len(texts[12]) - len(passage) // 2 and left[30] is None
 
 
+def pieces_of(text):
+    """Texts of the chunks of a text."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = sub.Texts(data, np.array([0, len(data)]))
+    c = sub.chunks(words)
+    return [text[words.start[a] : words.end[b]] for a, b in zip(c["first"], c["last"])]
+
+
+def test_an_earlier_passage_goes_although_the_next_one_is_first_here(spark):
+    pieces = pieces_of(prose(503, 160))[:-1]
+    half = len(pieces) // 2
+    early, late, border = " ".join(pieces[:half]), " ".join(pieces[half:]), " ".join(pieces[half - 3 : half])
+    texts = [f"{prose(1, 40)} {early} {prose(2, 40)}", f"{prose(3, 40)} {early} {late} {prose(4, 40)}", f"{prose(5, 40)} {border} {late} {prose(6, 40)}"]
+    left = {r.doc_id: r.text for r in sub.drop_repeats(spark.createDataFrame(rows_of(texts), COLUMNS)).collect()}
+    assert left[0] == texts[0] and f"{late} {prose(4, 40)}" in left[1] and prose(3, 40) in left[1]
+    assert all(p not in left[1] for p in pieces[5:half]) and late not in left[2]
+
+
+def test_words_of_a_span_recur_together(spark):
+    """Chunks of the first text recur with the six words before them, each in another document: no passage is shared."""
+    words, pieces, at, texts = prose(503, 160).split(), pieces_of(prose(503, 160)), 0, [prose(503, 160)]
+    for i, p in enumerate(pieces):
+        part = words[max(at - 6, 0) : at + len(p.split())]
+        at += len(p.split())
+        if len(part) < sub.MIN_WORDS:
+            texts.append(f"{prose(700 + i, 30)} {' '.join(part)} {prose(800 + i, 30)}")
+    assert len(texts) > 10
+    assert sub.repeated_spans(spark.createDataFrame(rows_of(texts), COLUMNS)).count() == 0
+
+
 def test_chunks_resist_shifts():
     w = prose(5, 600)
     digests = []

@@ -3,14 +3,15 @@
 A gear hash rolls over the bytes of a text: each byte shifts the hash left and adds its own
 random number, so the hash depends on the last 32 bytes only. A chunk ends after a word where the hash falls
 into a third of its range and the last possible end lies far enough back. Both tests look only at nearby
-bytes, so an insertion moves the borders around it and no others. Chunks are told apart by a 64-bit digest of
-their words; runs of consecutive chunks that other documents also have become spans.
+bytes, so an insertion moves the borders around it and no others. A window begins at every chunk and takes as many
+chunks as it needs for ``min_words`` words. Windows are told apart by a 64-bit digest of their words; one that
+another document has as a whole is a repeated passage, and repeated windows that touch become spans.
+Windows that an earlier document has and windows this document is the first to have are put together apart.
 
-One chunk in two digests by chance at 100 TB is to be expected; a span needs ``min_words``
-words, that is several consecutive chunks, so chance does not make spans.
+At 100 TB about one window in ten million meets the digest of another one by chance.
 
-Scale: chunk rows are counted per digest with map-side combining, then joined to the table of repeated digests
-(one row each), which the planner can split when a digest is hot. Runs are put together per document.
+Scale: window rows, one per chunk, are counted per digest with map-side combining, then joined to the table of repeated digests
+(one row each), which the planner can split when a digest is hot. Spans are put together per document.
 
 Defined results: null, blank and empty texts have no chunks. Rows with equal ids are one document;
 rows without an id are not looked at. Repeats inside one document do not count. White space between
@@ -72,21 +73,37 @@ def chunks(texts: Texts) -> dict[str, np.ndarray]:
     step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = np.repeat(first, pieces) + step * MAX_WORDS
     end = np.minimum(begin + MAX_WORDS - 1, np.repeat(last, pieces))
+    owner = doc[begin]
+    start_of = np.searchsorted(owner, np.arange(len(texts)))
+    return {"doc": owner, "index": np.arange(len(begin)) - start_of[owner], "digest": _digests(texts, begin, end), "first": begin, "last": end}
+
+
+def _digests(texts: Texts, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digest of the words first .. last, for every pair."""
+    n = len(texts.start)
     up, down = _powers(1 << max(16, int(max(n + 1, len(texts.data))).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(texts.hashes() * up[:n], out=sums[1:])
-    digest = mix64((sums[end + 1] - sums[begin]) * down[begin] + (end - begin + 1).astype(np.uint64))
-    owner = doc[begin]
-    start_of = np.searchsorted(owner, np.arange(len(texts)))
-    return {"doc": owner, "index": np.arange(len(begin)) - start_of[owner], "digest": digest, "first": begin, "last": end}
+    return mix64((sums[last + 1] - sums[first]) * down[first] + (last - first + 1).astype(np.uint64))
+
+
+def windows(texts: Texts, min_words: int) -> dict[str, np.ndarray]:
+    """Fewest whole chunks of at least ``min_words`` words, from every chunk on: as :func:`chunks`, with their number."""
+    c = chunks(texts)
+    to = np.searchsorted(c["last"], c["first"] + min_words - 1)
+    at = np.flatnonzero(to < len(c["last"]))
+    at = at[c["doc"][to[at]] == c["doc"][at]]
+    first, last = c["first"][at], c["last"][to[at]]
+    digest = _digests(texts, first, last) if len(at) else np.zeros(0, np.uint64)
+    return {"doc": c["doc"][at], "index": c["index"][at], "digest": digest, "first": first, "last": last, "n_chunks": to[at] - at + 1}
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], spans: bool) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], spans: bool, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j, data, offsets in text_slices(batch.column(1)):
             texts = Texts(data, offsets)
-            c = chunks(texts)
+            c = windows(texts, min_words)
             columns = [pa.array(ids[i:j][c["doc"]], pa.int64()), pa.array(c["digest"].view(np.int64))]
             names = ["doc", "digest"]
             if spans:
@@ -94,40 +111,44 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], spans: bool) -> Iterator[pa.R
                 zero = points[texts.offsets[c["doc"]]]
                 begin = points[texts.start[c["first"]]] - zero
                 end = points[texts.end[c["last"]]] - zero
-                columns += [pa.array(x.astype(np.int32)) for x in (c["index"], c["last"] - c["first"] + 1, begin, end)]
-                names += ["index", "n_words", "start", "end"]
+                word = texts.bounds[:-1][c["doc"]]
+                columns += [pa.array(x.astype(np.int32)) for x in (c["index"], c["n_chunks"], c["first"] - word, c["last"] - word, begin, end)]
+                names += ["index", "n_chunks", "first", "last", "start", "end"]
             yield pa.record_batch(columns, names=names)
 
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
+def window_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, spans: bool = True) -> DataFrame:
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string"))
-    schema = "doc long, digest long" + (", index int, n_words int, start int, end int" if spans else "")
-    return slim.mapInArrow(partial(_chunk_rows, spans=spans), schema)
+    schema = "doc long, digest long" + (", index int, n_chunks int, first int, last int, start int, end int" if spans else "")
+    return slim.mapInArrow(partial(_window_rows, spans=spans, min_words=min_words), schema)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end (code points), n_words, n_chunks, first_doc_id, n_repeated_words.
 
-    One row per run of at least ``min_words`` words that other documents also have, in every
-    document that has it. first_doc_id is the smallest id that has any of its chunks;
-    n_repeated_words counts the words of chunks that an earlier document has.
+    One row per stretch of windows that other documents also have, in every document that has it. Windows
+    that an earlier document has make stretches of their own, with n_repeated_words = n_words; those that this document
+    is the first to have make others, with 0. Where one kind follows the other, stretches may share words.
+    first_doc_id is the smallest id that has any of the windows.
     """
-    found = chunk_table(docs, key, text, spans=False).groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("_hi"))
+    found = window_table(docs, key, text, min_words, spans=False).groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("_hi"))
     repeated = found.where("owner < _hi").select("digest", "owner")
-    hits = chunk_table(docs, key, text).join(repeated, "digest")
-    inside = W.partitionBy("doc").orderBy("index")
-    runs = hits.withColumn("_run", F.col("index") - F.dense_rank().over(inside))
-    spans = runs.groupBy("doc", "_run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.min("owner").alias("first_doc_id"), F.sum(F.when(F.col("owner") < F.col("doc"), F.col("n_words")).otherwise(0)).alias("n_repeated_words"),
-    )
-    return spans.where(F.col("n_words") >= min_words).withColumnRenamed("doc", "doc_id").drop("_run")
+    hits = window_table(docs, key, text, min_words).join(repeated, "digest").withColumn("_early", F.col("owner") < F.col("doc"))
+    inside = W.partitionBy("doc", "_early").orderBy("index")
+    reached = F.max(F.col("index") + F.col("n_chunks")).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    new = hits.withColumn("_new", F.when(F.col("index") <= reached, 0).otherwise(1))
+    runs = new.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    n_words = F.max("last").cast("long") - F.min("first") + 1
+    return runs.groupBy("doc", "_early", "_run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), n_words.alias("n_words"), (F.max(F.col("index") + F.col("n_chunks")) - F.min("index")).cast("long").alias("n_chunks"),
+        F.min("owner").alias("first_doc_id"), F.when(F.col("_early"), n_words).otherwise(0).alias("n_repeated_words"),
+    ).withColumnRenamed("doc", "doc_id").drop("_early", "_run")
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without the passages that an earlier document has; columns unchanged.
 
-    A passage goes when all its words were seen in earlier documents.
+    A passage goes when an earlier document has it as a whole; what follows or precedes it stays.
     """
     gone = repeated_spans(docs, key, text, min_words).where("n_repeated_words = n_words")
     per_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
