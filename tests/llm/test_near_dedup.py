@@ -83,6 +83,14 @@ def test_edges(nothing, messy):
     assert left.columns == messy.columns and 4 not in {r.doc_id for r in left.collect()}
 
 
+def test_of_rows_that_repeat_an_id_one_stays(messy):
+    rows = drop_near_duplicates(messy).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 3]
+    texts = [r.text for r in messy.collect() if r.doc_id == 1]
+    assert [r.text for r in rows if r.doc_id == 1] == [min(texts)]
+    assert sum(r.doc_id is None for r in rows) == 2
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 299), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -33,10 +33,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.llm.arrays import Texts, mix64, text_slices
-from textloom.llm.common import checkpointed, documents
+from textloom.llm.common import checkpointed, documents, packed, unpacked
 from textloom.llm.components import components
 
 BANDS, ROWS = 20, 4
@@ -367,11 +367,21 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group, columns unchanged; of rows that repeat an id one stays."""
-    judged = near_duplicates(docs, key, text, **options)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """One document of each group, columns unchanged; of rows that repeat an id the first by text stays, rows without an id all stay."""
+    judged = near_duplicates(docs, key, text, **options).where(F.col("doc_id").isNotNull())
+    per_id = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.min("kept").alias("_kept"), F.count("*").alias("_n"))
+    marked = checkpointed(per_id.where(~F.col("_kept") | (F.col("_n") > 1)).select("_gone", "_kept"), "marked-ids")
+    gone = marked.select("_gone")
     left = docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
-    return left
+    again = marked.where("_kept").select(F.col("_gone").alias("id"))
+    if again.isEmpty():
+        return left
+    # Only rows whose id is repeated are ranked.
+    rows = packed(docs, doc=F.col(key).cast("long"), _text=F.col(text).cast("string"))
+    repeated = _only(rows, again, "id").join(again, F.col("doc") == F.col("id"), "left_semi")
+    order = W.partitionBy("doc").orderBy(F.col("_text").asc_nulls_last(), F.to_json("_row"))
+    first = repeated.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return left.unionByName(unpacked(first, docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
