@@ -62,6 +62,20 @@ def test_entropy_and_allow_list(spark, text, found):
     assert ("entropy" in s.scan(df).select(s.written(F.col("spans"))).first()[0]) is found
 
 
+def test_short_base64_and_upper_hex_keys_are_found(spark):
+    draw = random.Random(11)
+    base64 = ["".join(draw.sample(s.ALPHABET[:62], 18)) + "-_7q"[: n - 18] for n in (20, 21, 22) for _ in range(20)]
+    upper = ["".join(draw.sample("0123456789ABCDEF" * 2, n)) for n in (20, 32) for _ in range(20)]
+    base64 = [x for x in base64 if any(c.isdigit() for c in x)]
+    upper = [u for u in upper if len(set(u[:20])) >= 11 and not u.isdigit() and not u.isalpha()]
+    texts = [f"key {x} end" for x in base64 + upper]
+    assert len(upper) > 25 and len(base64) > 50
+    for r in s.scan(spark.createDataFrame(rows_of(texts), COLUMNS)).select("doc_id", s.written(F.col("spans")).alias("w")).collect():
+        assert "entropy" in r.w, texts[r.doc_id]
+    plain = ["see notes-from-the-meeting-3 now", "DEADBEEFDEADBEEFDEADBEEF00 x", "a 2024-03-11_2024-03-12_a b"]
+    assert all("entropy" not in r.w for r in s.scan(spark.createDataFrame(rows_of(plain), COLUMNS)).select(s.written(F.col("spans")).alias("w")).collect())
+
+
 def test_secret_edges(spark, nothing, messy):
     assert s.scan(nothing).count() == 0
     assert s.scan(messy).count() == messy.count()

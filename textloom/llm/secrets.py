@@ -4,7 +4,7 @@ Base kinds are patterns. Where a pattern matches is found from the pieces betwee
 matches: the lengths of pieces and matches add up to positions in code points.
 
 Entropy: candidates are runs of the characters keys are written in. Each is judged by its
-character class (hexadecimal, letters and digits, base64), which has its own window and threshold. The window moves one character
+character class (hexadecimal in either case, letters and digits, base64), which has its own window and threshold. The window moves one character
 at a time: one count goes up, one goes down, and the sum of ``c log2 c`` is
 mended by those two terms, so a string of n characters costs n steps. A candidate becomes a span from the first to the last window at
 or above the threshold. Allow-listed strings (placeholders, runs of the alphabet, UUIDs, paths, plain numbers and words) and
@@ -34,7 +34,8 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 )
 # Class, window, least entropy in bits.
-CLASSES = (("hex", 20, 3.0), ("alnum", 20, 3.6), ("base64", 24, 3.9))
+# No window is longer than the shortest candidate, so every candidate has a full one.
+CLASSES = (("hex", 20, 3.0), ("alnum", 20, 3.6), ("base64", 20, 3.7))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CANDIDATE_QUICK = r"[A-Za-z0-9+/_=-]{20}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -101,7 +102,7 @@ def hot_window(chars: Column, window: Column, least: Column) -> Column:
 def _by_class(candidate: Column, place: int) -> Column:
     """Window or threshold of the candidate's character class."""
     hexes, alnum, other = (F.lit(c[place]) for c in CLASSES)
-    return F.when(candidate.rlike("^[0-9a-f]+$"), hexes).when(candidate.rlike("^[A-Za-z0-9]+$"), alnum).otherwise(other)
+    return F.when(candidate.rlike("^[0-9A-Fa-f]+$"), hexes).when(candidate.rlike("^[A-Za-z0-9]+$"), alnum).otherwise(other)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
