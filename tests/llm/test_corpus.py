@@ -215,6 +215,23 @@ def test_sainte_lague_takes_the_highest_quotients():
     assert [sum(q[i] for q in quotas) for i in range(3)] == mixing.sainte_lague([500.0, 300.0, 100.0], 90) and all(x >= 0 for q in quotas for x in q)
 
 
+def test_sainte_lague_with_one_hot_and_a_thousand_tiny_sources():
+    for targets, seats in (([64000.0] + [38.4] * 1000, 1600), ([64000.0] + [38.4] * 1000, 833), ([1.0, 1.0, 1.0], 2), ([7.0, 7.0, 3.5], 999)):
+        quotients = sorted((-t / (2 * s + 1), i) for i, t in enumerate(targets) for s in range(seats))[:seats]
+        given = collections.Counter(i for _, i in quotients)
+        assert mixing.sainte_lague(targets, seats) == [given[i] for i in range(len(targets))]
+
+
+def test_every_block_fills_the_quota_of_its_shard(corpus):
+    rows = mixing.mix(corpus, block=16, shards=7).select("src", "target", "_start", "_pieces").collect()
+    order = sorted({r.src for r in rows}, key=lambda s: (s is None, s or ""))
+    targets = [next(r.target for r in rows if r.src == s) for s in order]
+    blocks = {(r.src, (r._start + p.low) // 16): p for r in rows for p in r._pieces}
+    assert all(len(p.shards) == p.times for p in blocks.values())
+    got = collections.Counter((k, src) for (src, _), p in blocks.items() for k in p.shards)
+    assert [[got[k, s] for s in order] for k in range(7)] == mixing.shard_quotas(targets, 16, 7)
+
+
 def test_mix_meets_targets_and_repeats_itself(corpus):
     taken = mixing.words_taken().alias("taken")
     rows = mixing.mix(corpus).select("doc_id", "src", "size", "target", taken).collect()

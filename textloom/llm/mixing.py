@@ -5,7 +5,8 @@ into blocks of ``block`` words. Seats are blocks. Sainte-Laguë gives the next s
 source with the highest quotient ``target / (2 * seats + 1)``; because it only ever adds
 seats, the quota of shard k is what k shards would get together minus what k - 1 would get.
 A seeded permutation of a source's blocks says which blocks fill which quota; once every
-block was used, the second pass over the same permutation begins.
+block was used, the second pass over the same permutation begins. The mix has ``shards`` shards, and a taken block carries
+the shard whose quota it fills, once per pass.
 
 Where things happen: targets and seats need one row per source. The order of documents
 comes from hashed ranges whose number follows the number of documents, so a source with a third of
@@ -21,14 +22,17 @@ added are replaced; all other columns pass through in :func:`mix_documents`.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from textloom.llm.common import SPACE, SPACE_CHARS, checkpointed, documents, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
+SHARDS = 64
 DOCS_PER_RANGE = 20_000
 
 
@@ -63,15 +67,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 def sainte_lague(targets: list[float], seats: int) -> list[int]:
     """Seats by highest quotient target / (2 s + 1); ties go to the earlier source.
 
-    Rounding target / divisor to the nearest whole number is the same allocation, so the
-    divisor is searched and only the last few seats are dealt one by one.
+    The quotient that the last seat needs is searched; all higher ones have a seat for certain, and
+    only seats at that quotient are dealt one by one.
     """
     total = sum(targets)
     if seats <= 0 or total <= 0:
         return [0] * len(targets)
-    given = [max(0, math.floor(t / total * seats) - 1) for t in targets]
-    import heapq
-
+    all_targets = np.array(targets, float)
+
+    def above(q: float) -> np.ndarray:
+        """Quotients higher than q, per source."""
+        n = np.floor((all_targets / q + 1) / 2)
+        n -= (n > 0) & (all_targets / np.maximum(2 * n - 1, 1) <= q)
+        return n + (all_targets / (2 * n + 1) > q)
+
+    high = low = float(all_targets.max())
+    while above(low).sum() <= seats:
+        high, low = low, low / 2
+    while low < (q := (low + high) / 2) < high:
+        low, high = (q, high) if above(q).sum() > seats else (low, q)
+    given = above(high).astype(int).tolist()
     heap = [(-(t / (2 * s + 1)), i) for i, (t, s) in enumerate(zip(targets, given)) if t > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(given)):
@@ -123,19 +138,19 @@ def _positions(docs: DataFrame, seed: int) -> DataFrame:
     return joined.withColumn("_start", F.col("_before") + F.col("_in")).drop("_s", "_q", "_before", "_in", "_h", "_r")
 
 
-def _sources(docs: DataFrame, weights: tuple[int, ...], budget: float, most: float, block: int) -> DataFrame:
-    """The table of sources with target, number of blocks and seats. One row per source."""
+def _sources(docs: DataFrame, weights: tuple[int, ...], budget: float, most: float, block: int, shards: int) -> DataFrame:
+    """The table of sources with target, number of blocks, seats, and seats up to each shard's end. One row per source."""
     spark = docs.sparkSession
     sizes = docs.groupBy("src").agg(F.sum("size").alias("source_size"))
     rows = source_targets(sizes, weights, budget, most).collect()
     targets = [r["target"] for r in rows]
-    seats = sainte_lague(targets, round(sum(targets) / block))
-    data = [(r["src"], r["source_size"], r["target"], -(-r["source_size"] // block), s) for r, s in zip(rows, seats)]
-    return spark.createDataFrame(data, "src string, source_size long, target double, _blocks long, _seats long")
+    ends = np.cumsum(np.array(shard_quotas(targets, block, shards), np.int64).reshape(shards, len(rows)), axis=0).T.tolist()
+    data = [(r["src"], r["source_size"], r["target"], -(-r["source_size"] // block), e[-1], e) for r, e in zip(rows, ends)]
+    return spark.createDataFrame(data, "src string, source_size long, target double, _blocks long, _seats long, _ends array<long>")
 
 
 def _taken(block: int) -> Column:
-    """Per document: array of (from, to, times) in words of the document, one entry per block it touches."""
+    """Per document: array of (from, to, times, shards) in words of the document, one entry per block it touches; one shard per time."""
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
 
     def piece(j: Column) -> Column:
@@ -144,23 +159,26 @@ def _taken(block: int) -> Column:
         times = full + F.when(rank < F.col("_seats") % F.col("_blocks"), 1).otherwise(0)
         low = F.greatest(j * block - F.col("_start"), F.lit(0))
         high = F.least((j + 1) * block - F.col("_start"), F.col("size"))
-        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.least(times, F.lit(2)).cast("long").alias("times"))
+        times = F.least(times, F.lit(2)).cast("long")
+        places = F.slice(F.array(rank, rank + F.col("_blocks")), F.lit(1), times.cast("int"))
+        shards = F.transform(places, lambda k: F.size(F.filter("_ends", lambda end: end <= k)))
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), times.alias("times"), shards.alias("shards"))
 
-    none = F.array().cast("array<struct<low:bigint,high:bigint,times:bigint>>")
+    none = F.array().cast("array<struct<low:bigint,high:bigint,times:bigint,shards:array<int>>>")
     return F.when(F.col("size") > 0, F.transform(F.sequence(first, last), piece)).otherwise(none)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """Add size, source_size, target and _pieces (which words are taken, how often) to documents."""
-    own = {"src", "size", "source_size", "target", "_pieces", "_start", "_blocks", "_seats"}
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 42, shards: int = SHARDS) -> DataFrame:
+    """Add size, source_size, target and _pieces (which words are taken, how often, for which shards) to documents."""
+    own = {"src", "size", "source_size", "target", "_pieces", "_start", "_blocks", "_seats", "_ends"}
     base = docs.drop(*[c for c in docs.columns if c in own])
     sized = base.withColumn("src", F.col("source").cast("string")).withColumn("size", n_words("text"))
     slim = checkpointed(sized.select("doc_id", "src", "size"), "mix-sizes")
-    return _mixed(slim, weights, budget, most, block, seed)
+    return _mixed(slim, weights, budget, most, block, seed, shards)
 
 
-def _mixed(slim: DataFrame, weights, budget, most, block, seed) -> DataFrame:
-    table = _sources(slim, weights, budget, most, block).withColumnRenamed("src", "_src")
+def _mixed(slim: DataFrame, weights, budget, most, block, seed, shards) -> DataFrame:
+    table = _sources(slim, weights, budget, most, block, shards).withColumnRenamed("src", "_src")
     placed = _positions(slim, seed)
     joined = placed.join(table, placed.src.eqNullSafe(table._src)).drop("_src")
     return joined.withColumn("_pieces", _taken(block))
