@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import decontamination, mixing, near_dedup, quality_rules
+from textloom.llm import chat_format, decontamination, mixing, near_dedup, quality_rules, spelling
+from textloom.llm.chat_format import op12_chat_format
 from textloom.llm.decontamination import op9_decontamination
 from textloom.llm.language_model import op3_language_model
 from textloom.llm.licenses import op4_license_scan
@@ -12,6 +13,7 @@ from textloom.llm.near_dedup import op1_near_dedup
 from textloom.llm.quality_model import op2_quality_model
 from textloom.llm.quality_rules import op7_quality_rules
 from textloom.llm.secrets import op8_secrets
+from textloom.llm.spelling import op13_spelling_variants
 from textloom.llm.substring_dedup import op5_substring_dedup
 from textloom.llm.token_shards import op6_token_shards
 
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -33,4 +37,6 @@ SQL = {
     "op7_quality_rules": quality_rules.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_chat_format": chat_format.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
