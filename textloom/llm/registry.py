@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import chat_format, decontamination, mixing, near_dedup, quality_rules, spelling
+from textloom.llm import chat_format, conversation_repair, decontamination, mixing, near_dedup, quality_rules, spelling
 from textloom.llm.chat_format import op12_chat_format
+from textloom.llm.conversation_repair import op11_conversation_repair
 from textloom.llm.decontamination import op9_decontamination
 from textloom.llm.language_model import op3_language_model
 from textloom.llm.licenses import op4_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_chat_format": op12_chat_format,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
@@ -37,6 +39,7 @@ SQL = {
     "op7_quality_rules": quality_rules.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
     "op12_chat_format": chat_format.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
