@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import SQL_RESPONSES, classified, query, table
@@ -185,7 +184,7 @@ def k13(spark, folder):
 @query(
     "s1_load_formats",
     """SELECT f.format, count(*) AS n, sum(p_partkey) AS keys, min(p_name) AS first_name FROM part,
-         (SELECT unnest(['csv', 'txt', 'parquet', 'jsonl', 'pkl']) AS format) f GROUP BY 1""",
+         (SELECT unnest(['csv', 'txt', 'parquet', 'jsonl', 'pkl', 'xlsx']) AS format) f GROUP BY 1""",
 )
 def s1(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_name")
@@ -195,22 +194,9 @@ def s1(spark, folder):
     writers.write_csv(part, f"{base}/a.txt")
     writers.write_jsonl(part, f"{base}/a.jsonl")
 
-    def pickle(batches):
-        for batch in batches:
-            import io
-
-            buffer = io.BytesIO()
-            batch.to_pickle(buffer)
-            yield pd.DataFrame({"content": [buffer.getvalue()]})
-
-    # Pickled chunks travel as binary rows; the reader takes the same bytes from .pkl files.
-    chunks = part.mapInPandas(pickle, "content binary")
-    unpickled = chunks.mapInPandas(
-        lambda it: (readers._unpack(c, "pickle")[["p_partkey", "p_name"]] for b in it for c in b["content"]),
-        part.schema,
-    )
-    parts = {f: load(spark, f"{base}/a.{f}", part.schema if f != "parquet" else None) for f in ("csv", "txt", "parquet", "jsonl")}
-    parts["pkl"] = unpickled
+    writers.write_pickle(part, f"{base}/a.pkl", 700)
+    writers.write_excel(part, f"{base}/a.xlsx", rows_per_file=900)
+    parts = {f: load(spark, f"{base}/a.{f}", part.schema if f in ("csv", "txt", "jsonl") else None) for f in ("csv", "txt", "parquet", "jsonl", "pkl", "xlsx")}
     rows = None
     for name, df in parts.items():
         df = df.select(F.lit(name).alias("format"), "p_partkey", "p_name")
@@ -220,6 +206,31 @@ def s1(spark, folder):
     )
 
 
+@query(
+    "s1_excel",
+    "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice, p_size % 2 = 0 AS even, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS brand, "
+    "CASE WHEN p_size % 7 <> 0 THEN TIMESTAMP '2020-02-28 06:00:00' + p_size * INTERVAL 1 DAY END AS moment, p_size % 5 = 0 AS mixed_is_text FROM part",
+)
+def s1_excel(spark, folder):
+    """Cells of every type through workbooks: numbers, truth values, moments, blanks, and a column of numbers and texts."""
+    size = F.col("p_size")
+    moment = F.lit("2020-02-28 06:00:00").cast("timestamp_ntz") + F.make_dt_interval(size)
+    part = table(spark, folder, "part").select(
+        "p_partkey", "p_name", "p_size", "p_retailprice", (size % 2 == 0).alias("even"), F.when(size % 3 != 0, F.col("p_brand")).alias("brand"),
+        F.when(size % 7 != 0, moment).alias("moment"), F.when(size % 5 == 0, F.concat(F.lit("size "), size)).otherwise("12").alias("mixed"),
+    )
+    path = writers.write_excel(part, new_path(spark, "s1") + ".xlsx", "Parts", 1500)
+    return load(spark, path).withColumn("mixed_is_text", F.col("mixed").startswith("size ")).drop("mixed")
+
+
+@query("s2_excel_column", "SELECT p_brand AS comment, count(*) AS n FROM part WHERE p_size % 3 <> 0 GROUP BY 1")
+def s2_excel(spark, folder):
+    """The text column of a workbook, blanks dropped before anything becomes text."""
+    part = table(spark, folder, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("comment"))
+    path = writers.write_excel(part, new_path(spark, "s2") + ".xlsx")
+    return readers.text_column(load(spark, path)).groupBy("comment").agg(F.count("*").alias("n"))
+
+
 def _jsonl(spark, folder, name):
     path = new_path(spark, name)
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "text")

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+from textloom.sources import workbook
 
 # pandas writes quotes inside a field as two quotes and keeps line breaks.
 PANDAS_CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
+ROWS_PER_BATCH = 5000
 _SUFFIXES = {
     ".csv": "csv",
     ".txt": "csv",
@@ -62,52 +67,101 @@ def load(
         if schema is None:
             raise ValueError("a JSON input needs an explicit schema")
         return read_jsonl(spark, path, schema)
-    return _read_pandas_files(spark, path, kind, schema)
+    return (read_excel if kind == "excel" else read_pickle)(spark, path, schema)
 
 
-def _unpack(content: bytes, kind: str) -> pd.DataFrame:
-    if kind == "pickle":
-        return pd.read_pickle(io.BytesIO(content))
-    try:
-        return pd.read_excel(io.BytesIO(content))
-    except ImportError as err:
-        raise ImportError("reading Excel files needs the openpyxl package on the executors") from err
+def _binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as bytes, read by Spark, so any store it knows will do. A folder stands for the files in it."""
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
-def _read_pandas_files(
-    spark: SparkSession, path: str, kind: str, schema: T.StructType | str | None
-) -> DataFrame:
-    """Pickle and Excel files, one task per file; the driver sees only their schema.
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for content in batch.column("content"):
+            yield content.as_py()
+
+
+def read_pickle(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Pickled frames, one task per file at least; the driver sees only their schema.
 
     Unpickling runs code from the file: read only files you trust.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = _binary_files(spark, path)
     if schema is None:
 
-        def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for content in batch["content"]:
-                    arrow = pa.Schema.from_pandas(_unpack(content, kind), preserve_index=False)
-                    yield pd.DataFrame({"schema": [from_arrow_schema(arrow).json()]})
-
-        import json
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for content in _contents(batches):
+                arrow = pa.Schema.from_pandas(pd.read_pickle(io.BytesIO(content)), preserve_index=False)
+                yield pa.RecordBatch.from_pydict({"schema": [from_arrow_schema(arrow).json()]})
 
         # One short row per distinct schema. Files that differ are an error, so no column gets lost.
-        found = [r["schema"] for r in files.mapInPandas(describe, "schema string").distinct().collect()]
+        found = [r["schema"] for r in files.mapInArrow(describe, "schema string").distinct().collect()]
         if len(found) != 1:
             raise ValueError(f"{len(found)} different schemas in {path}; pass the schema to read")
         schema = T.StructType.fromJson(json.loads(found[0]))
-
     names = schema.names if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).names
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                yield _unpack(content, kind)[names]
+                frame = pd.read_pickle(io.BytesIO(content))[names]
+                for start in range(0, len(frame), ROWS_PER_BATCH):
+                    yield frame.iloc[start : start + ROWS_PER_BATCH]
 
     return files.mapInPandas(unpack, schema)
 
 
+def read_excel(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sheet: int | str = 0, missing: Sequence[str] = workbook.MISSING
+) -> DataFrame:
+    """One sheet of every workbook at ``path``; the first row names the columns, columns a file lacks are null.
+
+    Without a schema a first pass over the files finds the narrowest type of every column: whole numbers, numbers, truth
+    values, moments, else text. ``missing`` are texts that mean null.
+    """
+    files = _binary_files(spark, path)
+    if schema is None:
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for content in _contents(batches):
+                names, rows = workbook.table(content, sheet, missing)
+                kinds = ["void"] * len(names)
+                for row in rows:
+                    for i, value in enumerate(row[: len(kinds)]):
+                        if kinds[i] != "string" and value is not None:
+                            kinds[i] = workbook.merged(kinds[i], workbook.kind_of([value]))
+                yield pa.RecordBatch.from_pydict({"columns": [json.dumps(list(zip(names, kinds)))]})
+
+        # One short row per distinct heading.
+        kinds: dict[str, str] = {}
+        for found in files.mapInArrow(describe, "columns string").distinct().orderBy("columns").collect():
+            for name, kind in json.loads(found["columns"]):
+                kinds[name] = workbook.merged(kinds.get(name, "void"), kind)
+        schema = T.StructType([T.StructField(n, T._parse_datatype_string("string" if k == "void" else k)) for n, k in kinds.items()])
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    fields = to_arrow_schema(schema)
+
+    def cast(values: list, wanted: pa.DataType) -> pa.Array:
+        if pa.types.is_string(wanted) or pa.types.is_large_string(wanted):
+            return pa.array([workbook.shown(v) for v in values], wanted)
+        kind = workbook.kind_of(values)
+        if kind == "double":
+            values = [None if v is None else float(v) for v in values]
+        array = pa.array(values)
+        return array.cast(pa.timestamp("us", "UTC")).cast(wanted) if pa.types.is_timestamp(wanted) and wanted.tz else array.cast(wanted)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in _contents(batches):
+            names, rows = workbook.table(content, sheet, missing)
+            places = [names.index(f.name) if f.name in names else None for f in fields]
+            while block := list(islice(rows, ROWS_PER_BATCH)):
+                columns = [[None if p is None or p >= len(r) else r[p] for r in block] for p in places]
+                yield pa.RecordBatch.from_arrays([cast(c, f.type) for c, f in zip(columns, fields)], names=fields.names)
+
+    return files.mapInArrow(unpack, schema)
+
+
 def read_jsonl(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, skip_missing: bool = False
 ) -> DataFrame:
