@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import similarity as sim
+from textloom.operators import kernels, neighbours as near, similarity as sim
 
 
 def frame(spark, rows, **more):
@@ -39,7 +39,7 @@ def nearest(spark, q, b, **options):
 
 @pytest.mark.parametrize("path", ["broadcast", "tiles"])
 def test_nearest_matches_brute_force(spark, clustered, path, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_BYTES", 40 * 8 * 8)  # the hot cell needs many tiles
+    monkeypatch.setattr(near, "TILE_BYTES", 40 * 8 * 8)  # the hot cell needs many tiles
     q, b = clustered
     got = nearest(spark, q, b, broadcast_bytes=0 if path == "tiles" else 1 << 30)
     want = cosine(q, b)
@@ -49,20 +49,58 @@ def test_nearest_matches_brute_force(spark, clustered, path, monkeypatch):
         assert got[i][1] == want[i].argmax()
 
 
-def test_tiles_stay_bounded_and_skip_cells(spark, clustered, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_BYTES", 40 * 8 * 8)
+@pytest.fixture
+def sent(monkeypatch):
+    """(rows a side) of every pair of tile and part that met."""
+    seen = []
+    meet = near._meet
+
+    def counted(index, visits, counts, work, schema):
+        tile = index.rows.groupBy("tile").count()
+        seen.append((sum(r["n"] for r in counts), tile.agg(F.max("count")).first()[0], max(r["n"] for r in counts)))
+        return meet(index, visits, counts, work, schema)
+
+    monkeypatch.setattr(near, "_meet", counted)
+    return seen
+
+
+def test_tiles_stay_bounded_and_queries_skip_them(spark, clustered, sent, monkeypatch):
+    monkeypatch.setattr(near, "TILE_BYTES", 40 * 8 * 8)
     q, b = clustered
-    left, right = sim._tiles(
-        sim._vectors(frame(spark, q), "id", "embedding"),
-        sim._vectors(frame(spark, b), "id", "embedding"),
-        b.shape,
-        None,
-    )
-    for side in (left, right):
-        assert side.groupBy("cell", "b", "q").count().agg(F.max("count")).first()[0] <= 40 * 2
-    pairs = left.groupBy("cell", "b", "q").agg(F.count("*").alias("l")).join(
-        right.groupBy("cell", "b", "q").agg(F.count("*").alias("r")), ["cell", "b", "q"])
-    assert pairs.agg(F.sum(F.col("l") * F.col("r"))).first()[0] < len(q) * len(b) * 0.8
+    got = nearest(spark, q, b, broadcast_bytes=0)
+    want = cosine(q, b)
+    assert all(got[i][1] == want[i].argmax() for i in range(len(q)))
+    (first, largest, _), (second, _, _) = sent
+    assert first == len(q) and largest <= 40 * 2
+    # The hot spot alone fills several tiles, and all of them can hold the best.
+    assert second < len(q) * len(b) / 40 / 2
+
+
+def test_vectors_without_clusters_are_sent_once_per_tile(spark, sent, monkeypatch):
+    monkeypatch.setattr(near, "TILE_BYTES", 50 * 8 * 16)
+    rng = np.random.default_rng(3)
+    q, b = rng.normal(size=(300, 16)), rng.normal(size=(400, 16))
+    got = nearest(spark, q, b, broadcast_bytes=0)
+    want = cosine(q, b)
+    assert all(got[i][1] == want[i].argmax() for i in range(len(q)))
+    n_tiles = 400 / 50 * 2
+    assert sent[0][0] == 300 and sent[1][0] <= 300 * n_tiles
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+@pytest.mark.parametrize("skip", [False, True])
+@pytest.mark.parametrize("k", [1, 4, 700])
+def test_k_nearest(spark, clustered, limit, skip, k, monkeypatch):
+    monkeypatch.setattr(near, "TILE_BYTES", 60 * 8 * 8)
+    rows = clustered[0][:200]
+    df = frame(spark, rows)
+    got = near.neighbours(df, df, "id", "id", k, skip, broadcast_bytes=limit).collect()
+    sims = cosine(rows, rows)
+    if skip:
+        np.fill_diagonal(sims, -9)
+    order = np.lexsort((np.broadcast_to(np.arange(200), sims.shape), -sims))[:, : min(k, 200 - skip)]
+    assert {(r.id, r.neighbour) for r in got} == {(i, int(j)) for i in range(200) for j in order[i]}
+    assert all(r.similarity == pytest.approx(sims[r.id, r.neighbour], abs=1e-9) for r in got)
 
 
 def test_nearest_edge_cases(spark):
@@ -84,7 +122,7 @@ def test_mean_similarity(spark, clustered):
 @pytest.mark.parametrize("limit", [0, 1 << 30])
 @pytest.mark.parametrize("threshold", [0.7, 0.999, -1.0])
 def test_coverage_by_group(spark, clustered, limit, threshold, monkeypatch):
-    monkeypatch.setattr(sim, "TILE_BYTES", 50 * 8 * 8)
+    monkeypatch.setattr(near, "TILE_BYTES", 50 * 8 * 8)
     q, b = clustered
     groups = np.array([str(i % 3) for i in range(len(b))])
     got = sim.covered_counts(frame(spark, q), frame(spark, b, g=groups), "id", "id", "g", threshold, broadcast_bytes=limit)
@@ -112,10 +150,40 @@ def test_mmd_and_centroid(spark, clustered):
         return np.exp(-10 * ((a[:, None] - b[None]) ** 2).sum(-1)).mean()
     want = np.sqrt(k(x, x) + k(y, y) - 2 * k(x, y))
     assert sim.mmd(frame(spark, x), frame(spark, y), "id", "id").first()["mmd"] == pytest.approx(want, abs=1e-9)
+    assert kernels.kernel_discrepancy(frame(spark, x), frame(spark, y)).first()["mmd"] == pytest.approx(want, abs=1e-9)
     gap = np.linalg.norm(x.mean(0) - y.mean(0))
     assert sim.centroid_distance(frame(spark, x), frame(spark, y)).first()[0] == pytest.approx(gap, abs=1e-9)
 
 
+@pytest.mark.parametrize("tile", [7, 100, 10_000])
+def test_exact_discrepancy_of_groups(spark, clustered, tile, monkeypatch):
+    monkeypatch.setattr(kernels, "TILE_BYTES", tile * 8 * 8)
+    x, y = clustered[0][:150] / 5, clustered[1][:90] / 5
+    groups = np.array(["a", "b", "b", None, "a"])[np.arange(150) % 5]
+
+    def k(a, b):
+        return np.exp(-10 * ((a[:, None] - b[None]) ** 2).sum(-1)).mean()
+
+    got = {r.grp: r.mmd for r in kernels.kernel_discrepancy(frame(spark, x, g=list(groups)), frame(spark, y), group="g").collect()}
+    assert got.keys() == {"a", "b", ""}
+    for g, value in got.items():
+        own = x[[(h or "") == g for h in groups]]
+        assert value == pytest.approx(np.sqrt(k(own, own) + k(y, y) - 2 * k(own, y)), abs=1e-9)
+    assert kernels.kernel_discrepancy(frame(spark, x), frame(spark, y).where("false")).first()["mmd"] == 0.0
+    assert kernels.kernel_discrepancy(frame(spark, x).where("false"), frame(spark, y)).count() == 0
+
+
+@pytest.mark.parametrize("gamma", [0.5, 10.0])
+def test_features_stay_within_their_error(spark, clustered, gamma):
+    x, y = frame(spark, clustered[0][:200] / 5, g=[str(i % 2) for i in range(200)]), frame(spark, clustered[1][:200] / 5 + 0.1)
+    for group in (None, "g"):
+        exact = {r.grp: r.mmd for r in kernels.kernel_discrepancy(x, y, group=group, gamma=gamma).collect()}
+        near_by = kernels.discrepancy_within(x, y, group=group, gamma=gamma, relative_error=0.04).collect()
+        assert len(near_by) == len(exact)
+        for r in near_by:
+            assert abs(r.mmd - exact[r.grp]) <= r.error <= 0.04 * r.mmd
+
+
 def test_empty_side_is_zero(spark, clustered):
     some = frame(spark, clustered[0][:20])
     for a, b in ((some, some.where("false")), (some.where("false"), some)):

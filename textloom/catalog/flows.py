@@ -10,9 +10,9 @@ from textloom.catalog.vectors import (
     SQL_CENTROID,
     SQL_COVER,
     SQL_DIVERSITY,
-    SQL_MMD_TOTAL,
     SQL_SIDES,
     SQL_TOPICS,
+    sql_exact,
     sql_mean,
 )
 from textloom.operators import summaries
@@ -68,7 +68,7 @@ SQL_REPORT = (
     UNION ALL SELECT 1, 0, concat('organic rows: ', (SELECT count(*) FROM o))
     UNION ALL SELECT 2, 0, concat('synthetic rows: ', (SELECT count(*) FROM s))
     UNION ALL SELECT 3, 0, format('centroid distance: {{:.4f}}', (SELECT {SQL_CENTROID} FROM {sql_mean('s')} a, {sql_mean('o')} b))
-    UNION ALL SELECT 4, 0, format('kernel discrepancy: {{:.4f}}', {SQL_MMD_TOTAL})
+    UNION ALL SELECT 4, 0, format('kernel discrepancy: {{:.4f}}', {sql_exact('s', 'o')})
     UNION ALL SELECT 5, 0, format('coverage: {{:.2f}}%', 100 * ({SQL_COVER.format(t=0.7)}))
     UNION ALL SELECT 6, 0, format('mean best similarity: {{:.4f}}', (SELECT avg(c) FROM best))
     UNION ALL SELECT 7, 0, format('diversity: {{:.4f}}', ({SQL_DIVERSITY.format(t='s')}))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import query, table
-from textloom.operators import similarity, summaries
+from textloom.operators import kernels, similarity, summaries
 
 
 def sides(spark, folder):
@@ -103,6 +103,23 @@ SQL_FEATURES = """, u AS (SELECT j, d, (CAST(concat('0x', substr(md5(concat('42:
 """
 
 
+def sql_exact(x: str, y: str) -> str:
+    return f"""sqrt((SELECT {_sql_kernel('x', 'y')} FROM {x} x, {x} y) + (SELECT {_sql_kernel('x', 'y')} FROM {y} x, {y} y)
+  - 2 * (SELECT {_sql_kernel('x', 'y')} FROM {x} x, {y} y))"""
+
+
+@query("v4_mmd_exact", SQL_SIDES + f"SELECT round({sql_exact('s', 'o')}, 6) AS mmd, true AS within, true AS small")
+def v4_exact(spark, folder):
+    """Over all rows, and the estimate by features: within its own error of the exact value, and that error is small."""
+    s, o = sides(spark, folder)
+    exact = kernels.kernel_discrepancy(s, o).select("mmd")
+    near = kernels.discrepancy_within(s, o).select(F.col("mmd").alias("estimate"), "error")
+    both = exact.join(F.broadcast(near))
+    return both.select(
+        F.round("mmd", 6).alias("mmd"), (F.abs(F.col("mmd") - F.col("estimate")) <= F.col("error")).alias("within"), (F.col("error") <= 0.06 * F.col("mmd")).alias("small")
+    )
+
+
 @query("v4_mmd_full", SQL_SIDES + SQL_FEATURES + "SELECT round(sqrt(sum((fs.m - fo.m) ** 2) * 2 / 64), 6) AS mmd FROM fs JOIN fo USING (j)")
 def v4_full(spark, folder):
     s, o = sides(spark, folder)
@@ -237,12 +254,11 @@ def v1(spark, folder):
 SQL_TOPICS = (
     SQL_SIDES
     + SQL_BEST.rstrip()
-    + SQL_SAMPLES
     + f""", n AS (SELECT label, count(*) AS n, avg(c) AS mean_similarity FROM best GROUP BY 1 HAVING count(*) >= 5),
   cd AS (SELECT label, {SQL_CENTROID} AS x FROM {sql_mean('s', 'label')} a, {sql_mean('o')} b),
-  kss AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM ss x JOIN ss y ON x.label = y.label GROUP BY 1),
-  kso AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM ss x, os y GROUP BY 1),
-  koo AS (SELECT {_sql_kernel('x', 'y')} AS k FROM os x, os y),
+  kss AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM s x JOIN s y ON x.label = y.label GROUP BY 1),
+  kso AS (SELECT x.label, {_sql_kernel('x', 'y')} AS k FROM s x, o y GROUP BY 1),
+  koo AS (SELECT {_sql_kernel('x', 'y')} AS k FROM o x, o y),
   cov AS (SELECT label, count(*) FILTER (c >= {LOOSE}) / count(*)::DOUBLE AS coverage FROM
             (SELECT label, oid, max(c) AS c FROM sim GROUP BY 1, 2) GROUP BY 1),
   div AS (SELECT a.label, avg(1 - list_cosine_similarity(a.v, b.v)) AS d FROM s a JOIN s b

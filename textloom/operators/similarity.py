@@ -1,10 +1,7 @@
 """Embedding comparison: nearest neighbours, coverage, distribution distance, selection.
 
-Means and diversity use closed forms, so they cost one pass. Nearest neighbour and
-coverage need the best of all pairs; the pairs are only ever formed inside numpy
-blocks and never become rows. A small base side (checked) is broadcast; otherwise
-both sides are cut into cells around pivot vectors, cells that cannot hold a better
-match are skipped, and the rest is joined tile by tile with bounded tiles.
+Means and diversity use closed forms, so they cost one pass. Neighbours and coverage
+are in :mod:`textloom.operators.neighbours`, kernel sums in :mod:`textloom.operators.kernels`.
 """
 
 from __future__ import annotations
@@ -30,208 +27,10 @@ from textloom.functions.vectors import (
     sum_unit,
     with_unit,
 )
+from textloom.operators.kernels import discrepancy_within, kernel_discrepancy
+from textloom.operators.neighbours import blocks, covered_counts, nearest, raw_matrix, unit_matrix
 from textloom.operators.sampling import group_sample, hash_sample
-
-BROADCAST_BYTES = 64 * 1024 * 1024
-TILE_BYTES = 32 * 1024 * 1024  # of vectors per side; a bigger tile means less shuffling
-VISIT_ROWS = 4096  # rows per Arrow batch when queries fan out to cells
-BLOCK_CELLS = 4_000_000  # similarity values held at once
-MAX_PIVOTS = 1024
-DIGITS = 12  # similarities equal to this many decimals tie; the lowest id wins
-ANGLE_SLACK = 1e-6
-
-
-# --- numpy helpers used inside tasks -------------------------------------------------
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if n == 0:
-        return np.zeros((0, 0))
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _blocks(n: int, width: int) -> Iterator[slice]:
-    step = max(1, BLOCK_CELLS // max(1, width))
-    for start in range(0, n, step):
-        yield slice(start, min(n, start + step))
-
-
-def _best(queries: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    best, at = np.empty(len(queries)), np.empty(len(queries), dtype=np.int64)
-    for block in _blocks(len(queries), len(base)):
-        sims = np.round(queries[block] @ base.T, DIGITS)
-        at[block] = sims.argmax(axis=1)
-        best[block] = sims[np.arange(len(sims)), at[block]]
-    return best, at
-
-
-def _hits(queries: np.ndarray, base: np.ndarray, starts: np.ndarray, threshold: float) -> np.ndarray:
-    """(query, group) booleans; base rows are sorted by group, ``starts`` marks each group."""
-    out = np.zeros((len(queries), len(starts)), dtype=bool)
-    for block in _blocks(len(queries), len(base)):
-        close = np.round(queries[block] @ base.T, DIGITS) >= threshold
-        out[block] = np.logical_or.reduceat(close, starts, axis=1)
-    return out
-
-
-def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
-
-
-# --- common preparation --------------------------------------------------------------
-
-
-def _vectors(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
-    return df.where(F.col(vector).isNotNull()).select(
-        F.col(key).cast("bigint").alias("id"), as_double(vector).alias("v"), *more
-    )
-
-
-def _shape(base: DataFrame) -> tuple[int, int]:
-    """Rows and dimensions."""
-    size = base.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    return size["n"], size["d"]
-
-
-def _tiles(
-    queries: DataFrame, base: DataFrame, shape: tuple[int, int], threshold: float | None
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides keyed by ``(cell, b, q)``, about TILE_BYTES of vectors per side and key at most.
-
-    A cell is the base rows nearest to one pivot, with the widest angle between
-    them. By the triangle inequality on angles no row of a cell is closer to a
-    query than ``angle(query, pivot) - radius``; cells beyond the query's nearest
-    pivot (or beyond the threshold) are left out without changing the result.
-    """
-    spark = base.sparkSession
-    n_base, dimensions = shape
-    tile_rows = max(1, TILE_BYTES // (8 * max(1, dimensions)))
-    n_pivots = int(min(MAX_PIVOTS, max(1, n_base**0.5)))
-    sample = hash_sample(base, "id", n_pivots, "pivot").select("v").toArrow()
-    pivots = spark.sparkContext.broadcast(_matrix(sample.column("v")))
-    names = base.columns
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            angles = _angles(_matrix(rows.column("v")), pivots.value)
-            cell = angles.argmin(axis=1)
-            columns = list(rows.columns) + [
-                pa.array(cell.astype(np.int32)),
-                pa.array(angles[np.arange(len(cell)), cell]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names + ["cell", "angle"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    placed = base.mapInArrow(assign, f"{schema}, cell int, angle double")
-    cells = {
-        r["cell"]: (r["n"], r["radius"])
-        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
-    }
-    ids = np.array(sorted(cells), dtype=np.int64)
-    radii = np.array([cells[c][1] for c in ids])
-    within = None if threshold is None else float(np.arccos(np.clip(threshold, -1.0, 1.0)))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            angles = _angles(_matrix(rows.column("v")), pivots.value)
-            reach = angles.min(axis=1, keepdims=True) if within is None else within
-            nearest_possible = np.maximum(angles[:, ids] - radii, 0.0)
-            row, cell = np.nonzero(nearest_possible <= reach + ANGLE_SLACK)
-            for part in range(0, len(row), VISIT_ROWS):
-                at = pa.array(row[part : part + VISIT_ROWS])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("id").take(at),
-                        rows.column("v").take(at),
-                        pa.array(ids[cell[part : part + VISIT_ROWS]].astype(np.int32)),
-                    ],
-                    names=["id", "v", "cell"],
-                )
-
-    visits = queries.select("id", "v").mapInArrow(visit, "id bigint, v array<double>, cell int")
-    visited = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(int(c), -(-cells[c][0] // tile_rows), -(-n // tile_rows)) for c, n in visited.items()]
-    # At most MAX_PIVOTS rows.
-    tiles = F.broadcast(spark.createDataFrame(plan, "cell int, b_tiles int, q_tiles int"))
-    salt = F.xxhash64("id")
-    left = visits.join(tiles, "cell").select(
-        "id", "v", "cell",
-        F.pmod(salt, F.col("q_tiles")).cast("int").alias("q"),
-        F.explode(F.sequence(F.lit(0), F.col("b_tiles") - 1)).alias("b"),
-    )
-    right = placed.join(tiles, "cell").select(
-        *names, "cell",
-        F.pmod(salt, F.col("b_tiles")).cast("int").alias("b"),
-        F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("q"),
-    )
-    return left, right
-
-
-def _join_tiles(left: DataFrame, right: DataFrame, work: Callable, schema: str) -> DataFrame:
-    keys = ["cell", "b", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
-
-
-# --- nearest neighbour and coverage --------------------------------------------------
-
-
-def nearest(
-    queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
-    query_vector: str = "embedding", base_vector: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """``(id, max_similarity, nearest_id)`` per query row: best cosine over all base rows."""
-    left = _vectors(queries, query_key, query_vector)
-    right = _vectors(base, base_key, base_vector)
-    schema = "id bigint, max_similarity double, nearest_id bigint"
-    n_base, dimensions = _shape(right)
-    small = n_base * dimensions * 8 <= broadcast_bytes
-    if n_base == 0:
-        return left.select("id", F.lit(None).cast("double").alias("max_similarity"),
-                           F.lit(None).cast("bigint").alias("nearest_id"))
-
-    def answer(q: pa.Table | pa.RecordBatch, ids: np.ndarray, matrix: np.ndarray) -> list[pa.Array]:
-        best, at = _best(_matrix(q.column("v")), matrix)
-        keys = q.column("id")
-        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-        return [keys, pa.array(best), pa.array(ids[at])]
-
-    names = ["id", "max_similarity", "nearest_id"]
-    if small:
-        table = right.toArrow().sort_by("id")
-        shared = base.sparkSession.sparkContext.broadcast(
-            (table.column("id").to_numpy(), _matrix(table.column("v")))
-        )
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                if rows.num_rows:
-                    yield pa.RecordBatch.from_arrays(answer(rows, *shared.value), names=names)
-
-        return left.mapInArrow(scan, schema)
-
-    q_tiles, b_tiles = _tiles(left, right, (n_base, dimensions), None)
-
-    def work(q: pa.Table, b: pa.Table) -> pa.Table:
-        if not q.num_rows or not b.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64())], names=names)
-        b = b.sort_by("id")
-        return pa.table(answer(q, b.column("id").to_numpy(), _matrix(b.column("v"))), names=names)
-
-    found = _join_tiles(q_tiles, b_tiles, work, schema)
-    best = found.groupBy("id").agg(
-        F.max(F.struct("max_similarity", (-F.col("nearest_id")).alias("neg"))).alias("m")
-    )
-    return best.select("id", F.col("m.max_similarity"), (-F.col("m.neg")).alias("nearest_id"))
+from textloom.session import materialize
 
 
 def mean_similarity(
@@ -241,14 +40,14 @@ def mean_similarity(
     """``(id, mean_similarity)``: the mean of cosines is the dot product with the mean unit vector."""
     known = base.where(F.col(base_vector).isNotNull())
     center = None if known.isEmpty() else with_unit(known, base_vector).agg(mean_unit("unit")).first()[0]
-    left = _vectors(queries, query_key, query_vector)
+    left = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("id"), as_double(query_vector).alias("v"))
     if center is None:
         return left.select("id", F.lit(None).cast("double").alias("mean_similarity"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
-                means = _matrix(rows.column("v")) @ np.asarray(center)
+                means = unit_matrix(rows.column("v")) @ np.asarray(center)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("id"), pa.array(means)], names=["id", "mean_similarity"]
                 )
@@ -256,58 +55,6 @@ def mean_similarity(
     return left.mapInArrow(scan, "id bigint, mean_similarity double")
 
 
-def covered_counts(
-    queries: DataFrame, base: DataFrame, query_key: str, base_key: str, group: str | None = None,
-    threshold: float = 0.7, query_vector: str = "embedding", base_vector: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """``(grp, covered)``: per group of base rows, how many query rows have a cosine ≥ threshold with it.
-
-    Groups that cover nothing are absent.
-    """
-    label = F.lit("all") if group is None else F.col(group).cast("string")
-    left = _vectors(queries, query_key, query_vector)
-    right = _vectors(base.withColumn("_g", label), base_key, base_vector, F.col("_g").alias("grp"))
-    n_base, dimensions = _shape(right)
-    small = n_base * dimensions * 8 <= broadcast_bytes
-    if n_base == 0:
-        return base.sparkSession.createDataFrame([], "grp string, covered bigint")
-
-    def grouped(b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        b = b.sort_by("grp")
-        groups, starts = np.unique(b.column("grp").to_numpy(), return_index=True)
-        return groups, starts, _matrix(b.column("v"))
-
-    if small:
-        shared = base.sparkSession.sparkContext.broadcast(grouped(right.toArrow()))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups, starts, matrix = shared.value
-            for rows in batches:
-                if rows.num_rows:
-                    hits = _hits(_matrix(rows.column("v")), matrix, starts, threshold).sum(axis=0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(groups.astype(str)), pa.array(hits.astype(np.int64))], names=["grp", "n"]
-                    )
-
-        counts = left.mapInArrow(scan, "grp string, n bigint").groupBy("grp")
-        return counts.agg(F.sum("n").alias("covered")).where("covered > 0")
-
-    q_tiles, b_tiles = _tiles(left, right, (n_base, dimensions), threshold)
-
-    def work(q: pa.Table, b: pa.Table) -> pa.Table:
-        ids, groups = np.array([], dtype=np.int64), np.array([], dtype=str)
-        if q.num_rows and b.num_rows:
-            names, starts, matrix = grouped(b)
-            row, at = np.nonzero(_hits(_matrix(q.column("v")), matrix, starts, threshold))
-            ids, groups = q.column("id").to_numpy()[row], names[at].astype(str)
-        return pa.table([pa.array(ids), pa.array(groups, pa.string())], names=["id", "grp"])
-
-    # A query can meet a group in several tiles.
-    met = _join_tiles(q_tiles, b_tiles, work, "id bigint, grp string").distinct()
-    return met.groupBy("grp").agg(F.count("*").alias("covered"))
-
-
 # --- closed forms --------------------------------------------------------------------
 
 
@@ -368,14 +115,14 @@ def mmd(
     theirs = hash_sample(
         other.select(F.col(other_key).alias("id"), as_double(vector).alias("v")), "id", max_samples, seed
     ).toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(_raw(theirs.column("v")))
+    shared = df.sparkSession.sparkContext.broadcast(raw_matrix(theirs.column("v")))
 
     def kernel_mean(x: np.ndarray, y: np.ndarray) -> float:
         gaps = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
         return float(np.exp(-gamma * gaps).mean())
 
     def work(table: pa.Table) -> pa.Table:
-        x, y = _raw(table.column("v")), shared.value
+        x, y = raw_matrix(table.column("v")), shared.value
         value = 0.0
         if len(x) and len(y):
             with np.errstate(invalid="ignore"):
@@ -416,9 +163,9 @@ def mmd_all(
         frequencies, phases = shared.value
         total, rows = np.zeros(n_features), 0
         for batch in batches:
-            x = _raw(pa.chunked_array([batch.column(0)]))
+            x = raw_matrix(pa.chunked_array([batch.column(0)]))
             if len(x):
-                for block in _blocks(len(x), n_features):
+                for block in blocks(len(x), n_features):
                     total += np.cos(x[block] @ frequencies.T + phases).sum(axis=0)
                 rows += len(x)
         if rows:
@@ -433,18 +180,20 @@ def mmd_all(
     return gaps.agg(F.sqrt(F.sum((F.col("a") - F.col("b")) ** 2) * 2 / n_features).alias("mmd"))
 
 
-def _raw(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    if not len(flat):
-        return np.zeros((0, 0))
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+def _discrepancy(df: DataFrame, other: DataFrame, vector: str, group: str | None, error: float | None) -> DataFrame:
+    if error is None:
+        return kernel_discrepancy(df, other, vector, group)
+    return discrepancy_within(df, other, vector, group, relative_error=error).select("grp", "mmd")
 
 
 def distribution_metrics(
     synthetic: DataFrame, organic: DataFrame, key: str, other_key: str, vector: str = "embedding",
-    threshold: float = 0.7, seed: int | str = 42,
+    threshold: float = 0.7, mmd_error: float | None = None,
 ) -> DataFrame:
-    """One row: centroid distance, MMD and coverage; all 0 when a side is empty."""
+    """One row: centroid distance, MMD and coverage; all 0 when a side is empty.
+
+    The MMD covers all rows: exact, or within a relative ``mmd_error`` by features, whose work grows with the rows only.
+    """
     if synthetic.isEmpty() or organic.isEmpty():
         return synthetic.sparkSession.range(1).select(
             *[F.lit(0.0).alias(n) for n in ("centroid_distance", "mmd", "coverage")]
@@ -452,7 +201,7 @@ def distribution_metrics(
     hits = covered_counts(organic, synthetic, other_key, key, None, threshold, vector, vector)
     covered = hits.select(F.coalesce(F.sum("covered"), F.lit(0))).scalar()
     total = organic.select(F.count("*")).scalar()
-    distance = mmd(synthetic, organic, key, other_key, vector, seed=seed).select("mmd").scalar()
+    distance = _discrepancy(synthetic, organic, vector, None, mmd_error).select("mmd").scalar()
     return centroid_distance(synthetic, organic, vector).select(
         "centroid_distance",
         distance.alias("mmd"),
@@ -463,12 +212,12 @@ def distribution_metrics(
 def topic_metrics(
     synthetic: DataFrame, organic: DataFrame, key: str, other_key: str, topic: str,
     vector: str = "embedding", similarity: str | None = None, min_rows: int = 5,
-    threshold: float = 0.7, seed: int | str = 42,
+    threshold: float = 0.7, mmd_error: float | None = None,
 ) -> DataFrame:
     """Per topic with enough rows: count, mean best similarity, distances, coverage, diversity.
 
-    All topics are computed together; each metric is one pass over the data.
-    ``similarity`` names a column that already holds the best similarity.
+    All topics are computed together; each metric is one pass over the rows of topics that are large enough.
+    ``similarity`` names a column that already holds the best similarity. ``mmd_error`` as in :func:`distribution_metrics`.
     """
     rows = synthetic.withColumn("grp", F.coalesce(F.col(topic).cast("string"), F.lit("Unknown")))
     if similarity is None:
@@ -477,16 +226,17 @@ def topic_metrics(
         rows = rows.join(best.select(F.col("id").alias(key), "max_similarity"), key, "left")
         similarity = "max_similarity"
     counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg(similarity).alias("mean_similarity"))
-    counts = counts.where(F.col("n") >= min_rows)
+    counts = materialize(counts.where(F.col("n") >= min_rows), "topics")
+    large = materialize(rows.select("grp", key, vector).join(counts.select("grp"), "grp", "left_semi"), "topic-rows")
     total = organic.select(F.count("*")).scalar()
-    hits = covered_counts(organic, rows, other_key, key, "grp", threshold, vector, vector)
     parts = [
         counts,
-        centroid_distance(rows, organic, vector, "grp"),
-        mmd(rows, organic, key, other_key, vector, "grp", seed=seed),
-        diversity(rows, vector, "grp"),
+        centroid_distance(large, organic, vector, "grp"),
+        _discrepancy(large, organic, vector, "grp", mmd_error),
+        diversity(large, vector, "grp"),
+        covered_counts(organic, large, other_key, key, "grp", threshold, vector, vector),
     ]
-    joined = reduce(lambda a, b: a.join(b, "grp", "left"), [*parts, hits])
+    joined = reduce(lambda a, b: a.join(b, "grp", "left"), parts)
     return joined.select(
         F.col("grp").alias("topic"), "n", "mean_similarity", "centroid_distance", "mmd",
         F.coalesce(F.try_divide(F.col("covered").cast("double"), total), F.lit(0.0)).alias("coverage"),

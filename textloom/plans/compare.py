@@ -28,7 +28,7 @@ def compare(
     vector: str = "embedding",
     n_select: int = 500,
     method: str = "diverse",
-    seed: int | str = 42,
+    mmd_error: float | None = None,
     cluster_column: str | None = None,
 ) -> Comparison:
     """Both sides: ``id, text, embedding``; the synthetic one also has the topic column.
@@ -38,11 +38,11 @@ def compare(
     """
     best = similarity.nearest(synthetic, organic, "id", "id", vector, vector)
     scored = materialize(synthetic.join(best, "id", "left"), "scored")
-    overall = similarity.distribution_metrics(scored, organic, "id", "id", vector, seed=seed).withColumn(
+    overall = similarity.distribution_metrics(scored, organic, "id", "id", vector, mmd_error=mmd_error).withColumn(
         "diversity", similarity.diversity(scored, vector).scalar()
     )
     topics = similarity.topic_metrics(
-        scored, organic, "id", "id", topic, vector, "max_similarity", seed=seed
+        scored, organic, "id", "id", topic, vector, "max_similarity", mmd_error=mmd_error
     )
     n = scored.count()
     k = min(50, n // max(1, n_select // 20)) if method == "diverse" else 0
