@@ -89,3 +89,26 @@ def test_ratio(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = [r[0] for r in df.select(matching.similarity_ratio("a", "b")).collect()]
     assert got == [SequenceMatcher(None, "abcd", "abce").ratio(), 1.0, None]
+
+
+def test_letter_counts_bound_the_ratio(spark):
+    rng = random.Random(9)
+    alphabet = "aaaeeeinrst äéÖñß.,5\n\U0001f600xQ"
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+        b = "".join(c for c in a if rng.random() < 0.9) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 5)))
+        rows.append((a, b if rng.random() < 0.7 else "".join(rng.sample(b, len(b)))))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("*", matching.ratio_bound(matching.letter_counts("a"), matching.letter_counts("b")).alias("bound")).collect():
+        assert SequenceMatcher(None, r.a.lower(), r.b.lower()).ratio() <= r.bound + 1e-12 <= 1 + 2e-12
+
+
+def test_only_undecided_pairs_are_compared(spark):
+    """Unlike letters never reach Python; near copies do."""
+    refs = ["b" * 60 + str(i) for i in range(8)] + ["a" * 60 + str(i) for i in range(3)]
+    left = spark.createDataFrame([(0, "a" * 61), (1, "q" * 61)], "i long, t string")
+    right = spark.createDataFrame(list(enumerate(refs)), "r long, s string")
+    got = {r.input_id: r for r in matching.match_by_length(left, right, "i", "t", "r", "s").collect()}
+    assert got[0].ref_id < 8 and got[0].compared <= 3 and got[0].probes >= 1
+    assert got[1].compared == 0 and got[1].probes == 1

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W, functions as F
 from textloom.catalog.base import query, sql_strip, table
 from textloom.operators import matching, sampling
 from textloom.operators.tokens import tokenize
+from textloom.session import materialize
 from textloom.functions.text import strip_ws
-from textloom.sources.readers import replicate
+from textloom.sources.readers import replicate, spread
 
 
 @query(
@@ -145,7 +146,7 @@ def _references(spark, folder):
     """Distinct comments of usable length."""
     from textloom.functions.text import length_between
 
-    usable = table(spark, folder, "documents").where(length_between("text")).select("doc_id", "text")
+    usable = spread(table(spark, folder, "documents")).where(length_between("text")).select("doc_id", "text")
     return sampling.keep_first(usable, "text", "doc_id").select(F.col("doc_id").alias("ref_id"), "text")
 
 
@@ -168,56 +169,76 @@ SQL_MATCH = f"""WITH refs AS (
 
 @query("v15_length_match", SQL_MATCH)
 def v15(spark, folder):
-    inputs = table(spark, folder, "documents").select("doc_id", "text")
+    inputs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     matched = matching.match_by_length(
         inputs, _references(spark, folder), "doc_id", "text", "ref_id", "text", threshold=None
     )
     return matched.select("input_id", "ref_id", F.md5("ref_text").alias("digest"))
 
 
-def _checked(docs, matched):
-    """Facts of a match: who got which kind of reference, as flags that hold for every row.
+def _checked(docs, matched, bin_size=None):
+    """Facts of a match: who got which kind of reference.
 
     The reference exists with its own text; one in the length range is not too similar; copies of one text have different
-    references while there are enough.
+    references; exact comparisons are at most as many as candidates.
     """
     refs = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("own"))
     rows = matched.join(docs, matched.input_id == docs.doc_id).join(refs, "ref_id", "left")
-    low, high = matching.length_range(F.length("body"))
+    low, high = matching.length_range(F.length("body"), bin_size)
     rows = rows.withColumn("body", strip_ws(F.col("text")))
     inside = F.length("ref_text").between(low, high)
-    ratio = matching.similarity_ratio("ref_text", "body")
-    copies = W.partitionBy(F.md5(F.lower("body")))
-    return rows.withColumn("uses", F.size(F.collect_set("ref_id").over(copies))).withColumn("copies", F.count("*").over(copies)).select(
-        "input_id", (F.col("own") == F.col("ref_text")).alias("exists"), (~inside | (ratio <= 0.9)).alias("different"),
-        (F.col("uses") == F.col("copies")).alias("fresh"),
+    unsure = inside & (matching.ratio_bound(*[matching.letter_counts(F.when(inside, F.col(c))) for c in ("ref_text", "body")]) > 0.9)
+    rows = materialize(rows.withColumn("inside", inside).withColumn("unsure", unsure), "matched")
+    rows = rows.withColumn("ratio", matching.similarity_ratio(F.when(F.col("unsure"), F.col("ref_text")), F.col("body")))
+    # A pair of text and reference that more than one copy has: counted, never collected.
+    key = F.md5(F.lower("body"))
+    shared = rows.groupBy(key.alias("key"), "ref_id").agg(F.count("*").alias("users")).where("users > 1")
+    rows = rows.withColumn("key", key).join(shared, ["key", "ref_id"], "left")
+    return rows.select(
+        "input_id", (F.col("own") == F.col("ref_text")).alias("exists"), (F.coalesce("ratio", F.lit(0.0)) <= 0.9).alias("different"),
+        F.col("users").isNull().alias("fresh"), (F.col("compared") <= F.col("probes")).alias("few_compared"), "inside", "probes",
     )
 
 
-SQL_CHECKED = 'SELECT doc_id AS input_id, true AS "exists", true AS different, true AS fresh FROM documents'
+# References a length range holds, and the number of a copy among equal texts: an input gets one of its range if there are enough.
+SQL_INSIDE = """, ranged AS (SELECT input_id, c, (SELECT count(*) FROM refs WHERE len >= {low}) - (SELECT count(*) FROM refs WHERE len > {high}) AS held FROM copies)
+  SELECT input_id, true AS "exists", true AS fresh, true AS few_compared, c < held AS inside"""
 
 
-@query("v15_length_match_checked", SQL_CHECKED)
+@query(
+    "v15_length_match_checked",
+    SQL_MATCH[: SQL_MATCH.index(",\n  rng AS")]
+    + SQL_INSIDE.format(low="lo", high="hi").replace("c < held AS inside", "true AS different, c < held AS inside")
+    + " FROM ranged",
+)
 def v15_checked(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return _checked(docs, matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
+    return _checked(docs, matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text")).drop("probes")
 
 
-@query("v16_binned_match", SQL_CHECKED.replace(", true AS different", ""))
+@query(
+    "v16_binned_match",
+    SQL_MATCH[: SQL_MATCH.index(",\n  rng AS")]
+    + SQL_INSIDE.format(low="lo // 20 * 20", high="hi // 20 * 20 + 19").replace("c < held AS inside", "c < held AS inside, true AS within_limit")
+    + " FROM ranged",
+)
 def v16(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     matched = matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", bin_size=20, max_probes=30)
-    return _checked(docs, matched).drop("different")
+    rows = _checked(docs, matched, 20).drop("different")
+    return rows.withColumn("within_limit", F.col("probes") <= 30).drop("probes")
 
 
 @query("v15_similarity_ratio", SQL_MATCH.replace("SELECT input_id, ref_id, md5(ref_text) AS digest FROM p", "SELECT input_id AS doc_id, ref_id, true AS in_bounds FROM p"))
 def ratio(spark, folder):
-    """The ratio lies between 0 and what the two lengths allow, and is 1 for equal texts."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    """The ratio is at least 0, at most the bound by letter counts, which is at most what the lengths allow, and 1 for equal texts."""
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     matched = matching.match_by_length(
         docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", threshold=None
     )
     both = docs.join(matched, docs.doc_id == matched.input_id).withColumn("ratio", matching.similarity_ratio("ref_text", "text"))
     a, b = F.length("ref_text"), F.length("text")
     same = F.when(F.lower("ref_text") == F.lower("text"), F.col("ratio") == 1).otherwise(True)
-    return both.select("doc_id", "ref_id", (F.col("ratio").between(0, F.least(a, b) * 2 / (a + b) + 1e-9) & same).alias("in_bounds"))
+    bound = matching.ratio_bound(matching.letter_counts("ref_text"), matching.letter_counts("text"))
+    ordered = F.col("ratio").between(0, bound + 1e-9) & (bound <= F.least(a, b) * 2 / (a + b) + 1e-9)
+    return both.select("doc_id", "ref_id", (ordered & same).alias("in_bounds"))

@@ -4,10 +4,14 @@ References are numbered in ``(length, hash)`` order, so "length between lo and h
 is a range of positions known from the length histogram. A hashed permutation of
 that range says which position to try, and the text is fetched by an equi-join on
 the position. No input ever meets all its candidates.
+
+Whether a candidate is too similar is mostly settled by letter counts in the JVM: what two texts have in
+common letter by letter bounds their ratio from above. Only pairs above the threshold by that bound are compared exactly in Python.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -15,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from textloom.functions.hashing import hash_int, order_key
-from textloom.functions.text import strip_ws
+from textloom.functions.text import let, strip_ws
 from textloom.session import materialize
 
 STRIDES = (2654435761, 2147483647)  # primes: a stride that does not divide n permutes 0..n-1
@@ -33,10 +37,41 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+# Characters that are counted together; all others make one more group.
+LETTER_GROUPS = (*"etaoinsrhldcum", "fp", "gw", "by", "kv", "jqxz", "éèêë", "áàâä", "íìîï", "óòôö", "úùûü", "ñçß", " ", "\n\t\r", ".,;:!?", "0123456789")
+
+
+def letter_counts(text: Column | str) -> Column:
+    """How many characters of each group the lower-cased text has; the rest comes last."""
+    low = F.lower(text)
+
+    def counted(t: Column) -> Column:
+        size = F.length(t)
+        groups = F.array(*[size - F.length(F.translate(t, g, "") if len(g) > 1 else F.replace(t, F.lit(g), F.lit(""))) for g in LETTER_GROUPS])
+        return let(groups, lambda a: F.concat(a, F.array(size - F.aggregate(a, F.lit(0), lambda s, x: s + x))))
+
+    return let(low, counted)
+
+
+def ratio_bound(a: Column | str, b: Column | str) -> Column:
+    """Upper bound of the matching-block ratio from two :func:`letter_counts`; 1 for two empty texts."""
+
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0), lambda s, x: s + x)
+
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    common = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return F.coalesce(F.try_divide(2.0 * common, (total(a) + total(b)).cast("double")), F.lit(1.0))
+
+
 def too_similar_udf(threshold: float):
+    """Null texts, pairs that are settled already, are not too similar."""
+
     @F.pandas_udf(T.BooleanType())
     def too_similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
+        def one(x: str | None, y: str | None) -> bool:
+            if x is None or y is None:
+                return False
             matcher = SequenceMatcher(None, x.lower(), y.lower())
             # Both quick ratios are upper bounds, so a low one settles the question.
             return (
@@ -70,22 +105,46 @@ def _split_rank(
     return joined.withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_h", "_p", "_r", "_start")
 
 
-def number_references(
-    references: DataFrame, key: str, text: str, seed: int | str = 42
-) -> tuple[DataFrame, DataFrame]:
-    """``(position, ref_id, ref_text)`` and ``(len, n)``, the number of references per length."""
-    refs = references.select(F.col(key).alias("ref_id"), F.col(text).alias("ref_text"), F.length(text).alias("len"))
-    # Counted and ranked below: written once, since references are often costly to derive.
-    refs = materialize(refs.where(F.col("len").isNotNull()), "reference-texts")
-    sizes = refs.groupBy("len").agg(F.count("*").alias("n"))
-    ranked = _split_rank(refs, ["len"], "ref_id", 2, "_in_len", seed).join(_shorter(sizes), "len")
-    return ranked.select((F.col("shorter") + F.col("_in_len")).alias("position"), "ref_id", "ref_text"), sizes
+@dataclass
+class References:
+    """rows: (position, ref_id, ref_text and, if asked for, ref_counts); shorter: (len, shorter) for all lengths up to ``longest`` + 1."""
 
+    rows: DataFrame
+    shorter: DataFrame
+    total: int
+    longest: int
 
-def _shorter(sizes: DataFrame) -> DataFrame:
-    """Per length how many references are shorter. The window runs over distinct lengths, one row each."""
-    before = W.orderBy("len").rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select("len", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("shorter"))
+
+def number_references(references: DataFrame, key: str, text: str, seed: int | str = 42, counts: bool = False) -> References:
+    """References by length, those of one length in hash order.
+
+    They are written once, ranked within a length and two digits of their hash; where such a part begins
+    is known from its count. ``counts`` adds the letter counts.
+    """
+    refs = references.select(F.col(key).alias("ref_id"), F.col(text).alias("ref_text"), F.length(text).alias("len"))
+    refs = refs.where(F.col("len").isNotNull()).withColumn("h", order_key("ref_id", seed)).withColumn("p", F.substring("h", 1, 2))
+    more = [letter_counts("ref_text").alias("ref_counts")] if counts else []
+    rank = F.row_number().over(W.partitionBy("len", "p").orderBy("h", "ref_id"))
+    refs = materialize(refs.select("ref_id", "ref_text", "len", "p", rank.alias("r"), *more), "references")
+    # One row per length and two digits; all further steps read this small table.
+    parts = materialize(refs.groupBy("len", "p").agg(F.count("*").alias("n")), "reference-parts")
+    size = parts.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.max("len").alias("longest")).first()
+    total, longest = size["n"] or 0, size["longest"] or 0
+    before = W.orderBy("len", "p").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("len", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start"))
+    names = ["ref_id", "ref_text", *(["ref_counts"] if counts else [])]
+    rows = refs.join(_small(starts, size["rows"]), ["len", "p"]).select((F.col("start") + F.col("r") - 1).alias("position"), *names)
+    lengths = refs.sparkSession.range(longest + 2).select(F.col("id").cast("int").alias("len"), F.lit(0).cast("bigint").alias("n"))
+    sizes = lengths.unionByName(parts.select("len", "n")).groupBy("len").agg(F.sum("n").alias("n"))
+    # One row per length up to the longest.
+    below = W.orderBy("len").rowsBetween(W.unboundedPreceding, -1)
+    shorter = sizes.select("len", F.coalesce(F.sum("n").over(below), F.lit(0)).cast("bigint").alias("shorter"))
+    return References(rows, _small(shorter, longest + 2), total, longest)
+
+
+def _small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """Broadcast a table of a few columns per length if it is as small as it should be."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def length_range(length: Column, bin_size: int | None = None) -> tuple[Column, Column]:
@@ -98,28 +157,34 @@ def length_range(length: Column, bin_size: int | None = None) -> tuple[Column, C
     return low, high
 
 
+def _numbered_copies(rows: DataFrame, seed: int | str) -> DataFrame:
+    """``copy`` and ``copies`` of every input among those with the same text.
+
+    Most texts occur once: only the rows of repeated ones are ranked.
+    """
+    repeated = rows.groupBy("input_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    ranked = _split_rank(rows.select("input_id", "input_key").join(repeated, "input_key", "left_semi"), ["input_key"], "input_id", 2, "copy", f"{seed}-copy", "copies")
+    ranked = ranked.select("input_id", "copy", "copies")
+    joined = rows.join(ranked, "input_id", "left")
+    return joined.withColumn("copy", F.coalesce("copy", F.lit(0).cast("bigint"))).withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
+
+
 def _prepared(
-    inputs: DataFrame, key: str, text: str, sizes: DataFrame, bin_size: int | None, seed: int | str,
-    keep_text: bool,
-) -> DataFrame:
-    """Inputs with their copy number and their range of positions; the text only if it is needed."""
+    inputs: DataFrame, key: str, text: str, refs: References, bin_size: int | None, seed: int | str, keep_text: bool
+) -> DataFrame:
+    """Inputs with their copy number and their range of positions; text and letter counts where they are needed."""
     body = strip_ws(F.col(text))
     rows = inputs.select(F.col(key).alias("input_id"), F.coalesce(body, F.lit("")).alias("input_text"))
-    rows = rows.select(
-        "input_id",
-        F.md5(F.lower("input_text")).alias("input_key"),
-        F.length("input_text").alias("input_length"),
-        *(["input_text"] if keep_text else []),
-    )
-    rows = _split_rank(rows, ["input_key"], "input_id", 2, "copy", f"{seed}-copy", "copies")
-    low, high = length_range(F.col("input_length"), bin_size)
-    rows = rows.withColumn("_low", low).withColumn("_end", high + 1)
-    # Every length that an input asks for, between those that references have.
-    asked = rows.select(F.explode(F.array("_low", "_end")).alias("len")).distinct().select("len", F.lit(0).cast("bigint").alias("n"))
-    table = _shorter(sizes.unionByName(asked).groupBy("len").agg(F.sum("n").alias("n")))
+    low, high = length_range(F.length("input_text"), bin_size)
+    rows = rows.withColumn("_low", F.least(low, F.lit(refs.longest + 1))).withColumn("_end", F.least(high + 1, F.lit(refs.longest + 1)))
     for length, out in (("_low", "first"), ("_end", "last")):
-        rows = rows.join(table.select(F.col("len").alias(length), F.col("shorter").alias(out)), length)
-    return rows.drop("_low", "_end").withColumn("n", F.greatest(F.col("last") - F.col("first"), F.lit(0)))
+        rows = rows.join(refs.shorter.select(F.col("len").alias(length), F.col("shorter").alias(out)), length)
+    rows = rows.withColumn("n", F.greatest(F.col("last") - F.col("first"), F.lit(0)))
+    needed = []
+    if keep_text:  # an input without candidates is not compared with anything
+        needed = [F.when(F.col("n") > 0, c).alias(name) for c, name in ((F.col("input_text"), "input_text"), (letter_counts("input_text"), "input_counts"))]
+    rows = materialize(rows.select("input_id", F.md5(F.lower("input_text")).alias("input_key"), "first", "last", "n", *needed), "inputs")
+    return _numbered_copies(rows, seed)
 
 
 def _candidate(step: Column, total: int, seed: int | str) -> Column:
@@ -142,35 +207,36 @@ def match_by_length(
     reference_text: str, threshold: float | None = 0.9, bin_size: int | None = None,
     max_probes: int | None = None, seed: int | str = 42,
 ) -> DataFrame:
-    """``(input_id, ref_id, ref_text)`` with one reference for every input.
+    """``(input_id, ref_id, ref_text)`` with one reference for every input; checked also ``probes`` and ``compared``.
 
     Copies of one text (whatever its case) take different references while there
     are any: copy c of m tries steps c, c+m, c+2m … of its permutation, so copies
     never meet. ``threshold`` skips references that are too similar to the input;
     ``None`` turns the check off. After the length range come the unused others,
     unchecked. ``bin_size`` takes whole length bins and ``max_probes`` gives up
-    after that many similar ones and keeps the first.
+    after that many similar ones and keeps the first. ``probes`` is the number of candidates looked at, ``compared`` the number
+    of those that letter counts could not settle.
     """
-    refs, sizes = number_references(references, reference_key, reference_text, seed)
-    sizes = materialize(sizes, "reference-lengths")
-    total = sizes.agg(F.sum("n")).first()[0]
-    if not total:
-        raise ValueError("no reference texts")
     checked = threshold is not None
-    rows = _prepared(inputs, input_key, input_text, sizes, bin_size, seed, checked)
+    refs = number_references(references, reference_key, reference_text, seed, checked)
+    if not refs.total:
+        raise ValueError("no reference texts")
+    rows = _prepared(inputs, input_key, input_text, refs, bin_size, seed, checked)
     if not checked:
-        wanted = rows.withColumn("position", _candidate(F.col("copy"), total, seed))
-        return wanted.join(refs, "position").select("input_id", "ref_id", "ref_text")
-    return _match_checked(rows, refs, total, threshold, max_probes, seed)
+        wanted = rows.withColumn("position", _candidate(F.col("copy"), refs.total, seed))
+        return wanted.join(refs.rows, "position").select("input_id", "ref_id", "ref_text")
+    return _match_checked(rows, refs.rows, refs.total, threshold, max_probes, seed)
 
 
 def _match_checked(
     rows: DataFrame, refs: DataFrame, total: int, threshold: float, max_probes: int | None, seed: int | str
 ) -> DataFrame:
-    """Rounds of 1, 4, 16 … candidates for the inputs still open; few are left after the first."""
+    """Rounds of 1, 16, 64 … candidates for the inputs still open; few are left after the first."""
     too_similar = too_similar_udf(threshold)
-    refs = materialize(refs, "references")
-    open_rows, tried, width = materialize(rows, "open"), 0, 1
+    zero = F.lit(0).cast("bigint")
+    rows = rows.withColumn("probes", zero).withColumn("compared", zero)
+    names, keep = rows.columns, ["input_id", "position", "probes", "compared"]
+    open_rows, tried, width = rows, 0, 1
     done: list[DataFrame] = []
     spent: list[DataFrame] = []
     while True:
@@ -184,27 +250,34 @@ def _match_checked(
         probes = open_rows.withColumn("turn", F.explode(turns))
         step = F.col("copy") + F.col("turn") * F.col("copies")
         in_range = probes.withColumn("position", _candidate(step, total, seed))
-        fine = (
-            in_range.join(refs, "position")
-            .where(~too_similar("ref_text", "input_text"))
-            .groupBy("input_id").agg(F.min_by("position", "turn").alias("position"))
+        pairs = in_range.join(refs, "position").withColumn("unsure", ratio_bound("ref_counts", "input_counts") > threshold)
+        texts = [F.when(F.col("unsure"), F.col(c)) for c in ("ref_text", "input_text")]
+        judged = pairs.select("input_id", "position", "turn", "unsure", too_similar(*texts).alias("similar"))
+        fine = judged.groupBy("input_id").agg(
+            F.min(F.when(~F.col("similar"), F.struct("turn", "position"))).alias("m"),
+            F.count("*").alias("met"), F.count_if("unsure").alias("sent"),
         )
         last_turn = F.col("copy") + F.lit(tried + width) * F.col("copies") >= F.col("n")
         if max_probes is not None:
             last_turn = last_turn | F.lit(tried + width >= max_probes)
-        state = open_rows.join(fine, "input_id", "left").withColumn(
-            "ended", F.col("position").isNull() & last_turn
-        )
+        state = open_rows.join(fine, "input_id", "left").select(
+            *[c for c in names if c not in ("probes", "compared")],
+            (F.col("probes") + F.coalesce("met", zero)).alias("probes"),
+            (F.col("compared") + F.coalesce("sent", zero)).alias("compared"),
+            F.col("m.position").alias("position"), (F.col("m").isNull() & last_turn).alias("ended"),
+        )
         state = materialize(state, "round")
-        done.append(state.where(F.col("position").isNotNull()).select("input_id", "position"))
+        done.append(state.where(F.col("position").isNotNull()).select(*keep))
         spent.append(state.where("ended").drop("position", "ended"))
         open_rows = state.where(F.col("position").isNull() & ~F.col("ended")).drop("position", "ended")
-        tried, width = tried + width, width * 4
+        tried, width = tried + width, 16 if width == 1 else width * 4
         if open_rows.isEmpty():
             break
-    done.append(_without_match(reduce(DataFrame.unionByName, spent), total, max_probes, seed))
+    left = reduce(DataFrame.unionByName, spent)
+    if not left.isEmpty():
+        done.append(_without_match(left, total, max_probes, seed))
     matched = reduce(DataFrame.unionByName, done)
-    return matched.join(refs, "position").select("input_id", "ref_id", "ref_text")
+    return matched.join(refs, "position").select("input_id", "ref_id", "ref_text", "probes", "compared")
 
 
 def _without_match(rows: DataFrame, total: int, max_probes: int | None, seed: int | str) -> DataFrame:
@@ -217,4 +290,4 @@ def _without_match(rows: DataFrame, total: int, max_probes: int | None, seed: in
     ranked = _split_rank(rows.withColumn("beyond", beyond), ["input_key", "beyond"], "input_id", 2, "place", seed)
     first = F.col("copy") if max_probes is not None else F.greatest("copies", "n") + F.col("place")
     step = F.when(F.col("beyond"), F.col("copy")).otherwise(first)
-    return ranked.select("input_id", _candidate(step, total, seed).alias("position"))
+    return ranked.select("input_id", _candidate(step, total, seed).alias("position"), "probes", "compared")
