@@ -37,20 +37,19 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-# Characters that are counted together; all others make one more group.
-LETTER_GROUPS = (*"etaoinsrhldcum", "fp", "gw", "by", "kv", "jqxz", "éèêë", "áàâä", "íìîï", "óòôö", "úùûü", "ñçß", " ", "\n\t\r", ".,;:!?", "0123456789")
+# Characters counted one by one; all others are counted together.
+COUNTED = "etaoinsrhldcumfpgbvwé .,"
 
 
 def letter_counts(text: Column | str) -> Column:
-    """How many characters of each group the lower-cased text has; the rest comes last."""
-    low = F.lower(text)
+    """How many of each counted character the lower-cased text has; the rest comes last."""
 
     def counted(t: Column) -> Column:
         size = F.length(t)
-        groups = F.array(*[size - F.length(F.translate(t, g, "") if len(g) > 1 else F.replace(t, F.lit(g), F.lit(""))) for g in LETTER_GROUPS])
-        return let(groups, lambda a: F.concat(a, F.array(size - F.aggregate(a, F.lit(0), lambda s, x: s + x))))
+        each = F.array(*[size - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in COUNTED])
+        return let(each, lambda a: F.concat(a, F.array(size - F.aggregate(a, F.lit(0), lambda s, x: s + x))))
 
-    return let(low, counted)
+    return let(F.lower(text), counted)
 
 
 def ratio_bound(a: Column | str, b: Column | str) -> Column:
@@ -59,9 +58,12 @@ def ratio_bound(a: Column | str, b: Column | str) -> Column:
     def total(c: Column) -> Column:
         return F.aggregate(c, F.lit(0), lambda s, x: s + x)
 
+    def bound(x: Column, y: Column) -> Column:
+        common = total(F.zip_with(x, y, lambda p, q: F.least(p, q)))
+        return F.coalesce(F.try_divide(2.0 * common, (total(x) + total(y)).cast("double")), F.lit(1.0))
+
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    common = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-    return F.coalesce(F.try_divide(2.0 * common, (total(a) + total(b)).cast("double")), F.lit(1.0))
+    return let(a, lambda x: let(b, lambda y: bound(x, y)))
 
 
 def too_similar_udf(threshold: float):
