@@ -52,4 +52,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.groupBy("u").agg(F.min("v").alias("component"))
     roots = stars.select("component").distinct()
-    return stars.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("component").alias("node"), "component"))
+    found = stars.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("component").alias("node"), "component"))
+    # Written, so that the plans that use it stay small.
+    return checkpointed(found, "components")

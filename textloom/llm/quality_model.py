@@ -8,7 +8,7 @@ documents and at most 3 ** labellers rows, so it runs on the driver.
 
 Two toxicity labellers look for words: a short English lexicon, and words mined from documents that
 people labelled: those that occur in toxic ones far more often than chance allows and hardly in others. The mined
-list holds at most ``lexicon`` words (a documented bound; it is sent to every task).
+list comes from at most ``labelled`` drawn labels (a documented bound); all of it is sent to every task.
 
 The posteriors then train one linear scorer per question over hashed words and votes by
 full-batch gradient steps; each step sums partial gradients of the tasks. Training uses a seeded sample of
@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.llm.arrays import IS_SPACE, LOWER, Texts, hash_of, mix64, text_slices
@@ -48,10 +49,10 @@ NEARBY = 6
 BITS = 16
 DIMENSIONS = 1 << BITS
 TRAIN_ROWS = 20_000
-LEXICON = 20_000
 LABELLED = 1_000_000  # labels of 9 bytes
 CANDIDATES = 500_000  # words of 8 bytes
 STEPS = 12
+TRAIN_PARTS = 8
 HEADS = len(QUESTIONS)
 VOTE_WEIGHT = 1.0
 
@@ -190,8 +191,9 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50)
     return posterior, right, prior
 
 
-def _gradient_rows(batches: Iterator[pa.RecordBatch], weights: np.ndarray, tables: list[dict]) -> Iterator[pa.RecordBatch]:
+def _gradient_rows(batches: Iterator[pa.RecordBatch], shared: Broadcast, tables: list[dict]) -> Iterator[pa.RecordBatch]:
     """Sum of gradients of the task's sampled documents, all heads; the last entry of a head is the bias."""
+    weights = shared.value
     total = np.zeros((HEADS, DIMENSIONS + 1))
     rows = 0
     for batch in batches:
@@ -218,15 +220,21 @@ def train(sample: DataFrame, tables: list[dict], priors: list[float], steps: int
     weights = np.zeros((HEADS, DIMENSIONS + 1))
     weights[:, -1] = [np.log(p / (1 - p)) for p in priors]
     seen = np.full_like(weights, 1e-6)
-    spread = sample.repartition(8)
+    # Written once in a few parts: a step is one narrow scan of the sample, without an exchange.
+    parts = checkpointed(sample.repartition(TRAIN_PARTS), "sample")
+    context = sample.sparkSession.sparkContext
     for _ in range(steps):
-        parts = spread.mapInArrow(partial(_gradient_rows, weights=weights, tables=tables), "gradient binary, n long").collect()
-        n = sum(p["n"] for p in parts)
+        shared = context.broadcast(weights)
+        found = parts.mapInArrow(partial(_gradient_rows, shared=shared, tables=tables), "gradient binary, n long").toArrow()
+        shared.destroy()
+        n = sum(found.column("n").to_pylist())
         if not n:
             break
-        gradient = sum(np.frombuffer(p["gradient"]).reshape(weights.shape) for p in parts) / n + decay * weights
+        gradient = decay * weights
+        for part in found.column("gradient"):
+            gradient += np.frombuffer(part.as_buffer()).reshape(weights.shape) / n
         seen += gradient**2
-        weights -= rate * gradient / np.sqrt(seen)
+        weights = weights - rate * gradient / np.sqrt(seen)
     return weights
 
 
@@ -262,8 +270,8 @@ def _document_counts(texts: DataFrame, out: str, only: np.ndarray | None = None)
     return texts.select("text").mapInArrow(partial(_word_rows, only=only), "word long, n long").groupBy("word").agg(F.sum("n").alias(out))
 
 
-def mined_words(docs: DataFrame, labels: DataFrame, most: int = LEXICON, labelled: int = LABELLED) -> np.ndarray:
-    """Hashes of words that mark documents labelled toxic, the commonest first, at most ``most``.
+def mined_words(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:
+    """Hashes of words that mark documents labelled toxic.
 
     A word counts when nine in ten of its labelled documents are toxic and so many would not
     come together by chance even once among all words (Bonferroni at 5 per cent). About ``labelled`` labels are
@@ -283,8 +291,7 @@ def mined_words(docs: DataFrame, labels: DataFrame, most: int = LEXICON, labelle
         only = np.array([r["word"] for r in candidates.select("word").collect()], np.int64).view(np.uint64)
     good = _document_counts(rows.where("not _bad"), "good", only)
     both = candidates.join(good, "word", "left").where(F.col("bad") >= 9 * F.coalesce("good", F.lit(0)))
-    best = both.orderBy(F.desc("bad"), "word").limit(most)
-    return np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64)
+    return np.sort(both.select("word").toArrow().column("word").to_numpy().astype(np.int64)).view(np.uint64)
 
 
 def judged(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
