@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.functions.jsonschema import compile_schema, schema_key
 from textloom.operators import parsing
@@ -118,7 +119,11 @@ def test_lenient_numbers(spark):
 
 def test_unsupported_schema_is_refused():
     with pytest.raises(ValueError, match="unsupported schema keywords"):
-        compile_schema({"type": "object", "patternProperties": {}})
+        compile_schema({"type": "object", "unevaluatedProperties": False})
+    tree = {"$defs": {"t": {"type": "object", "properties": {"next": {"$ref": "#/$defs/t"}}}}}
+    for word in ("not", "if", "contains"):
+        with pytest.raises(ValueError, match="choice|inside"):
+            compile_schema({**tree, "$ref": "#/$defs/t", "$defs": {"t": {"type": "object", "properties": {"next": {word: {"$ref": "#/$defs/t"}}}}}})
     assert schema_key({"b": 1, "a": 2}) == schema_key({"a": 2, "b": 1})
     assert schema_key(None) == "no_schema"
 
@@ -153,6 +158,97 @@ def test_training_output_and_simplified(spark):
     assert [(list(r["s"][0]), list(r["s"][1])) for r in rows] == [(["fraud"], []), ([], ["unclear"]), ([], [])]
 
 
+KEYWORDS = [
+    ({"not": {"type": "string"}}, [1, None, []], ["a"]),
+    ({"not": {"type": "null"}}, [1, "a"], [None]),
+    ({"type": "array", "uniqueItems": True}, [[], [1, 2], [1, "1"], [{"a": 1}, {"a": 2}]], [[1, 1], [{"a": 1, "b": 2}, {"b": 2, "a": 1}]]),
+    ({"multipleOf": 3}, [9, -6, 0, "x"], [10, 1.5]),
+    ({"multipleOf": 0.5}, [1.5, 2], [1.25]),
+    ({"type": "object", "minProperties": 1, "maxProperties": 2}, [{"a": 1}, {"a": 1, "b": 2}], [{}, {"a": 1, "b": 2, "c": 3}]),
+    ({"type": "object", "patternProperties": {"^n_": {"type": "integer"}}}, [{}, {"n_a": 1, "x": "y"}], [{"n_a": "1"}]),
+    ({"type": "object", "properties": {"a": {}}, "patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False},
+     [{"a": "x", "n_b": 1}], [{"b": 1}, {"n_b": []}]),
+    ({"type": "object", "properties": {"a": {"type": "string"}}, "additionalProperties": {"type": "boolean"}}, [{"a": "x", "b": True}], [{"b": 1}]),
+    ({"type": "array", "prefixItems": [{"type": "string"}, {"type": "integer"}], "items": {"type": "boolean"}},
+     [[], ["a"], ["a", 1], ["a", 1, True, False]], [[1], ["a", "b"], ["a", 1, 2]]),
+    ({"if": {"type": "integer"}, "then": {"minimum": 5}, "else": {"type": "string"}}, [5, "a"], [4, True, None]),
+    ({"type": "array", "contains": {"const": "x"}}, [["x"], [1, "x"]], [[], ["y"]]),
+    ({"type": "object", "dependentRequired": {"a": ["b", "c"]}}, [{}, {"b": 1}, {"a": 1, "b": 1, "c": 1}], [{"a": 1}, {"a": 1, "b": 1}]),
+    ({"type": "object", "required": ["a"]}, [{"a": None}], [{}]),
+    ({"properties": {"never": False}, "type": "object"}, [{}], [{"never": 1}]),
+]
+
+
+@pytest.mark.parametrize("schema,good,bad", KEYWORDS)
+def test_keywords(spark, schema, good, bad):
+    values = [(json.dumps({"v": v}), True) for v in good] + [(json.dumps({"v": v}), False) for v in bad]
+    df = spark.createDataFrame(values, "response string, want boolean")
+    whole = {"type": "object", "properties": {"v": schema}, "required": ["v"]}
+    for r in parsing.validate_schema(df, whole).collect():
+        assert r.valid == r.want, r.response
+
+
+def test_recursive_schema(spark):
+    """Trees of two kinds of nodes that lead to each other, checked level by level."""
+    schema = {
+        "$ref": "#/$defs/folder",
+        "$defs": {
+            "folder": {
+                "type": "object", "required": ["name"], "additionalProperties": False,
+                "properties": {"name": {"type": "string", "minLength": 1}, "files": {"type": "array", "items": {"$ref": "#/$defs/file"}},
+                               "sub": {"anyOf": [{"$ref": "#/$defs/folder"}, {"type": "null"}]}},
+            },
+            "file": {"type": "object", "properties": {"size": {"type": "integer", "minimum": 0}},
+                     "patternProperties": {"^link": {"$ref": "#/$defs/folder"}}},
+        },
+    }
+
+    def chain(n, last):
+        return last if n == 0 else {"name": "d", "files": [{"size": 1}, {}], "sub": chain(n - 1, last)}
+
+    values = [
+        (chain(1, None), True), (chain(6, None), True), (chain(6, {"name": ""}), False), (chain(3, {"name": "a", "files": [{"size": -1}]}), False),
+        (chain(2, {"name": "a", "files": [{"link1": chain(2, None)}, {"link2": {"name": "z"}}]}), True),
+        (chain(2, {"name": "a", "files": [{"link1": chain(2, {"nam": 1})}]}), False), ([], False), ({"name": "x", "sub": 5}, False),
+    ]
+    rows = [(json.dumps(v), w) for v, w in values] + [("not json", False), (None, False)]
+    df = spark.createDataFrame(rows, "response string, want boolean")
+    got = parsing.validate_schema(df, schema).collect()
+    assert len(got) == len(rows) and all(r.valid == r.want for r in got), [r for r in got if r.valid != r.want]
+    typed = parsing.parse_typed(df, schema).where("parsed IS NOT NULL").select("parsed.name", "parsed.sub").collect()
+    assert len(typed) == 3 and all(r.name == "d" for r in typed)
+    with pytest.raises(Exception, match="schema violation"):
+        parsing.validate_schema(df, schema, strict=True).collect()
+
+
+def test_bare_fences_are_an_option(spark):
+    texts = [f"```json\n{answer()}\n```", f"```\n{answer()}\n```", answer()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, response string")
+    for bare, want in ((True, [True, True, True]), (False, [True, False, True])):
+        rows = parsing.parse_typed(df, ALERTS_OUTPUT_SCHEMA, bare_fence=bare).orderBy("id").collect()
+        assert [r.parsed is not None for r in rows] == want
+        assert [r.json is not None for r in parsing.parse_untyped(df, bare_fence=bare).orderBy("id").collect()] == want
+
+
+def test_literals_in_the_jvm_agree_with_python(spark):
+    texts = [
+        "[]", "[ ]", "['a']", '["a", "b c"]', "['it', \"it's\", '']", "['a',]", "[,]", "['a',,'b']", "['a' 'b']", "['a'], ['b']", "[['a']]", "'a'", " ['a']",
+        "\n['a']", "['a'\n,\t'b' ]", "['a\\'b']", "['a\nb']", "[1, 'a']", "[None]", "hello", "hello, ['a']", "True", "Nonesense", "None", "b'x'", "br'x'", "f'x'", "x'y",
+        "set()", "settled", "\ue000", "['\ue000']", "[\ue000]", "", " ", "['a']#c", "['a", "[]]", "é", "_x", "['é', 'x, y', '[1]']", None, "['a',  ]", "[  ,'a']", "['']",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")
+    got = {r.id: (r.plain, r.all) for r in df.select("id", parsing.plain_annotations("a").alias("plain"), parsing.parse_annotations("a").alias("all")).collect()}
+    for i, t in enumerate(texts):
+        want = parsing._literal_items(t)
+        assert got[i][1] == want, t
+        assert got[i][0] in (None, want), t
+    assert {r.id: r.l for r in parsing.with_annotations(df, "a", "l").collect()} == {i: parsing._literal_items(t) for i, t in enumerate(texts)}
+    settled = {texts[i] for i, (plain, _) in got.items() if plain is not None}
+    assert {"[]", "['a']", '["a", "b c"]', "['a',]", "hello", "['é', 'x, y', '[1]']", None, "['']"} <= settled
+    long = spark.createDataFrame([("[" + ", ".join(["'item'"] * 50_000) + "]",)], "a string")
+    assert long.select(F.size(parsing.plain_annotations("a"))).first()[0] == 50_000
+
+
 def test_annotations(spark):
     texts = ["['a > b', 'c']", "[]", "not a list [", None, "5", "('x', 'y')", "[None, 'z']"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")

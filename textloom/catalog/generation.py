@@ -189,9 +189,11 @@ def g5(spark, folder):
 @query(
     "g6_gap_fill",
     SQL_TASKS.rstrip()
-    + f""", seen AS (SELECT DISTINCT non_alert_type AS v FROM tasks WHERE example_type = 'hard_non_alert'),
-      w AS (SELECT 'non_alert_types' AS dimension, v AS value FROM (SELECT unnest({OTHERS}) AS v) WHERE v NOT IN (SELECT v FROM seen WHERE v IS NOT NULL)
-            UNION ALL SELECT 'alert_types', v FROM (SELECT unnest({ALERTS}) AS v)),
+    + f""", labelled AS (SELECT t.*, concat(p_brand, ' ', p_type) AS label FROM tasks t LEFT JOIN part ON p_partkey = task_id),
+      seen AS (SELECT DISTINCT label AS v FROM labelled WHERE label IS NOT NULL),
+      used AS (SELECT DISTINCT unnest(string_split(alert_types, ',')) AS v FROM tasks),
+      w AS (SELECT 'non_alert_types' AS dimension, v AS value FROM (SELECT DISTINCT concat(p_brand, ' ', p_type) AS v FROM part) WHERE v NOT IN (SELECT v FROM seen)
+            UNION ALL SELECT 'alert_types', v FROM (SELECT unnest({ALERTS}) AS v) WHERE v NOT IN (SELECT v FROM used WHERE v IS NOT NULL)),
       r AS (SELECT *, row_number() OVER (ORDER BY dimension, value) - 1 AS l FROM w),
       g AS (SELECT dimension, value, l * 10 + i AS task_id, i FROM r, range(10) x(i))
     SELECT task_id, CASE WHEN dimension = 'alert_types' THEN 'alert' ELSE 'non_alert' END AS example_type,
@@ -200,13 +202,14 @@ def g5(spark, folder):
       {sql_list(DIMENSIONS['tone'])}[i % 10 + 1] AS tone FROM g""",
 )
 def g6(spark, folder):
-    """Labels the Spanish documents' tasks leave out, ten tasks each."""
-    from textloom.plans.generate import UNIVERSE
-
-    tasks = _tasks(spark, folder).where(F.col("example_type") == "hard_non_alert")
-    seen = summaries.coverage(tasks, {"non_alert_types": "non_alert_type"}, {"alert_types": "alert_types"})
-    missing = summaries.missing_values(seen, UNIVERSE)
-    rows = generation.targeted_tasks(missing, 10)
+    """Ten tasks for every label that no task has: brands and types of parts as classes, each task labelled by the part of its number."""
+    label = F.concat("p_brand", F.lit(" "), "p_type")
+    parts = table(spark, folder, "part")
+    tasks = _tasks(spark, folder).join(parts.select(F.col("p_partkey").alias("task_id"), label.alias("label")), "task_id", "left")
+    seen = summaries.coverage(tasks, {"non_alert_types": "label"}, {"alert_types": "alert_types"})
+    wanted = parts.select(F.lit("non_alert_types").alias("dimension"), label.alias("value")).distinct()
+    alerts = spark.createDataFrame([("alert_types", a) for a in GENERATED_ALERT_TYPES], "dimension string, value string")
+    rows = generation.targeted_tasks(summaries.missing_values(seen, wanted.unionByName(alerts)), 10)
     return rows.select("task_id", "example_type", F.array_join("alert_types", ",").alias("alert_types"),
                        "non_alert_type", "tone")
 

@@ -70,6 +70,45 @@ def j5(spark, folder):
     return parsing.validate_schema(_events(spark, folder), EVENT_SCHEMA).select("event_id", "valid")
 
 
+TREE_SCHEMA = {
+    "$ref": "#/$defs/node",
+    "$defs": {
+        "node": {
+            "type": "object",
+            "required": ["k"],
+            "properties": {
+                "k": {"type": "integer", "minimum": 0, "maximum": 60},
+                "next": {"type": "array", "items": {"$ref": "#/$defs/node"}, "maxItems": 2},
+            },
+            "additionalProperties": False,
+        }
+    },
+}
+
+
+@query(
+    "j5_recursive",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) <= 60 AND event_id % 5 <> 3 AS valid FROM events",
+)
+def j5_recursive(spark, folder):
+    """Properties nested under 0 to 5 parents; every fifth chain has a parent with too many children."""
+    depth = (F.col("event_id") % 6).cast("int")
+    wide = F.when(F.col("event_id") % 5 == 3, F.lit('{"k":1,"next":[{"k":1},{"k":2},')).otherwise(F.lit('{"k":1,"next":['))
+    nested = F.concat(wide, F.repeat(F.lit('{"k":2,"next":['), depth), "props", F.repeat(F.lit("]}"), depth), F.lit("]}"))
+    rows = spread(table(spark, folder, "events")).select("event_id", nested.alias("response"))
+    return parsing.validate_schema(rows, TREE_SCHEMA).select("event_id", "valid")
+
+
+@query(
+    "j3_json_fences_only",
+    """SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') AND CAST(json_extract(props, '$.k') AS BIGINT) >= 50
+              THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
+)
+def j3_fences(spark, folder):
+    """Answers behind bare backticks fail where only json fences are taken off."""
+    return parsing.parse_typed(_events(spark, folder), EVENT_SCHEMA, bare_fence=False).select("event_id", F.col("parsed.k").alias("k"))
+
+
 @query(
     "j1_flatten_outputs",
     """SELECT conv_id, turn, unnest(range(2)) AS output_idx, md5(unnest([text, role])) AS digest

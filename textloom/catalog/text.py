@@ -280,9 +280,10 @@ def n4(spark, folder):
        FROM part""",
 )
 def j9(spark, folder):
-    from textloom.operators.parsing import parse_annotations
+    """Printed lists, read without Python."""
+    from textloom.operators.parsing import plain_annotations
 
-    rows = _parts(spark, folder).withColumn("list", parse_annotations("annotations"))
+    rows = _parts(spark, folder).withColumn("list", plain_annotations("annotations"))
     return rows.select("p_partkey", F.size("list").alias("n"), F.array_join("list", "; ").alias("items"))
 
 

@@ -218,6 +218,32 @@ def v11(spark, folder):
     return reduced.select("vec_id", F.size("reduced").alias("n"), (square(F.col("reduced")) <= square(F.col("embedding")) + 1e-9).alias("not_longer"), "kept_short")
 
 
+@query(
+    "v11_pca_variance",
+    """WITH d AS (SELECT var_samp(v[d]) AS x FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings), range(1, 65) r(d) GROUP BY d)
+      SELECT 50 AS dimensions, round(sum(x), 6) AS total_variance, true AS even_share, true AS decreasing, true AS uncorrelated FROM d""",
+)
+def v11_variance(spark, folder):
+    """Principal components: no two are correlated, each holds at most the variance of the one before, and together at least an even share."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    reduced = similarity.reduce_dimensions(rows, 50)
+
+    def variances(column):
+        each = reduced.select(F.posexplode(column).alias("d", "x")).groupBy("d").agg(F.var_samp("x").alias("s"))
+        return each.agg(F.sum("s").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda r: r["s"]).alias("each"))
+
+    left = reduced.select("reduced", F.posexplode("reduced").alias("i", "x"))
+    pairs = left.select("i", "x", F.posexplode("reduced").alias("j", "y")).where("i < j")
+    mixed = pairs.groupBy("i", "j").agg(F.abs(F.corr("x", "y")).alias("c")).agg(F.max("c").alias("worst"))
+    kept = variances("reduced").select(F.col("total").alias("kept"), "each")
+    both = variances("embedding").select("total").join(F.broadcast(kept)).join(F.broadcast(mixed))
+    falling = F.forall(F.sequence(F.lit(1), F.lit(49)), lambda i: F.get("each", i) <= F.get("each", i - 1) + 1e-9)
+    return both.select(
+        F.lit(50).alias("dimensions"), F.round("total", 6).alias("total_variance"), (F.col("kept") >= F.col("total") * 50 / 64).alias("even_share"),
+        falling.alias("decreasing"), (F.col("worst") < 1e-6).alias("uncorrelated"),
+    )
+
+
 @query(
     "v13_downsample",
     """SELECT vec_id, label FROM embeddings ORDER BY md5(concat('42:', vec_id)) LIMIT 200""",

@@ -85,10 +85,12 @@ def contains_any(c: Column | str, words: Sequence[str]) -> Column:
     return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
 
 
-def strip_fences(c: Column | str) -> Column:
-    """Remove a leading ```json or ``` line and a trailing ```; inner backticks stay."""
-    body = F.regexp_replace(strip_ws(c), r"^```(?:json)?\s*|\s*```$", "")
-    return strip_ws(body)
+def strip_fences(c: Column | str, bare: bool = True) -> Column:
+    """Remove a leading ```json or ``` line and a trailing ```; inner backticks stay. ``bare=False`` leaves texts alone whose fence does not say json."""
+    body = strip_ws(c)
+    if bare:
+        return strip_ws(F.regexp_replace(body, r"^```(?:json)?\s*|\s*```$", ""))
+    return let(body, lambda t: F.when(t.startswith("```json"), strip_ws(F.regexp_replace(t, r"^```json\s*|\s*```$", ""))).otherwise(t))
 
 
 def strip_quotes(c: Column | str) -> Column:

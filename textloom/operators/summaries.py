@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from textloom.session import materialize
+
 
 def percent(part: Column, total: Column) -> Column:
     """Percentage; null on an empty total."""
@@ -124,6 +126,24 @@ def example_coverage(examples: DataFrame, count_null_difficulty: bool = False) -
     )
 
 
+def ranked_within(df: DataFrame, group: str, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based rank inside each group, spread over many tasks even where one group has most rows.
+
+    Rows are range-partitioned and sorted, so a group lies in neighbouring partitions. A row's place in
+    its partition is known from its running number; what lies before a partition comes from one count per partition and group.
+    """
+    plain = df.select("*", F.struct(group).alias("_g"))
+    ranged = plain.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    ranged = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    parts = ranged.groupBy("_g", part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per partition and group.
+    starts = parts.select("_g", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_part", part).join(starts, ["_g", "_part"])
+    return joined.select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias(out))
+
+
 def coverage_report(
     counts: DataFrame, total: DataFrame, top: Mapping[str, int] | None = None
 ) -> DataFrame:
@@ -133,8 +153,7 @@ def coverage_report(
     rows are the whole.
     """
     n_total = total.select(F.count("*")).scalar()
-    window = W.partitionBy("dimension").orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("rank", F.row_number().over(window))
+    ranked = ranked_within(counts, "dimension", [F.desc("n"), F.asc("value")], "rank")
     for name, k in (top or {}).items():
         ranked = ranked.where((F.col("dimension") != name) | (F.col("rank") <= k))
     return ranked.withColumn("share_pct", percent(F.col("n"), n_total))
