@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import query, table
-from textloom.operators import kernels, similarity, summaries
+from textloom.operators import kernels, layout, neighbours, similarity, summaries
+from textloom.session import materialize
 
 
 def sides(spark, folder):
@@ -244,6 +245,18 @@ def v11_variance(spark, folder):
     )
 
 
+@query("v12_layout", "SELECT count(*) AS points, true AS beats_components FROM embeddings")
+def v12(spark, folder):
+    """Every vector gets a place, and the plane keeps more of the ten nearest neighbours than two principal components do."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    near = materialize(neighbours.neighbours(rows, rows, "id", "id", 10, True).select("id", "neighbour"), "nearest-ten")
+    places = layout.neighbour_layout(rows, "id")
+    flat = similarity.reduce_dimensions(rows, 2).select("id", F.col("reduced")[0].alias("x"), F.col("reduced")[1].alias("y"))
+    shares = [layout.kept_neighbours(near, p).agg(F.avg("kept").alias(name)) for p, name in ((places, "laid"), (flat, "flat"))]
+    both = shares[0].join(F.broadcast(shares[1])).join(F.broadcast(places.agg(F.count_distinct("id").alias("points"))))
+    return both.select("points", (F.col("laid") > 1.5 * F.col("flat")).alias("beats_components"))
+
+
 @query(
     "v13_downsample",
     """SELECT vec_id, label FROM embeddings ORDER BY md5(concat('42:', vec_id)) LIMIT 200""",
