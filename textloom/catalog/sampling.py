@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from textloom.catalog.base import query, sql_strip, table
 from textloom.operators import matching, sampling
+from textloom.operators.subwords import Subwords, detokenize
 from textloom.operators.tokens import tokenize
 from textloom.session import materialize
 from textloom.functions.text import strip_ws
@@ -139,6 +140,19 @@ def g8(spark, folder):
     )
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("g8_subwords", "SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS digest, true AS fewer FROM documents")
+def g8_subwords(spark, folder):
+    """Subword ids of every whole text, and the text they stand for again."""
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    tokenizer = Subwords(TOKENIZER)
+    back = detokenize(tokenize(docs, tokenizer, max_length=2**31 - 1), tokenizer)
+    fewer = F.col("n_tokens") < F.when(F.col("n_bytes") < 20, F.col("n_bytes") + 1).otherwise(F.col("n_bytes"))
+    return back.select("doc_id", "n_bytes", F.md5("text").alias("digest"), fewer.alias("fewer"))
+
+
 # --- reference matching ------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.catalog.base import query, table
-from textloom.operators import kernels, layout, neighbours, similarity, summaries
+from textloom.functions.hashing import hash_int
+from textloom.operators import embedding, kernels, layout, neighbours, similarity, summaries
 from textloom.session import materialize
+from textloom.sources.readers import spread
 
 
 def sides(spark, folder):
@@ -290,6 +292,29 @@ def v1(spark, folder):
     return docs.select("doc_id", F.size("embedding").alias("dimensions"), (F.abs(square - 1) < 1e-9).alias("unit"))
 
 
+@query(
+    "v1_learned_embedding",
+    """WITH w AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM documents)
+    SELECT a.doc_id FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 + CAST(concat('0x', substr(md5(concat('42:', a.doc_id)), 1, 15)) AS BIGINT) % 97
+    WHERE a.words >= 30 AND b.words >= 30 AND a.text <> b.text""",
+)
+def v1_learned(spark, folder):
+    """Documents whose own text without every fourth word is closer to them than another document is, drawn by hash."""
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    thinned = F.array_join(F.filter(words, lambda w, i: i % 4 != 3), " ")
+    both = docs.select((F.col("doc_id") * 2).alias("id"), "text").unionByName(docs.select((F.col("doc_id") * 2 + 1).alias("id"), thinned.alias("text")))
+    vectors = materialize(embedding.embed_corpus(both, "id", corpus=docs), "embedded")
+    ranked = docs.select("doc_id", "text", F.size(words).alias("words"))
+    place = ranked.withColumn("other", F.col("doc_id") + 1 + hash_int("doc_id") % 97)
+    other = ranked.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"), F.col("words").alias("other_words"))
+    pairs = place.join(other, "other").where("words >= 30 AND other_words >= 30 AND text <> other_text").select("doc_id", "other")
+    own, copy, far = (vectors.select((F.col("id") / 2).cast("bigint").alias(k), (F.col("id") % 2).alias("odd"), F.col("embedding").alias(v)) for k, v in (("doc_id", "a"), ("doc_id", "b"), ("other", "c")))
+    rows = pairs.join(own.where("odd = 0").drop("odd"), "doc_id").join(copy.where("odd = 1").drop("odd"), "doc_id").join(far.where("odd = 0").drop("odd"), "other")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return rows.where(dot("a", "b") > dot("a", "c")).select("doc_id")
+
+
 SQL_TOPICS = (
     SQL_SIDES
     + SQL_BEST.rstrip()
