@@ -216,18 +216,18 @@ def g6(spark, folder):
 
 @query(
     "g7_example_records",
-    SQL_TASKS
-    + """SELECT task_id AS row_id, concat('text ', task_id) AS text, example_type, alert_types AS expected_alert_types,
-           non_alert_type AS expected_non_alert_type, difficulty FROM tasks WHERE example_type <> 'mixed'""",
+    SQL_TASKS.rstrip()
+    + """, answered AS (SELECT t.*, trim(trim(text, '"'), '''') AS said FROM tasks t JOIN documents d ON d.doc_id = t.task_id)
+      SELECT task_id AS row_id, md5(said) AS digest, example_type, alert_types AS expected_alert_types,
+           non_alert_type AS expected_non_alert_type, difficulty FROM answered WHERE example_type <> 'mixed'""",
 )
 def g7(spark, folder):
-    text = F.concat(F.lit(' "text '), F.col("task_id").cast("string"), F.lit('"\n'))
-    answered = _tasks(spark, folder).withColumn(
-        "parsed", F.when(F.col("example_type") != "mixed", F.struct(text.alias("text")))
-    )
+    """The text of its document, in quotes, as the answer of every task but the mixed ones, which failed."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("task_id"), F.concat(F.lit(' "'), "text", F.lit('"\n')).alias("said"))
+    answered = _tasks(spark, folder).join(docs, "task_id").withColumn("parsed", F.when(F.col("example_type") != "mixed", F.struct(F.col("said").alias("text"))))
     m = F.col("metadata")
     return example_records(answered).select(
-        "row_id", "text", m["example_type"].alias("example_type"),
+        "row_id", F.md5("text").alias("digest"), m["example_type"].alias("example_type"),
         F.array_join(m["expected_alert_types"], ",").alias("expected_alert_types"),
         m["expected_non_alert_type"].alias("expected_non_alert_type"), m["difficulty"].alias("difficulty"),
     )

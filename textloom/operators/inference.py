@@ -264,14 +264,17 @@ def infer(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = _ready(engine, engine_key)
+        # Canonical name by schema text: parsed once per distinct text of a task.
+        named: dict[str | None, str | None] = {None: schema_key(None) if schema_column else None}
         for rows in batches:
             prompts = rows.column(prompt).to_pylist()
             keys = rows.column(row_id).to_pylist() if row_id else list(range(len(prompts)))
             texts = rows.column(schema_column).to_pylist() if schema_column else [None] * len(prompts)
             groups: dict[str | None, list[int]] = {}
             for at, text in enumerate(texts):
-                name = schema_key(None if text is None else json.loads(text)) if schema_column else None
-                groups.setdefault(name, []).append(at)
+                if text not in named:
+                    named[text] = schema_key(json.loads(text))
+                groups.setdefault(named[text], []).append(at)
             outputs: list = [None] * len(prompts)
             errors: list = [None] * len(prompts)
             for positions in groups.values():

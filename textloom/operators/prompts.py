@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions.hashing import order_key
 from textloom.functions.text import contains_any, or_empty
-from textloom.schemas import ALERT_TYPES, EXAMPLE_TYPES, NON_ALERT_TYPES, SEVERITIES, SUBTLE_WORDS
+from textloom.schemas import ALERT_TYPES, EXAMPLE_TYPES, NON_ALERT_TYPES, SEVERITIES
 
 CLASSIFY_HEAD = (
     "Read the workplace comment and answer with one JSON object.\n"
@@ -142,11 +142,8 @@ def attach_few_shot(
     return rows.withColumn("few_shot", F.slice(F.coalesce(F.flatten(found), none), 1, limit)).drop("_shots")
 
 
-def subtle_examples(
-    examples: DataFrame, text: str = "text", key: str = "row_id",
-    words: Sequence[str] = SUBTLE_WORDS, limit: int = 5,
-) -> DataFrame:
-    """First examples, by key, that hold one of the hint words."""
+def subtle_examples(examples: DataFrame, text: str, key: str, words: Sequence[str], limit: int = 5) -> DataFrame:
+    """First examples, by key, that hold one of the words that hint at a subtle case."""
     return examples.where(contains_any(text, words)).orderBy(key).limit(limit)
 
 

@@ -124,8 +124,8 @@ def random_reference(
 def keep_first(df: DataFrame, by: str, order: str) -> DataFrame:
     """First row per value of ``by``.
 
-    The key that is sorted and shuffled is a 128-bit digest with the length, so long texts
-    are compared only where both agree. Copies are dropped on the map side before the shuffle.
+    The key that is sorted and shuffled is a 128-bit digest with the length in place of the value, so long
+    texts are never compared; two values count as equal where both agree. Copies are dropped on the map side before the shuffle.
     """
     whole = F.col(by).cast("string")
     keyed = df.withColumn("_d", F.coalesce(F.concat(F.md5(whole), F.length(whole).cast("string")), F.lit("")))

@@ -150,18 +150,6 @@ DEMOGRAPHICS = [
     "veteran",
     "unspecified/neutral",
 ]
-# Words that mark an example as subtle.
-SUBTLE_WORDS = [
-    "probably",
-    "maybe",
-    "just",
-    "sure",
-    "accident",
-    "joking",
-    "classic",
-    "oversight",
-    "coincidence",
-]
 DIMENSIONS = {
     "industry": INDUSTRIES,
     "role": ROLES,
