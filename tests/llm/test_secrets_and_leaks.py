@@ -62,6 +62,57 @@ def test_entropy_and_allow_list(spark, text, found):
     assert ("entropy" in s.scan(df).select(s.written(F.col("spans"))).first()[0]) is found
 
 
+def all_spans(text):
+    """Base spans, and every hot candidate of what they leave, as plain Python."""
+    base = [(x.start(), k, x.end()) for k, (_, p, g, n) in enumerate(KINDS) for x in p.finditer(text) if len(x.group(g)) >= n]
+    left = list(text)
+    for a, _, b in base:
+        left[a:b] = " " * (b - a)
+    out = list(base)
+    for x in re.finditer(r"[A-Za-z0-9+/_-]+={0,2}", "".join(left)):
+        c, words = x.group(), x.group().rstrip("=")
+        if len(c) < 20 or len(words) < 18 or re.search(s.ALLOWED, c) or not re.search(s.NOT_WORDS, c):
+            continue
+        kind = 0 if re.fullmatch("[0-9A-Fa-f]+", c) else 1 if c.isalnum() else 2
+        if entropy_span(c, *s.CLASSES[kind][1:]):
+            out.append((x.start(), len(KINDS), x.end()))
+    names = [k[0] for k in KINDS] + ["entropy"]
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_all_spans_match_brute_force(spark):
+    draw = random.Random(17)
+    letters = s.ALPHABET[:52]
+
+    def part():
+        n = draw.choice((18, 19, 20, 22, 40, 60))
+        return draw.choice([
+            "".join(draw.choice(s.ALPHABET[:64]) for _ in range(n)), "".join(draw.choice("0123456789abcdef") for _ in range(n)),
+            "".join(draw.choice("0123456789ABCDEF") for _ in range(n)), "".join(draw.choice(letters) for _ in range(n)),
+            "token=abcdef12", "key=", "==", "=", " ", "é ", "\n", "AKIA" + "".join(draw.choice("ABCDEFGH2345") for _ in range(16)),
+            "notes-from-the-long-meeting-3", "SomeCamelCaseFactoryBeanName", "/usr/share/doc/libraries/python3", "3f2504e0-4f89-11d3-9a0c-0305e82c3301",
+            "example_" + "".join(draw.choice(letters) for _ in range(20)), "x" * 20, "averyveryveryverylongordinaryword",
+        ])
+
+    texts = ["".join(draw.choice(["", " ", " "]) + part() for _ in range(draw.randrange(1, 9))) for _ in range(400)]
+    got = {r.doc_id: r.w for r in s.scan(spark.createDataFrame(rows_of(texts), COLUMNS)).select("doc_id", s.written(F.col("spans")).alias("w")).collect()}
+    assert [got[i] for i in range(len(texts))] == [all_spans(t) for t in texts]
+    assert sum("entropy" in w for w in got.values()) > 150
+
+
+def test_whole_keys_are_spans(spark):
+    draw = random.Random(3)
+    key = lambda n, a=s.ALPHABET[:64]: "".join(draw.choice(a) for _ in range(n))
+    hexes, long_key, split = key(26, "0123456789abcdef"), key(100_000), (key(60), key(60))
+    texts = [f"key {key(60)} end", f"{split[0]}/Z{hexes}Z/{split[1]}", long_key, f"at {key(40, s.ALPHABET[:52])} end", f"pass/ab/cd/{key(40)} q"]
+    found = {r.doc_id: r.spans for r in s.scan(spark.createDataFrame(rows_of(texts), COLUMNS)).collect()}
+    ends = {i: [(x.start, x.end) for x in found[i]] for i in found}
+    assert ends[0] == [(4, 64)] and ends[2] == [(0, 100_000)] and ends[3] == [(3, 43)] and ends[4] == [(0, 51)]
+    assert [x.kind for x in found[1]] == [3, 2, 3] and ends[1][0] == (0, 62) and ends[1][2][1] == len(texts[1])
+    clean = [r.text for r in s.redact(spark.createDataFrame(rows_of(texts), COLUMNS)).orderBy("doc_id").collect()]
+    assert clean[0] == "key [secret] end" and clean[1] == "[secret][secret][secret]"
+
+
 def test_short_base64_and_upper_hex_keys_are_found(spark):
     draw = random.Random(11)
     base64 = ["".join(draw.sample(s.ALPHABET[:62], 18)) + "-_7q"[: n - 18] for n in (20, 21, 22) for _ in range(20)]
