@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import COLUMNS, prose, rows_of
+from textloom.llm.arrays import hash_of
 from textloom.llm import language_model as lm, licenses, mixing, substring_dedup as sub, token_shards as shards
 
 
@@ -36,6 +37,54 @@ def test_base_score_matches_brute_force(corpus):
     assert model > base
 
 
+def test_score_matches_plain_sum(spark, corpus):
+    """The same samplers fed with plain counts; every token looked up one by one."""
+    texts = {r.doc_id: (tokens(r.text)[:-1], zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in corpus.collect()}
+    signed = lambda w: int(np.array([hash_of(w.encode())], np.uint64).view(np.int64)[0])
+    counts = collections.Counter(w for t, held in texts.values() if not held for w in t)
+    top = sorted(counts, key=lambda w: (-counts[w], signed(w)))[: lm.CLASSES - 2]
+    place = {w: i + 2 for i, w in enumerate(sorted(top, key=lambda w: hash_of(w.encode())))}
+    assert len(counts) > len(top) > 1000
+
+    def steps(t):
+        c = [place.get(w, lm.RARE) for w in t] + [lm.STOP]
+        return list(zip([lm.STOP, *c], c))
+
+    pairs = collections.Counter(p for t, held in texts.values() if not held for p in steps(t))
+    spectrum = sorted(collections.Counter(n for w, n in counts.items() if w not in place).items())
+    grid, values = lm.sample_rare(np.array([c for c, _ in spectrum]), np.array([k for _, k in spectrum]), 42)
+    base = np.zeros(lm.CLASSES)
+    base[1 : 2 + len(top)] = 1.0
+    base[lm.RARE] = len(counts) - len(top) + 1.0
+    df = spark.createDataFrame([(u, w, n) for (u, w), n in pairs.items()], "u int, w int, n long")
+    model = np.log10(lm.sample_contexts(df, base / base.sum(), 42))
+    rare = lambda w: 0.0 if w in place else float(np.interp(np.log1p(counts[w]), np.log1p(grid), values))
+    got = {r.doc_id: r.score for r in lm.score(corpus).collect()}
+    for i, (t, _) in texts.items():
+        assert got[i] == pytest.approx(sum(model[p] for p in steps(t)) + sum(rare(w) for w in t), rel=1e-4)
+
+
+def test_rows_that_share_an_id_keep_their_own_score(spark, corpus):
+    alone = {r.doc_id: r.score for r in lm.score(corpus).collect()}
+    ids = [i for i in alone if zlib.crc32(str(i).encode()) % 10]
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    a, b, c = ids[:3]
+    same = corpus.withColumn("doc_id", F.when(F.col("doc_id").isin(b, c), a).otherwise(F.col("doc_id")))
+    assert len({texts[a], texts[b], texts[c]}) == 3
+    got = sorted(r.score for r in lm.score(same).where(f"doc_id = {a}").collect())
+    assert got == pytest.approx(sorted(alone[i] for i in (a, b, c)), rel=1e-6)
+
+
+def test_sent_rows_are_linear(spark, corpus):
+    rows = lambda n: n / lm.block_sizes(n)[0] * lm.block_sizes(n)[1]
+    assert rows(64 << 30) < 70 * rows(1 << 30)
+    few = corpus.where("length(text) < 100").select("doc_id", "text", F.lit(False).alias("held"), F.xxhash64("text").alias("a"), F.xxhash64("text").alias("b"))
+    schema = "block long, range int, words binary, counts binary, ids binary, held binary, text binary, word binary, times binary"
+    sent = few.coalesce(1).mapInArrow(lambda x: lm._block_rows(x, 100_000, lm.BLOCK_BYTES), schema).collect()
+    own = [r for r in sent if r.range >= 0]
+    assert 0 < len(own) <= sum(len(r.words) // 8 for r in own) and all(r.words for r in own)
+
+
 def test_model_is_a_distribution():
     """Class probabilities after a context, and words inside the rare class, add up to 1."""
     counts, words = np.array([1, 2, 3, 10]), np.array([50, 20, 5, 1])
