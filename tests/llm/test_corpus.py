@@ -298,6 +298,24 @@ def test_mix_meets_targets_and_repeats_itself(corpus):
     assert {r.doc_id: r.taken for r in rows if r.taken} == dict(words) and made.columns == corpus.columns
 
 
+def test_rows_that_share_an_id_take_their_own_words(spark):
+    ids = [None, None, None, 7, 7, 8]
+    lengths = [1000, 100, 333, 640, 64, 500]
+    rows = [(i, prose(k, n), "en", "ab"[k % 2], 0) for k, (i, n) in enumerate(zip(ids, lengths))]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    taken = collections.Counter()
+    for r in mixing.mix(docs).select("doc_id", "size", mixing.words_taken().alias("taken")).collect():
+        taken[r.size] += r.taken
+    out = collections.Counter()
+    size = {w: n for k, n in enumerate(lengths) for w in [prose(k, n).split(" ")[0]]}
+    vocabulary = [(set(prose(k, n).split(" ")), n) for k, n in enumerate(lengths)]
+    assert len(size) == len(lengths) and sum(taken.values()) > 1500
+    for r in mixing.mix_documents(docs).collect():
+        words = r.text.split()
+        out[next(n for known, n in vocabulary if known.issuperset(words))] += len(words)
+    assert {n: t for n, t in taken.items() if t} == dict(out)
+
+
 def test_mix_edges(nothing, messy):
     assert mixing.mix(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
     assert mixing.mix(messy).count() == messy.count() and mixing.mix_documents(messy).columns == messy.columns

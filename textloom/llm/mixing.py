@@ -15,8 +15,8 @@ one row per source and range. Blocks are never materialised: a document finds it
 blocks by arithmetic.
 
 Defined results: null text has size 0, is never taken and keeps its row. Null is a source of
-its own, last in order. Rows with equal ids are told apart by size only in their order and
-may share a place. An empty table gives an empty result. Columns that clash with the ones
+its own, last in order. Rows that share an id, null ids among them, are told apart by a 128-bit digest of their text
+and take their own words; only copies equal in id and text take the same ones. Null ids are ordered by the digest, so many of them spread over the ranges. An empty table gives an empty result. Columns that clash with the ones
 added are replaced; all other columns pass through in :func:`mix_documents`.
 """
 
@@ -127,12 +127,12 @@ def _positions(docs: DataFrame, seed: int) -> DataFrame:
     """
     n = docs.count()
     ranges = max(1, math.ceil(n / DOCS_PER_RANGE))
-    order = _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.col("_sign1").cast("string")))))
     keyed = docs.withColumn("_h", order).withColumn("_r", F.floor(F.col("_h") / F.lit(float(1 << 60)) * ranges).cast("int"))
     per_range = keyed.groupBy("src", "_r").agg(F.sum("size").alias("_n"))
     before = W.partitionBy("src").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(F.col("src").alias("_s"), F.col("_r").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("src", "_r").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("src", "_r").orderBy("_h", "doc_id", "size", "_sign1", "_sign2").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(offsets, placed.src.eqNullSafe(offsets._s) & (placed._r == offsets._q))
     return joined.withColumn("_start", F.col("_before") + F.col("_in")).drop("_s", "_q", "_before", "_in", "_h", "_r")
@@ -168,12 +168,18 @@ def _taken(block: int) -> Column:
     return F.when(F.col("size") > 0, F.transform(F.sequence(first, last), piece)).otherwise(none)
 
 
+def _signs(text: Column) -> dict[str, Column]:
+    """Two 64-bit digests of a text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return {"_sign1": F.xxhash64(text), "_sign2": F.xxhash64(F.lit(1), text)}
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 42, shards: int = SHARDS) -> DataFrame:
     """Add size, source_size, target and _pieces (which words are taken, how often, for which shards) to documents."""
     own = {"src", "size", "source_size", "target", "_pieces", "_start", "_blocks", "_seats", "_ends"}
     base = docs.drop(*[c for c in docs.columns if c in own])
-    sized = base.withColumn("src", F.col("source").cast("string")).withColumn("size", n_words("text"))
-    slim = checkpointed(sized.select("doc_id", "src", "size"), "mix-sizes")
+    sized = base.withColumn("src", F.col("source").cast("string")).withColumn("size", n_words("text")).withColumns(_signs(F.col("text")))
+    slim = checkpointed(sized.select("doc_id", "src", "size", "_sign1", "_sign2"), "mix-sizes")
     return _mixed(slim, weights, budget, most, block, seed, shards)
 
 
@@ -194,10 +200,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken as a whole keeps its text. Of others the words of a block are joined by
     spaces and blocks by line breaks; n_chars follows the new text.
     """
-    pieces = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_pieces")
-    pieces = pieces.groupBy("_id").agg(F.max(F.struct("_size", "_pieces")).alias("_p")).select("_id", F.col("_p._pieces").alias("_pieces"))
-    rows = packed(docs, _key=F.col("doc_id"), _text=F.coalesce(F.col("text"), F.lit("")))
-    both = rows.join(pieces, rows["_key"].eqNullSafe(pieces["_id"]))
+    pieces = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("_sign1").alias("_a"), F.col("_sign2").alias("_b"), "_pieces")
+    pieces = pieces.groupBy("_id", "_a", "_b").agg(F.max("_pieces").alias("_pieces"))
+    rows = packed(docs, _key=F.col("doc_id"), _text=F.coalesce(F.col("text"), F.lit("")), **_signs(F.col("text")))
+    both = rows.join(pieces, rows["_key"].eqNullSafe(pieces["_id"]) & (rows["_sign1"] == pieces["_a"]) & (rows["_sign2"] == pieces["_b"]))
     passes = both.withColumn("_pass", F.explode(F.array(F.lit(1), F.lit(2))))
     passes = passes.withColumn("_used", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass")))
     passes = passes.withColumn("_n", F.aggregate("_used", F.lit(0).cast("long"), lambda a, p: a + p["high"] - p["low"])).where(F.col("_n") > 0)
