@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators.embedding import embed_corpus
+from textloom.operators.embedding import embed_corpus, shared_words
 from textloom.operators.subwords import Subwords, detokenize
 from textloom.operators.tokens import tokenize
 
@@ -50,6 +51,24 @@ def test_directions_hold_as_much_as_singular_vectors(spark):
     assert (np.linalg.norm(a @ directions) ** 2) >= 0.98 * (best**2).sum()
 
 
+def test_a_near_copy_may_be_closer_than_a_thinned_text(spark, tmp_path):
+    from textloom.catalog import CATALOG
+
+    other = lambda i: i + 1 + int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:15], 16) % 97
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(220)]
+    texts[other(3)] = texts[3] + " more"  # one word more
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in CATALOG["v1_learned_embedding"][0](spark, str(tmp_path)).collect()}
+    assert got == {i for i in range(220) if other(i) < 220}
+
+
+def test_shared_words(spark):
+    df = spark.createDataFrame([(1, "a b b c", "B, b a d"), (2, "a", "a"), (3, "a", None), (4, "", None)], "id long, x string, y string")
+    got = {r.id: r.shared for r in shared_words(df, "id", "x", "y").collect()}
+    assert got == {1: 0.6, 2: 1.0, 3: 0.0}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
 def test_subwords_round_trip(spark, name):
     texts = ["hello world", "Zwölf Füße, été", "", None, "<|endoftext|> x", "a\U0001f600b", "word " * 3000]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.neighbours import vector_array
 from textloom.session import materialize
@@ -24,10 +24,21 @@ BLOCK_ROWS = 512  # features per block of a summed product
 SLICE = 2000  # texts multiplied at once
 
 
+def _words(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
+
+
 def _bags(df: DataFrame, text: str, features: int, *keep: str) -> DataFrame:
     """Word places of every text, repeated as often as the words."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    return df.select(*keep, F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")).alias("bag"))
+    return df.select(*keep, F.transform(_words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")).alias("bag"))
+
+
+def shared_words(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``(key, shared)``: the words two texts have in common as a share of all their words, repeats counted; pairs without words are absent."""
+    sides = [df.select(key, F.explode(_words(c)).alias("word"), F.lit(i).alias("side")) for i, c in enumerate((a, b))]
+    counts = sides[0].unionByName(sides[1]).groupBy(key, "word").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
+    return counts.groupBy(key).agg((F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("shared"))
 
 
 def _sparse(column: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
