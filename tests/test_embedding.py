@@ -83,6 +83,27 @@ def test_subwords_round_trip(spark, name):
     assert len(cut.input_ids) == 4 and cut.n_tokens > 4
 
 
+def test_long_rows_are_taken_in_small_runs(spark):
+    import pyarrow as pa
+
+    from textloom.operators.tokens import small_batches
+
+    rows = pa.record_batch({"t": ["a" * 40, None, "", "b" * 300, "c" * 30, "d" * 30], "i": [[1] * 20, None, [], [2] * 90, [3], [4]]})
+    for column in ("t", "i"):
+        runs = list(small_batches(iter([rows, rows.slice(0, 0)]), column, 100))
+        assert pa.Table.from_batches(runs).to_pylist() == rows.to_pylist()
+        assert [r.num_rows for r in runs] == [4, 2, 0]
+    # What the tokenizer gets at once stays small, however long the batch of the task is.
+    texts = [c * 5000 for c in "abcdefghij"] * 100
+
+    def encode(part):
+        assert sum(map(len, part)) < 1_200_000, "too much at once"
+        return [[1] for _ in part]
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert tokenize(df, encode).count() == 1000
+
+
 def test_unknown_vocabulary_files_are_refused():
     with pytest.raises(ValueError, match="no tokenizer file"):
         Subwords("vocabulary.bin")(["x"])
