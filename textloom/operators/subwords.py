@@ -14,6 +14,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from textloom.operators.tokens import small_batches
+
 # Fixed value: how byte-level vocabularies split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -69,7 +71,7 @@ def detokenize(df: DataFrame, tokenizer: Subwords, ids: str = "input_ids", out:
     schema = T.StructType([*kept, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in small_batches(batches, ids):
             values = rows.column(ids).to_pylist()
             texts = iter(tokenizer.decode([v for v in values if v is not None]))
             column = pa.array([None if v is None else next(texts) for v in values], pa.string())
