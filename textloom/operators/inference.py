@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from textloom.functions.jsonschema import quoted, schema_key
 from textloom.functions.text import let
 from textloom.operators.prompts import chat_format
+from textloom.operators.tokens import small_batches
 from textloom.schemas import ALERT_TYPES, SEVERITIES
 
 
@@ -266,7 +267,7 @@ def infer(
         ready = _ready(engine, engine_key)
         # Canonical name by schema text: parsed once per distinct text of a task.
         named: dict[str | None, str | None] = {None: schema_key(None) if schema_column else None}
-        for rows in batches:
+        for rows in small_batches(batches, prompt):
             prompts = rows.column(prompt).to_pylist()
             keys = rows.column(row_id).to_pylist() if row_id else list(range(len(prompts)))
             texts = rows.column(schema_column).to_pylist() if schema_column else [None] * len(prompts)
