@@ -230,3 +230,34 @@ def test_projection_and_embedding(spark, clustered):
     assert norms == pytest.approx([1.0, 0.0, 0.0])
     custom = sim.embed_with(texts, lambda t: np.array([[len(x or "")] for x in t]), batch_size=2).orderBy("id").collect()
     assert [r["embedding"] for r in custom] == [[5.0], [0.0], [0.0]]
+
+
+@pytest.mark.parametrize("cells, queries", [(50, 7), (400, 7), (1_000_000, 1024)])
+def test_best_of_strips_by_brute_force(monkeypatch, cells, queries):
+    monkeypatch.setattr(near, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(near, "QUERY_ROWS", queries)
+    rng = np.random.default_rng(0)
+    for m, k in ((1, 1), (3, 5), (60, 1), (60, 4), (60, 60), (0, 3)):
+        # Few distinct directions: many ties.
+        b, q = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (rng.integers(-1, 2, size=(n, 3)).astype(float) for n in (m, 25)))
+        skip = np.where(rng.random(25) < 0.5, rng.integers(0, max(1, m), 25), -1)
+        sims = np.round(q @ b.T, 12)
+        if m:
+            sims[np.flatnonzero(skip >= 0), skip[skip >= 0]] = -np.inf
+        want = [(i, j, sims[i, j]) for i in range(25) for j in np.argsort(-sims[i], kind="stable")[:k] if sims[i, j] > -np.inf]
+        assert list(zip(*near.best_of(q, b, k, skip if m else None))) == want
+        for threshold in (0.0, 0.5, 1 / np.sqrt(2), 1.0):
+            assert (near.any_close(q, b, threshold) == (np.round(q @ b.T, 12) >= threshold).any(axis=1)).all()
+
+
+def test_blocks_hold_little_at_once():
+    import tracemalloc
+
+    rows = np.random.default_rng(0).normal(size=(20_000, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for work in (lambda: near.best_of(rows[:300], rows, 10), lambda: near.any_close(rows[:300], rows, 0.9999), lambda: kernels._kernel_sum(rows[:300], rows, 10.0)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, peak

@@ -22,9 +22,10 @@ SAMPLE = 500
 MOMENTUM = 0.7
 
 
-def neighbour_edges(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(a, b, weight): the k nearest of a, in both directions; 1 where both name each other, else a half."""
-    found = neighbours(df, df, key, key, k, True, vector, vector).select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+def neighbour_edges(df: DataFrame, key: str, vector: str, k: int, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, weight): the k nearest of a, in both directions; 1 where both name each other, else a half. ``near`` (id, neighbour) holds them if they are known."""
+    near = neighbours(df, df, key, key, k, True, vector, vector) if near is None else near
+    found = near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.groupBy("a", "b").agg((F.count("*") / 2).alias("weight"))
 
@@ -75,14 +76,17 @@ def layout(start: DataFrame, edges: DataFrame, k: int = 10, rounds: int = 15, ra
     return state.select("id", "x", "y")
 
 
-def neighbour_layout(df: DataFrame, key: str, vector: str = "embedding", k: int = 10, rounds: int = 15, seed: int | str = 42) -> DataFrame:
-    """``(id, x, y)`` of every row with a vector, from its first two principal components on. Rows have distinct keys."""
+def neighbour_layout(df: DataFrame, key: str, vector: str = "embedding", k: int = 10, rounds: int = 15, seed: int | str = 42, near: DataFrame | None = None) -> DataFrame:
+    """``(id, x, y)`` of every row with a vector, from its first two principal components on. Rows have distinct keys.
+
+    ``near`` as in :func:`neighbour_edges`: its search is most of the work.
+    """
     from textloom.operators.similarity import reduce_dimensions
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(vector).alias("v"))
     flat = reduce_dimensions(rows, 2, "v", "p")
     start = flat.select("id", F.coalesce(F.get("p", F.lit(0)), F.lit(0.0)).alias("x"), F.coalesce(F.get("p", F.lit(1)), F.lit(0.0)).alias("y"))
-    return layout(start, neighbour_edges(rows, "id", "v", k), k, rounds, seed=seed)
+    return layout(start, neighbour_edges(rows, "id", "v", k, near), k, rounds, seed=seed)
 
 
 def kept_neighbours(near: DataFrame, places: DataFrame, k: int = 10, sample: int = 1000, seed: int | str = 42) -> DataFrame:
@@ -100,8 +104,8 @@ def kept_neighbours(near: DataFrame, places: DataFrame, k: int = 10, sample: int
             for q, point in zip(ids, at):
                 far = ((here - point) ** 2).sum(axis=1)
                 far[other == q] = np.inf
-                best = np.lexsort((other, far))[:k]
-                best = best[far[best] < np.inf]
+                best = np.flatnonzero((far <= (np.partition(far, k - 1)[k - 1] if k < len(far) else np.inf)) & (far < np.inf))
+                best = best[np.lexsort((other[best], far[best]))[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(other[best]), pa.array(far[best])], names=["id", "neighbour", "far"])
 
     close = places.select("id", "x", "y").mapInArrow(nearest, "id bigint, neighbour bigint, far double")
