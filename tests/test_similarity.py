@@ -1,3 +1,6 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +264,28 @@ def test_blocks_hold_little_at_once():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 40e6, peak
+
+
+def test_bounds_and_cells_hold_bounded_blocks():
+    """Angles of a batch to all pivots or pieces are never held whole, several times over."""
+    rng = np.random.default_rng(5)
+
+    def units(n):
+        rows = rng.normal(size=(n, 8))
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+    pivots, rows = units(1024), units(near.VISIT_ROWS)
+    low = rng.uniform(0, 1, 1024)
+    pieces = (np.arange(1024) // 256, np.arange(1024), low, low + 0.1)
+    index = near.Index(None, SimpleNamespace(value=pivots), pieces, 4, 10)
+    angles = np.arccos(np.clip(rows @ pivots.T, -1, 1))
+    gaps = np.maximum(np.maximum(angles - low - 0.1, low - angles), 0)
+    tracemalloc.start()
+    least, home = index.bounds()(rows)
+    cell, own = near._cells(rows, pivots)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(least, gaps.reshape(len(rows), 4, 256).min(axis=2), atol=1e-9)
+    assert (home == (gaps + angles * 1e-3).argmin(axis=1) // 256).all()
+    assert (cell == angles.argmin(axis=1)).all() and np.allclose(own, angles.min(axis=1))
+    assert held < 6 * 8 * near.BLOCK_CELLS
