@@ -8,7 +8,7 @@ from textloom.operators.reshape import split_failed, training_pairs
 from textloom.schemas import ALERTS_OUTPUT
 from textloom.session import materialize, new_path, work_dir
 from textloom.sources import csv_column, load, read_jsonl, text_column, write_csv, write_jsonl
-from textloom.sources.writers import clean_strings, write_training_set
+from textloom.sources.writers import clean_strings, selected_rows, write_training_set
 from textloom.streaming.append import append_jsonl, read_appended
 
 TRICKY = ['a,"b"', "two\nlines", " padded ", "back\\slash", "é😀", '"', "\\\"", "nan"]
@@ -120,3 +120,19 @@ def test_work_dir(spark, tmp_path, monkeypatch):
     assert work_dir(spark) == str(tmp_path / "shared")
     files = materialize(spark.range(3)).inputFiles()
     assert files[0].split("://")[-1].lstrip("/").startswith(f"{tmp_path}/shared".lstrip("/"))
+
+
+def test_selected_rows_are_sorted_without_sending_texts(spark):
+    """Most similar first, then by text; what ranges are found from holds only how a text begins."""
+    same = "x" * 40
+    texts = [same + "b", same + "a", None, "é", "z", "😀", same[:32], "", same + "a", "y" * 5000, "\uffff", same[:31] + "é"]
+    rows = [(texts[i % len(texts)], s) for i, s in enumerate([0.5, 0.9, None] * 24)]
+    df = spark.createDataFrame(rows, "text string, organic_similarity double").withColumn("closest_organic_text", F.lit(None).cast("string"))
+    df = df.withColumn("metadata", F.struct(F.lit("a").alias("example_type"), F.array(F.lit("l")).alias("expected_alert_types"), F.lit("n").alias("expected_non_alert_type")))
+    out = selected_rows(df.repartition(5))
+    got = [(r["organic_similarity"], r["text"]) for r in out.collect()]
+    plain = [(s, t) for t, s in rows]
+    assert got == sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, (r[1] or "").encode()))
+    keys = out._jdf.queryExecution().executedPlan().toString()
+    keys = keys[keys.index("rangepartitioning(") :].splitlines()[0]
+    assert "text#" not in keys or "substring" in keys

@@ -125,14 +125,17 @@ def example_rows(examples: DataFrame, row_id: str = "row_id") -> DataFrame:
 def selected_rows(selected: DataFrame) -> DataFrame:
     """Selected examples for the review CSV, most similar first."""
     meta = F.col("metadata")
-    return selected.select(
+    rows = selected.select(
         "text",
         "organic_similarity",
         or_empty("closest_organic_text").alias("closest_organic_text"),
         F.coalesce(meta["example_type"], F.lit("Unknown")).alias("example_type"),
         or_empty(F.array_join(meta["expected_alert_types"], ", ")).alias("expected_alert_types"),
         or_empty(meta["expected_non_alert_type"]).alias("expected_non_alert_type"),
-    ).orderBy(F.desc("organic_similarity"), "text")
+    )
+    # The keys that ranges are found from go to the driver, so they hold only how a text begins. Rows that agree in it share a range.
+    best = F.desc("organic_similarity")
+    return rows.repartitionByRange(best, F.substring("text", 1, 32)).sortWithinPartitions(best, "text")
 
 
 def clean_strings(df: DataFrame) -> DataFrame:
