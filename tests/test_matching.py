@@ -112,3 +112,25 @@ def test_only_undecided_pairs_are_compared(spark):
     got = {r.input_id: r for r in matching.match_by_length(left, right, "i", "t", "r", "s").collect()}
     assert got[0].ref_id < 8 and got[0].compared <= 3 and got[0].probes >= 1
     assert got[1].compared == 0 and got[1].probes == 1
+
+
+def test_checked_facts_carry_no_long_texts(spark, tmp_path, monkeypatch):
+    """What a match is checked by: texts only of pairs that are compared, digests of all others; a wrong text is still found."""
+    from textloom.catalog import sampling as catalog
+
+    short, long = texts(60, 8), [t * 60 for t in texts(20, 9)]
+    docs = spark.createDataFrame(list(enumerate([*short, *long, None, "", short[0]])), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stored = []
+    keep = catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name="stage": stored.append(keep(df, name)) or stored[-1])
+    got = catalog.v15_checked(spark, str(tmp_path)).collect()
+    assert len(got) == 83 and all(r["exists"] and r["different"] and r["fresh"] and r["few_compared"] for r in got)
+    held = [c for c, kind in stored[-1].dtypes if kind == "string"]
+    assert max(len(r[c] or "") for r in stored[-1].collect() for c in held) < 1000
+
+    rows = [(0, 1, short[1] + "!", 1, 1), (2, 2, short[2], 1, 1), (61, 3, short[3], 1, 0)]
+    matched = spark.createDataFrame(rows, "input_id long, ref_id long, ref_text string, probes long, compared long")
+    facts = {r["input_id"]: r for r in catalog._checked(spark, str(tmp_path), matched).collect()}
+    assert [facts[i]["exists"] for i in (0, 2, 61)] == [False, True, True]
+    assert [facts[i]["different"] for i in (2, 61)] == [False, True] and not facts[61]["inside"]

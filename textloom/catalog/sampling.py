@@ -190,26 +190,37 @@ def v15(spark, folder):
     return matched.select("input_id", "ref_id", F.md5("ref_text").alias("digest"))
 
 
-def _checked(docs, matched, bin_size=None):
+def _checked(spark, folder, matched, bin_size=None):
     """Facts of a match: who got which kind of reference.
 
     The reference exists with its own text; one in the length range is not too similar; copies of one text have different
-    references; exact comparisons are at most as many as candidates.
+    references; exact comparisons are at most as many as candidates. Texts travel only where they can be compared: an input
+    whose range begins beyond the longest reference goes by its length and digest, and what a reference says by its digest.
     """
-    refs = docs.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("own"))
-    rows = matched.join(docs, matched.input_id == docs.doc_id).join(refs, "ref_id", "left")
+    from textloom.functions.text import length_between
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    longest = docs.where(length_between("text")).agg(F.max(F.length("text"))).first()[0]
+
+    def digest(text):
+        return F.concat(F.md5(text), F.length(text).cast("string"))
+
+    refs = docs.select(F.col("doc_id").alias("ref_id"), digest(F.col("text")).alias("own"))
+    body = docs.select(F.col("doc_id").alias("input_id"), strip_ws(F.col("text")).alias("body"))
     low, high = matching.length_range(F.length("body"), bin_size)
-    rows = rows.withColumn("body", strip_ws(F.col("text")))
-    inside = F.length("ref_text").between(low, high)
+    body = body.select("input_id", low.alias("low"), high.alias("high"), F.md5(F.lower("body")).alias("key"), F.when(low <= longest, F.col("body")).alias("body"))
+    rows = matched.join(body, "input_id").join(refs, "ref_id", "left")
+    inside = F.length("ref_text").between(F.col("low"), F.col("high"))
     unsure = inside & (matching.ratio_bound(*[matching.letter_counts(F.when(inside, F.col(c))) for c in ("ref_text", "body")]) > 0.9)
-    rows = materialize(rows.withColumn("inside", inside).withColumn("unsure", unsure), "matched")
-    rows = rows.withColumn("ratio", matching.similarity_ratio(F.when(F.col("unsure"), F.col("ref_text")), F.col("body")))
+    rows = rows.withColumn("exists", F.col("own") == digest(F.col("ref_text"))).withColumn("inside", inside).withColumn("unsure", unsure)
+    texts = [F.when(F.col("unsure"), F.col(c)).alias(c) for c in ("ref_text", "body")]
+    rows = materialize(rows.select("input_id", "ref_id", "key", "exists", "inside", "probes", "compared", *texts), "matched")
+    rows = rows.withColumn("ratio", matching.similarity_ratio("ref_text", "body"))
     # A pair of text and reference that more than one copy has: counted, never collected.
-    key = F.md5(F.lower("body"))
-    shared = rows.groupBy(key.alias("key"), "ref_id").agg(F.count("*").alias("users")).where("users > 1")
-    rows = rows.withColumn("key", key).join(shared, ["key", "ref_id"], "left")
+    shared = rows.groupBy("key", "ref_id").agg(F.count("*").alias("users")).where("users > 1")
+    rows = rows.join(shared, ["key", "ref_id"], "left")
     return rows.select(
-        "input_id", (F.col("own") == F.col("ref_text")).alias("exists"), (F.coalesce("ratio", F.lit(0.0)) <= 0.9).alias("different"),
+        "input_id", "exists", (F.coalesce("ratio", F.lit(0.0)) <= 0.9).alias("different"),
         F.col("users").isNull().alias("fresh"), (F.col("compared") <= F.col("probes")).alias("few_compared"), "inside", "probes",
     )
 
@@ -226,7 +237,7 @@ SQL_INSIDE = """, ranged AS (SELECT input_id, c, (SELECT count(*) FROM refs WHER
 )
 def v15_checked(spark, folder):
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
-    return _checked(docs, matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text")).drop("probes", "inside")
+    return _checked(spark, folder, matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text")).drop("probes", "inside")
 
 
 @query(
@@ -238,7 +249,7 @@ def v15_checked(spark, folder):
 def v16(spark, folder):
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     matched = matching.match_by_length(docs, _references(spark, folder), "doc_id", "text", "ref_id", "text", bin_size=20, max_probes=30)
-    rows = _checked(docs, matched, 20).drop("different")
+    rows = _checked(spark, folder, matched, 20).drop("different")
     return rows.withColumn("within_limit", F.col("probes") <= 30).drop("probes")
 
 
