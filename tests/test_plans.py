@@ -69,3 +69,24 @@ def test_rewrite(spark):
     out = rewrite_plan.rewrite(ready, rewrite_plan.prepare_references(refs), Echo()).collect()
     assert sorted(r["row_id"] for r in out) == list(range(6))
     assert all(r["rewritten_comment"] for r in out) and {r["reference_comment"][0] for r in out} <= {"x", "y"}
+
+
+def test_comparison_reads_the_organic_side_once_for_all_metrics(spark):
+    """Metrics pass over stored vectors; only the texts of the neighbours are looked up in the source again."""
+    rng = np.random.default_rng(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(rows.num_rows)
+            yield rows
+
+    fields = "id long, text string, embedding array<float>, example_type string"
+
+    def side(first, n):
+        return spark.createDataFrame([(first + i, f"t{i}", [float(x) for x in rng.normal(size=4)], "ab"[i % 2]) for i in range(n)], fields)
+
+    o = side(100, 40).mapInArrow(counted, fields)
+    c = compare_plan.compare(side(0, 30), o, n_select=5, cluster_column="example_type")
+    assert c.overall.count() == 1 and c.topics.count() == 2 and c.selected.count() == 5
+    assert read.value <= 2 * 40
