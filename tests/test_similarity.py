@@ -289,3 +289,18 @@ def test_bounds_and_cells_hold_bounded_blocks():
     assert (home == (gaps + angles * 1e-3).argmin(axis=1) // 256).all()
     assert (cell == angles.argmin(axis=1)).all() and np.allclose(own, angles.min(axis=1))
     assert held < 6 * 8 * near.BLOCK_CELLS
+
+
+def test_single_precision_is_sent_as_it_is(spark):
+    """The driver gets four bytes a number; the answers are those of the same numbers in double precision."""
+    rng = np.random.default_rng(6)
+    q, b = rng.normal(size=(40, 8)), rng.normal(size=(50, 8))
+    single = [frame(spark, m).withColumn("embedding", F.col("embedding").cast("array<float>")) for m in (q, b)]
+    double = [df.withColumn("embedding", F.col("embedding").cast("array<double>")) for df in single]
+    rows = near._vectors(single[1], "id", "embedding")
+    assert dict(near._as_sent(rows, single[1], "embedding").dtypes)["v"] == "array<float>"
+    assert dict(near._as_sent(rows, double[1], "embedding").dtypes)["v"] == "array<double>"
+    one, two = [sorted(map(tuple, sim.nearest(*pair, "id", "id").collect())) for pair in (single, double)]
+    assert one == two and len(one) == 40
+    covered = [sim.covered_counts(*pair, "id", "id", threshold=0.5).collect() for pair in (single, double)]
+    assert covered[0] == covered[1]
