@@ -104,6 +104,16 @@ def test_long_rows_are_taken_in_small_runs(spark):
     assert tokenize(df, encode).count() == 1000
 
 
+def test_texts_without_tokens(spark, tmp_path):
+    from textloom.catalog import CATALOG
+
+    texts = ["", None, "é", "a" * 3000, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in CATALOG["g8_tokenize"][0](spark, str(tmp_path)).collect()}
+    none = (0, 0, None, True)
+    assert got == {0: none, 1: none, 2: (2, 2, 0xC3, True), 3: (2048, 3000, 97, True), 4: none}
+
+
 def test_unknown_vocabulary_files_are_refused():
     with pytest.raises(ValueError, match="no tokenizer file"):
         Subwords("vocabulary.bin")(["x"])

@@ -135,7 +135,7 @@ def a23(spark, folder):
 def g8(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return tokenize(docs).select(
-        "doc_id", F.size("input_ids").cast("bigint").alias("n_kept"), "n_tokens", F.col("input_ids")[0].alias("first_token"),
+        "doc_id", F.size("input_ids").cast("bigint").alias("n_kept"), "n_tokens", F.get("input_ids", F.lit(0)).alias("first_token"),
         (F.col("input_ids") == F.col("labels")).alias("labels_equal"),
     )
 
